@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from skyloom.llm import mixing
+from pyspark.sql import functions as F
+
+from skyloom.llm import lines, mixing, rules
 from skyloom.llm.common import table
 
 
@@ -10,8 +12,22 @@ def op8_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_rules(spark, sf_dir):
+    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op10_line_dedup(spark, sf_dir):
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
     "op8_source_mix": op8_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": rules.ORACLE_SQL,
+    "op10_line_dedup": lines.ORACLE_SQL,
+}
