@@ -127,6 +127,6 @@ q AS (SELECT *, i - row_number() OVER (PARTITION BY d1, d2, diag ORDER BY i) AS
 z AS (SELECT DISTINCT d2 AS doc_id, line FROM (SELECT *, sum(w) OVER (PARTITION BY d1, d2, diag, run) AS words FROM q) WHERE words >= {MIN_WORDS}),
 g AS (SELECT doc_id, list(line) AS gone FROM z GROUP BY doc_id)
 SELECT s.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  md5(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, (x, i) -> NOT list_contains(gone, i - 1)), chr(10)) END) AS kept_md5
+  md5(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END) AS kept_md5
 FROM s LEFT JOIN g ON s.doc_id = g.doc_id
 """

@@ -31,9 +31,13 @@ def n_repeat_words(w: Column) -> Column:
     repeat are (hash, position) pairs sorted, and the stretches that the repeated
     windows cover are added up.
     """
-    last = F.size(w) - WINDOW + 1
-    at = lambda i: [F.get(w, i + k) for k in range(WINDOW)]
-    hashes = F.when(last > 1, F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(*at(i)))).otherwise(F.array().cast("array<bigint>"))
+
+    def hashed(w: Column) -> Column:
+        at = lambda i: [F.get(w, i + k) for k in range(WINDOW)]
+        return F.when(F.size(w) > WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*at(i)))).otherwise(F.array().cast("array<bigint>"))
+
+    # A lambda's variable is evaluated once, where a column would be once for each element.
+    hashes = F.transform(F.array(w), hashed)[0]
 
     def covered(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -127,7 +131,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
 
 
-_LINES = r"list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))"
+_LINES = r"list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
 _UPPER = r"(length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')))"
 _LETTERS = r"length(regexp_replace(t, '[^\p{L}]', '', 'g'))"
 ORACLE_SQL = rf"""
@@ -143,7 +147,7 @@ f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR n_words > 1000000 OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > n_words
     OR 10 * n_dup_lines > 3 * len(ls) OR 2 * {_UPPER} > {_LETTERS} OR 2 * {_LETTERS} < word_chars
-    OR 10 * len(list_filter(ls, x -> rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) > 3 * len(ls)
-    OR 10 * len(list_filter(ls, x -> regexp_matches(ltrim(x, ' '), '^[-*•]'))) > 9 * len(ls)) AS kept
+    OR 10 * len(list_filter(ls, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) > 3 * len(ls)
+    OR 10 * len(list_filter(ls, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•]'))) > 9 * len(ls)) AS kept
 FROM f
 """
