@@ -31,3 +31,18 @@ def has_word(text: Column) -> Column:
 def hex32(digest: Column) -> Column:
     """The first 32 bits of a hex digest as a long."""
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def bucket(doc_id: Column, n: int) -> Column:
+    """CRC-32 of the id as text, modulo n; of the empty text where the id is null."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def utf8(text: Column) -> Column:
+    """The bytes of a text, none for null."""
+    return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def kind(df: DataFrame, name: str) -> str:
+    """A column's type in DDL."""
+    return df.select(df[name]).schema[0].dataType.simpleString()

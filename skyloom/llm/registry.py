@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import lines, mixing, rules
-from skyloom.llm.common import table
+from skyloom.llm import audio, language, lines, mixing, packing, rules
+from skyloom.llm.common import bucket, table
 
 
-def op8_source_mix(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+def tokenizer() -> str:
+    """Where the public vocabulary file is installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = language.identify(docs, language.train(language.learnable(docs)))
+    return named.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_id.lang_pred", "lang_id.score")
+
 
+def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_features(table(spark, sf_dir, "documents"))
 
-def op7_quality_rules(spark, sf_dir):
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
-def op10_line_dedup(spark, sf_dir):
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
+    "op5_telephony_audio": op5_telephony_audio,
     "op7_quality_rules": op7_quality_rules,
-    "op10_line_dedup": op10_line_dedup,
     "op8_source_mix": op8_source_mix,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
