@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import audio, language, lines, mixing, packing, rules
+from skyloom.llm import audio, language, lines, mixing, packing, rules, simhash
 from skyloom.llm.common import bucket, table
 
 
@@ -30,6 +30,10 @@ def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
     "op5_telephony_audio": op5_telephony_audio,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mix": op8_source_mix,
     "op10_line_dedup": op10_line_dedup,
