@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import bucket, utf8
+from skyloom.llm.common import bucket, sampled, utf8
 
 #: Bound of the labelled sample that the network is trained on: documents, and windows of each.
 TRAIN_DOCS, TRAIN_WINDOWS = 4_000, 3
@@ -107,15 +107,15 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id") -> ByteNet | None:
-    """The network from at most TRAIN_DOCS rows with a text and a language, those of the lowest MD5 of `order`; None if there are none.
+    """The network from about TRAIN_DOCS rows with a text and a language (twice that at most), drawn by a hash of `order` and text; None if there are none.
 
-    Of each document at most TRAIN_WINDOWS windows are sent to the driver, spread over the whole text.
+    Of each document TRAIN_WINDOWS windows are sent to the driver, spread over the whole text.
     """
     body, n = utf8(F.col(text)), F.octet_length(F.col(text))
     spread = [body.substr((n * k / (TRAIN_WINDOWS + 1)).cast("int") + 1, F.lit(WINDOW)) for k in range(TRAIN_WINDOWS)]
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.regexp_like(F.col(text), F.lit(r"\p{L}")))
-    rows = rows.select(F.md5(F.col(order).cast("string").cast("binary")).alias("_o"), F.col(lang).cast("string").alias("lang"), F.array(*spread).alias("w"))
-    found = rows.orderBy("_o", "lang", "w").limit(TRAIN_DOCS).collect()
+    rows = labelled.where(F.col(lang).isNotNull())
+    rows = sampled(rows, rows.count(), TRAIN_DOCS, F.col(order), F.col(text)).where(F.regexp_like(F.col(text), F.lit(r"\p{L}")))
+    found = sorted(rows.select(F.col(lang).cast("string").alias("lang"), F.array(*spread).alias("w")).collect())
     if not found:
         return None
     classes = sorted({r["lang"] for r in found})
