@@ -161,7 +161,7 @@ def learnable(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return docs.where(bucket(F.col(doc_id), 3) != 1)
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The columns of `docs` for documents whose language is told with a mean probability of `least` or more."""
     named = identify(docs, train(learnable(docs)), to="_lang_id")
     return named.where((F.col("_lang_id.lang_pred") != UNKNOWN) & (F.col("_lang_id.score") >= least)).select(*docs.columns)

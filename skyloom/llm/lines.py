@@ -58,14 +58,12 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
     ahead = shortest([F.lead("_w", k).over(order) - before >= min_words for k in range(min_words)])
     back = shortest([F.col("_w") - F.lag(before, k).over(order) >= min_words for k in range(min_words)])
     named = named.withColumns({"n_ahead": ahead, "n_back": back})
-    names = {f"a{n}": F.lag(f"name{n}", 0).over(order) for n in levels}
     rows = named.select("doc_id", "_h", "i", "_w", "_c", "w", "chars", "n_ahead", "n_back", *[f"name{n}" for n in levels])
 
-    def run(n: int, start: Column) -> Column:
-        """Struct of a run of n lines whose first line is `start` lines from here (0 or less)."""
+    def run(n: int, first: int) -> Column:
+        """Struct of a run of n lines whose first line is `first` lines from here (0 or less)."""
         top = max(x for x in levels if x <= n)
         at = lambda c, k: F.lead(c, k).over(order) if k >= 0 else F.lag(c, -k).over(order)
-        first = int(start)
         return F.struct(
             (F.col("i") + first).alias("i"), F.lit(n).alias("n"), at(f"name{top}", first).alias("a"), at(f"name{top}", first + n - top).alias("b"),
             (at(F.col("_c"), first + n - 1) - at(before_c, first)).alias("c"),
@@ -75,7 +73,6 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
     for n in range(1, min_words + 1):
         ahead_run = ahead_run.when(F.col("n_ahead") == n, run(n, 0))
         back_run = back_run.when(F.col("n_back") == n, run(n, 1 - n))
-    del names
     both = rows.select("doc_id", "_h", ahead_run.alias("x"), back_run.alias("y"))
     runs = F.array_distinct(F.filter(F.array("x", "y"), lambda r: r.isNotNull()))
     return both.select("doc_id", "_h", F.explode(runs).alias("r")).select("doc_id", "_h", "r.*")
@@ -116,6 +113,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The columns of `docs` with later copies of repeated line runs deleted and n_chars, if there, brought up to date; a document that loses all its words goes."""
+    out = dedup_lines(docs, min_words)
+    left = out.where((F.col("n_removed") == 0) | has_word(F.col("text")))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
 #: Pairs of equal lines on one diagonal of two documents form maximal matches; all lines of the later side go where it has enough words.
 ORACLE_SQL = rf"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),

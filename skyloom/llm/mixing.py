@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import hex32, n_words
+from skyloom.llm.common import hex32, n_words, words
 from skyloom.scratch import ordered_index, small, store
 
 WEIGHTS = (5, 2, 1)
@@ -79,25 +79,23 @@ def source_targets(sized: DataFrame) -> tuple[DataFrame, int]:
     return numbered.withColumn("target", target).drop("weight", "cap"), n
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and begin, length: the taken words are `copies` whole passes and those from `begin` on, cyclically.
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, the `carry` columns, and what is taken: `copies` of the whole, the first `early` words, and `late` words from word `late_from` on.
 
     A null text has size 0 and nothing of it is taken; a null source is a source
     of its own; a repeated row is a document of its own; columns beside the three
     named are not looked at. No rows give no rows. Words are taken in whole
-    documents except at the two ends of a shard's run of blocks, where `first`
-    and `length` tell the part; reruns agree, since order and starts depend on the
-    seed and doc_id alone.
+    documents except at the two ends of a shard's run of blocks; reruns agree,
+    since order and starts depend on the seed, doc_id, size and `carry` alone.
     """
-    size = n_words(F.col(text)) if size is None else size
-    sized = store(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), "sized")
+    sized = store(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *carry), "sized")
     sources, n_sources = source_targets(sized)
     sources = sources.withColumn("n_shards", F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("docs") / SHARD_DOCS)))
     numbered = small(sources.withColumnRenamed("source", "_source"), n_sources)
     digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     placed = sized.join(numbered, sized["source"].eqNullSafe(F.col("_source"))).drop("source", "_source", "docs")
     placed = placed.withColumn("_order", digest).withColumn("shard", F.pmod(hex32(F.col("_order")), "n_shards").cast("long"))
-    order = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size")
+    order = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size", *carry)
     placed = placed.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = store(placed.drop("n_shards", "_order"), "placed")
 
@@ -132,4 +130,26 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         F.coalesce(whole, zero).cast("long").alias("copies"),
         F.coalesce(early, zero).cast("long").alias("early"),
         F.coalesce(late, zero).cast("long").alias("late"),
+        F.coalesce(F.greatest(F.lit(0), F.col("_arc") * BLOCK_WORDS - begin), zero).cast("long").alias("late_from"), *carry,
     )
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The columns of `docs` with the rows that the mix takes: left out, whole, twice, or cut at word bounds (words joined by one space; n_chars, if there, is that of the cut).
+
+    Sizes, null texts and null sources are treated as by `mix`. Rows that repeat are
+    documents of their own.
+    """
+    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plan = mix(rows, doc_id, source, text, ("_row",)).where("taken > 0").select("_row", "size", "copies", "early", "late", "late_from")
+    part = lambda first, n: F.struct(first.cast("int").alias("first"), n.cast("int").alias("n"))
+    zero = F.lit(0)
+    parts = F.concat(F.array_repeat(part(zero, F.col("size")), F.col("copies").cast("int")), F.array(part(zero, F.col("early")), part(F.col("late_from"), F.col("late"))))
+    plan = plan.select("_row", "size", F.explode(F.filter(parts, lambda p: p["n"] > 0)).alias("_part"))
+    taken = rows.join(plan, "_row")
+    whole = F.col("_part.n") == F.col("size")
+    cut = F.array_join(F.slice(words(F.col(text)), F.col("_part.first") + 1, F.col("_part.n")), " ")
+    taken = taken.withColumn(text, F.when(whole, F.col(text)).otherwise(cut))
+    if "n_chars" in docs.columns:
+        taken = taken.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
+    return taken.select(*docs.columns)

@@ -1,10 +1,9 @@
 """SimHash near-duplicate groups by vantage-point trees over 64-bit fingerprints.
 
-Fingerprints that differ in at most `bits` bits agree, by the pigeonhole principle,
-up to bits // PARTS differences in at least one of PARTS shares of their bits. So there is a
-vantage-point tree for each share: its distance is the Hamming distance within
-the share, which is small where the whole distance is, and its search radius is
-that small number. Narrow radii are what makes triangle bounds cut: a plain tree
+The 64 bits are dealt into bits // 2 + 1 shares. Fingerprints that differ in at
+most `bits` bits differ, by the pigeonhole principle, in at most one bit of some
+share. So there is a vantage-point tree for each share: its distance is the
+Hamming distance within the share, and its search radius is one. Narrow radii are what makes triangle bounds cut: a plain tree
 over all 64 bits and a radius of 4 would visit most of its leaves.
 
 The top of each tree, built from a bounded sample, deals all distinct
@@ -29,7 +28,6 @@ from skyloom.llm.common import utf8
 from skyloom.scratch import store
 
 BITS, WORDS, SEED = 4, 4, 42
-PARTS = 3
 #: Bound of the sample that the shards' vantage points are chosen from, fingerprints aimed at for a shard, and most shards of a tree.
 SAMPLE, SHARD, MOST_SHARDS = 20_000, 25_000, 4_096
 LEAF = 128
@@ -130,7 +128,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def leaf_links(own: np.ndarray, others: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def leaf_links(own: np.ndarray, others: np.ndarray, bits: int, span: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that span the groups among own points, and of these with others. Points are compared in blocks; where links abound, groups grow one point at a time, each compared only with points not yet reached."""
     both = np.concatenate([own, others])
     if len(own) > 4 * LEAF:
@@ -146,7 +144,7 @@ def leaf_links(own: np.ndarray, others: np.ndarray, bits: int) -> Iterator[tuple
         new = j > i
         if new.any():
             a, b = own[i[new]], both[j[new]]
-            keep = forest(a, b)
+            keep = forest(a, b) if span else slice(None)
             yield a[keep], b[keep]
 
 
@@ -172,7 +170,7 @@ def reached(own: np.ndarray, others: np.ndarray, bits: int) -> Iterator[tuple[np
                 break
 
 
-def search(own: np.ndarray, others: np.ndarray, mask: np.uint64, radius: int, bits: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def search(own: np.ndarray, others: np.ndarray, mask: np.uint64, radius: int, bits: int, rng: np.random.Generator, span: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within a shard, by going on with the tree: first by the share's distance, then by the whole one."""
     full = np.uint64(2**64 - 1)
     todo = [(own, others, mask, radius)]
@@ -181,29 +179,30 @@ def search(own: np.ndarray, others: np.ndarray, mask: np.uint64, radius: int, bi
         if not len(own) or len(own) + len(others) < 2:
             continue
         if len(own) <= LEAF:
-            yield from leaf_links(own, others, bits)
+            yield from leaf_links(own, others, bits, span)
             continue
         cut = split(own, mask, rng)
         if not cut:
             if mask != full:
                 todo.append((own, others, full, bits))
             else:
-                yield from leaf_links(own, others, bits)
+                yield from leaf_links(own, others, bits, span)
             continue
         v, t = cut
         d, e = np.bitwise_count((own ^ v) & mask).astype(np.int64), np.bitwise_count((others ^ v) & mask).astype(np.int64)
         if mask == full and min((d - radius <= t).sum(), (d + radius > t).sum()) > 0.9 * len(own):
-            yield from leaf_links(own, others, bits)  # bounds no longer prune here
+            yield from leaf_links(own, others, bits, span)  # bounds no longer prune here
             continue
         near, far = d <= t, d > t
         todo.append((own[near], np.concatenate([own[far & (d - radius <= t)], others[e - radius <= t]]), mask, radius))
         todo.append((own[far], others[e + radius > t], mask, radius))
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """a, b: links between distinct fingerprints (`fp`, stored) that span the groups of all pairs with at most `bits` differing bits."""
+def links(prints: DataFrame, bits: int = BITS, span: bool = True) -> DataFrame:
+    """a, b: links between distinct fingerprints (`fp`, stored) that span the groups of all pairs with at most `bits` differing bits; all such pairs where they are few, if not `span`."""
     n = prints.count()
-    shares, radius, rng = masks(PARTS), bits // PARTS, np.random.default_rng(SEED)
+    shares, rng = masks(bits // 2 + 1), np.random.default_rng(SEED)
+    radius = bits // len(shares)
     sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy("<i8").view("<u8")
     trees = [grow(sample, m, min(MOST_SHARDS, -(-n // SHARD)), rng) for m in shares]
 
@@ -216,9 +215,9 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
     def within(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         points, own = group["fp"].to_numpy("<i8").view("<u8"), group["own"].to_numpy(bool)
-        found = list(search(points[own], points[~own], shares[key[0]], radius, bits, np.random.default_rng(SEED)))
+        found = list(search(points[own], points[~own], shares[key[0]], radius, bits, np.random.default_rng(SEED), span))
         a, b = (np.concatenate([f[i] for f in found]).view("<i8") if found else np.zeros(0, "<i8") for i in (0, 1))
-        keep = forest(a, b)
+        keep = forest(a, b) if span else slice(None)
         return pd.DataFrame({"a": a[keep], "b": b[keep]})
 
     dealt = prints.mapInPandas(deal, "tree int, shard long, fp long, own boolean")
@@ -244,3 +243,72 @@ def components(docs: DataFrame, words: int = WORDS, bits: int = BITS, doc_id: st
     least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
     several = grouped.join(least.where("n > 1").drop("n"), "group", "left")
     return several.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def shingle_sets(text: Column, words: int) -> Column:
+    """The distinct hashes of a text's word shingles in rising order, as bytes."""
+
+    def hashes(text: bytes) -> bytes:
+        import xxhash
+
+        parts = text.lower().split()
+        found = {xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+        return np.sort(np.fromiter(found, "<u8", len(found))).tobytes()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([hashes(bytes(t)) for t in batch], dtype=object)
+
+    return F.pandas_udf(run, "binary").asNondeterministic()(utf8(text))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets of shingles; 1 for two empty ones."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def of(x: bytes, y: bytes) -> float:
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+        for a, b in batches:
+            yield pd.Series([of(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double").asNondeterministic()(a, b)
+
+
+def bits_for(similarity: float) -> int:
+    """Differing bits that two sets of this Jaccard similarity are expected to have at most: pi times their share is the angle of a cosine of 2 J / (1 + J)."""
+    return int(64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of `docs`, one row of each group of near copies: that of the smallest doc_id (nulls last), then of the least text hash.
+
+    Texts are linked if their fingerprints have no more differing bits than the
+    similarity lets expect, and their word shingles have a Jaccard similarity of
+    `similarity` or more, which is checked exactly. Equal texts are one text;
+    texts without words are one text. No rows give no rows.
+    """
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    digest = F.md5(utf8(F.col("text")))
+    printed = store(plain.select("doc_id", digest.alias("t"), fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    texts = store(printed.groupBy("t", "fp").agg(first), "texts")
+    least = store(texts.groupBy("fp").agg(F.min(F.struct("first", "t"))["t"].alias("rep")), "reps")
+    pairs = store(links(store(least.select("fp"), "prints"), bits_for(similarity), span=False).distinct(), "pairs")
+    a, b = (least.select(F.col("fp").alias(x), F.col("rep").alias(f"t{x}")) for x in ("a", "b"))
+    between = pairs.join(a, "a").join(b, "b").select("ta", "tb")
+    inside = texts.join(least, "fp").where("t <> rep").select(F.col("rep").alias("ta"), F.col("t").alias("tb"))
+    tied = store(between.unionByName(inside), "tied")
+    wanted = tied.select(F.explode(F.array("ta", "tb")).alias("t")).distinct()
+    chosen = plain.withColumn("t", digest).join(wanted, "t").groupBy("t").agg(F.min("text").alias("text"))
+    sets = store(chosen.select("t", shingle_sets(F.col("text"), words).alias("s")), "shingles")
+    sides = [sets.select(F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
+    near = tied.join(sides[0], "ta").join(sides[1], "tb").withColumn("j", jaccard(F.col("sa"), F.col("sb"))).where(F.col("j") >= similarity)
+    groups = connected(store(near.select(F.col("ta").alias("a"), F.col("tb").alias("b")), "near"))
+    grouped = texts.join(groups.withColumnRenamed("node", "t"), "t", "left").withColumn("g", F.coalesce("component", "t"))
+    kept = grouped.groupBy("g").agg(F.min(F.struct("first", "t")).alias("k")).select(F.col("k.t").alias("_t"), F.col("k.first.doc_id").alias("_id"))
+    keyed = docs.withColumn("_text_md5", F.md5(utf8(F.col(text))))
+    out = keyed.join(kept, (F.col("_text_md5") == F.col("_t")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
+    return out.dropDuplicates([doc_id, "_text_md5"]).select(*docs.columns)
