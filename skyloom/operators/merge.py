@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def survivors(rows: DataFrame, key: list[str], score: Column, order: str, scalars: list[str], arrays: list[str] = ()) -> DataFrame:
@@ -30,7 +31,7 @@ def greedy_clusters(rows: DataFrame, block: list[str], order: str, fits: Callabl
 
     The order of rows decides, so a block is one group of a grouped map; blocks must be small by choice of their key.
     """
-    schema = rows.schema.add("cluster", rows.schema[order].dataType)
+    schema = StructType([*rows.schema.fields, StructField("cluster", rows.schema[order].dataType)])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         heads, out = [], []

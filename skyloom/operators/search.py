@@ -84,10 +84,12 @@ def facet_counts(rows: DataFrame, spec: Spec, facets: list[str], **columns) -> D
     found = conditions(spec, **columns)
     others = lambda facet: reduce(lambda a, b: a & b, [c for k, c in found.items() if k != facet], F.lit(True))
     types = dict(rows.dtypes)
-    values = [
-        F.when(others(f), F.transform(F.col(f) if types[f].startswith("array") else F.array(f), lambda x, f=f: F.struct(F.lit(f).alias("facet"), x.cast("string").alias("value"))))
-        for f in facets
-    ]
+
+    def values_of(f: str) -> Column:
+        items = F.col(f) if types[f].startswith("array") else F.array(f)
+        return F.when(others(f), F.transform(items, lambda x: F.struct(F.lit(f).alias("facet"), x.cast("string").alias("value"))))
+
+    values = [values_of(f) for f in facets]
     flat = rows.select(F.explode(F.flatten(F.array_compact(F.array(*values)))).alias("v")).select("v.*")
     return flat.groupBy("facet", "value").agg(F.count("*").alias("n"))
 
