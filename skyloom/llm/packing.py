@@ -30,7 +30,10 @@ KNOWN_WORDS, BLOCK_BYTES = 200_000, 1 << 20
 
 
 class WordIds:
-    """Token ids of white-space-separated words, which the tokenizer never joins, as little-endian 32-bit numbers."""
+    """Token ids of white-space-separated words, which the tokenizer never joins, as little-endian 32-bit numbers.
+
+    The tokenizer ignores case and parts a point or comma from the letter before it, so words that differ in these alone are encoded once.
+    """
 
     def __init__(self, path: str):
         import os
@@ -40,6 +43,14 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    @staticmethod
+    def fold(word: bytes) -> tuple[bytes, ...]:
+        """Parts in lower case that have the word's ids one after the other. What may be a special token stays as it is."""
+        if b"<|" in word:
+            return (word,)
+        word = word.lower()
+        return (word[:-1], word[-1:]) if word[-1:] in (b".", b",") and word[-2:-1].isalpha() else (word,)
+
     def __call__(self, words: list[bytes]) -> bytes:
         import numpy as np
 
@@ -49,9 +60,11 @@ class WordIds:
             known.clear()
             new = set(words)
         if new:
-            new = list(new)
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+            folded = {w: self.fold(w) for w in new}
+            missing = list({f for pair in folded.values() for f in pair if f not in known})
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, found, strict=True))
+            known.update((w, b"".join(known[f] for f in pair)) for w, pair in folded.items())
         return b"".join(map(known.__getitem__, words))
 
 
