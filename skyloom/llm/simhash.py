@@ -199,7 +199,7 @@ def search(own: np.ndarray, others: np.ndarray, mask: np.uint64, radius: int, bi
 
 
 def links(prints: DataFrame, bits: int = BITS, span: bool = True) -> DataFrame:
-    """a, b: links between distinct fingerprints (`fp`, stored) that span the groups of all pairs with at most `bits` differing bits; all such pairs where they are few, if not `span`."""
+    """a, b: links between distinct fingerprints (`fp`, stored) that span the groups of all pairs with at most `bits` differing bits. If not `span`, a shard with no more than two pairs for each linked fingerprint returns all of them."""
     n = prints.count()
     shares, rng = masks(bits // 2 + 1), np.random.default_rng(SEED)
     radius = bits // len(shares)
@@ -217,7 +217,8 @@ def links(prints: DataFrame, bits: int = BITS, span: bool = True) -> DataFrame:
         points, own = group["fp"].to_numpy("<i8").view("<u8"), group["own"].to_numpy(bool)
         found = list(search(points[own], points[~own], shares[key[0]], radius, bits, np.random.default_rng(SEED), span))
         a, b = (np.concatenate([f[i] for f in found]).view("<i8") if found else np.zeros(0, "<i8") for i in (0, 1))
-        keep = forest(a, b) if span else slice(None)
+        few = not span and len(a) <= 2 * len(np.unique(np.concatenate([a, b])))
+        keep = slice(None) if few else forest(a, b)
         return pd.DataFrame({"a": a[keep], "b": b[keep]})
 
     dealt = prints.mapInPandas(deal, "tree int, shard long, fp long, own boolean")
