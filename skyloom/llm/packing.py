@@ -10,9 +10,11 @@ until bins run empty or no exchange is left.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,15 +27,18 @@ SIZE = 2048
 CHUNK_PIECES = 16_384
 #: A chunk's bins that local search looks at: the emptiest ones, as sources, and the partners of each.
 SOURCES, PARTNERS = 256, 512
-#: Words whose ids a task keeps, and bytes of a text that it tokenizes at a time.
-KNOWN_WORDS, BLOCK_BYTES = 200_000, 1 << 20
+#: Words whose ids a task keeps, bytes of a text that it tokenizes at a time, and letter-only words that it encodes as one line.
+KNOWN_WORDS, BLOCK_BYTES, LINE_WORDS = 500_000, 1 << 20, 256
+FINAL = re.compile(rb"([a-z])([.,])(?=[\x20\x09-\x0D]|$)")
 
 
-class WordIds:
-    """Token ids of white-space-separated words, which the tokenizer never joins, as little-endian 32-bit numbers.
+def folded(text: bytes) -> list[bytes]:
+    """Words in lower case, a final point or comma after a letter apart: the tokenizer ignores the one and does the other. A text with what may be a special token stays as it is."""
+    return text.split() if b"<|" in text else FINAL.sub(rb"\1 \2", text.lower()).split()
 
-    The tokenizer ignores case and parts a point or comma from the letter before it, so words that differ in these alone are encoded once.
-    """
+
+class WordIds:
+    """Token ids of white-space-separated words, which the tokenizer never joins, as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
         import os
@@ -42,30 +47,34 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    @staticmethod
-    def fold(word: bytes) -> tuple[bytes, ...]:
-        """Parts in lower case that have the word's ids one after the other. What may be a special token stays as it is."""
-        if b"<|" in word:
-            return (word,)
-        word = word.lower()
-        return (word[:-1], word[-1:]) if word[-1:] in (b".", b",") and word[-2:-1].isalpha() else (word,)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+
+    def learn(self, lists: list[list[bytes]]) -> None:
+        """Encode what these lists of words have that isn't known."""
+        new = set().union(*lists).difference(self.known)
+        if new and len(self.known) + len(new) > KNOWN_WORDS:
+            self.known.clear()
+            new = set().union(*lists)
+        plain = [w for w in new if w.isalpha()]  # bytes: ASCII letters alone, which end with one end-of-word token
+        rest = [w for w in new if not w.isalpha()]
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        for line, found in zip(lines, self.encoded([b" ".join(x) for x in lines]), strict=True):
+            end = np.nonzero(self.ends[found])[0] + 1
+            if len(end) == len(line):
+                data, at = found.tobytes(), 0
+                for w, e in zip(line, (4 * end).tolist(), strict=True):
+                    self.known[w], at = data[at:e], e
+            else:
+                rest += line
+        self.known.update((w, x.tobytes()) for w, x in zip(rest, self.encoded(rest), strict=True))
+
+    def encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def __call__(self, words: list[bytes]) -> bytes:
-        import numpy as np
-
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new and len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = set(words)
-        if new:
-            folded = {w: self.fold(w) for w in new}
-            missing = list({f for pair in folded.values() for f in pair if f not in known})
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, found, strict=True))
-            known.update((w, b"".join(known[f] for f in pair)) for w, pair in folded.items())
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def blocks(text: bytes) -> Iterator[bytes]:
@@ -80,8 +89,8 @@ def blocks(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def pieces_of(text: bytes, ids: WordIds, size: int) -> list[tuple[int, int, int]]:
-    """Start, length and CRC-32 of a document's pieces; id 0 ends the document."""
+def pieces_of(ids: Iterable[bytes], size: int) -> list[tuple[int, int, int]]:
+    """Start, length and CRC-32 of a document's pieces, from its ids in parts; id 0 ends the document."""
     out, start, rest = [], 0, b""
 
     def cut(data: bytes, least: int) -> bytes:
@@ -93,12 +102,37 @@ def pieces_of(text: bytes, ids: WordIds, size: int) -> list[tuple[int, int, int]
             start, at = start + len(part) // 4, at + len(part)
         return data[at:]
 
-    for block in blocks(text):
-        rest = cut(rest + ids(block.split()), 4 * size)
+    for part in ids:
+        rest = cut(rest + part, 4 * size)
     cut(rest + bytes(4), 4)
     return out
 
 
+def pieces_of_all(texts: Iterable[bytes], ids: WordIds, size: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Pieces of each text. Short texts are tokenized some at a time, a long one block by block."""
+
+    def known(words: list[bytes]) -> bytes:
+        ids.learn([words])
+        return ids(words)
+
+    held, total = [], 0
+
+    def flush() -> Iterator[list[tuple[int, int, int]]]:
+        ids.learn(held)
+        yield from (pieces_of([ids(words)], size) for words in held)
+
+    for text in texts:
+        if held and total + len(text) > BLOCK_BYTES:
+            yield from flush()
+            held, total = [], 0
+        if len(text) > BLOCK_BYTES:
+            yield pieces_of((known(folded(b)) for b in blocks(text)), size)
+        else:
+            held.append(folded(text))
+            total += len(text)
+    yield from flush()
+
+
 def tokenized(docs: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each row."""
     plain = docs.select(F.col(doc_id).cast("string").alias("doc_id"), utf8(F.col(text)).alias("text"))
@@ -106,7 +140,8 @@ def tokenized(docs: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds(tokenizer)
         for batch in batches:
-            rows = [(i, k, *p) for i, t in enumerate(batch["text"]) for k, p in enumerate(pieces_of(bytes(t), ids, size))]
+            found = pieces_of_all(map(bytes, batch["text"]), ids, size)
+            rows = [(i, k, *p) for i, pieces in enumerate(found) for k, p in enumerate(pieces)]
             out = pd.DataFrame(rows, columns=["_i", "piece", "start", "length", "ids_crc32"])
             out.insert(0, "doc_id", batch["doc_id"].take(out["_i"]).to_numpy())
             yield out.drop(columns="_i")
