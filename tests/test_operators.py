@@ -79,8 +79,8 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     writer = limits.rate_limited_stream(stream, "user_id", "ts", "event_id", 2, 60).writeStream.format("memory").queryName("limited").outputMode("append")
-    running = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    running.awaitTermination(120)
+    running = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()  # with timeouts, available-now never ends
+    assert running.awaitTermination(60)
     batch = limits.rate_limited(rows, "user_id", "ts", "event_id", 2, 60)
     assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, batch.collect()))
 
