@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import kind
-from skyloom.scratch import scratch_path, store
+from skyloom.scratch import scratch_path, small, store
 
 BLOCK_LINES = 512
 #: Rows of the directory that a task reads at a time.
@@ -180,7 +180,9 @@ def judged(pages: DataFrame, least: int) -> DataFrame:
     """
     rows = pages.withColumn("_sha", F.sha1("payload"))
     best = rows.where(F.octet_length("payload") >= least).groupBy("_sha").agg(F.max("page_id").alias("_best"), F.count("*").alias("_n")).where("_n > 1")
-    rows = rows.join(best.drop("_n"), "_sha", "left")
+    best = store(best.drop("_n"), "repeats")
+    # Where repeated payloads are few, as counted, payloads aren't shuffled for this.
+    rows = rows.join(small(best, best.count()), "_sha", "left")
     again = F.col("_best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_best"))
     return rows.select(
         page_number(F.col("page_id")).alias("page"), F.coalesce("url", F.lit("")).alias("url"), "payload",
