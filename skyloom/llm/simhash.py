@@ -128,7 +128,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def leaf_links(own: np.ndarray, others: np.ndarray, bits: int, span: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def leaf_links(own: np.ndarray, others: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that span the groups among own points, and of these with others. Points are compared in blocks; where links abound, groups grow one point at a time, each compared only with points not yet reached."""
     both = np.concatenate([own, others])
     if len(own) > 4 * LEAF:
@@ -144,7 +144,7 @@ def leaf_links(own: np.ndarray, others: np.ndarray, bits: int, span: bool) -> It
         new = j > i
         if new.any():
             a, b = own[i[new]], both[j[new]]
-            keep = forest(a, b) if span else slice(None)
+            keep = forest(a, b)
             yield a[keep], b[keep]
 
 
@@ -170,58 +170,93 @@ def reached(own: np.ndarray, others: np.ndarray, bits: int) -> Iterator[tuple[np
                 break
 
 
-def search(own: np.ndarray, others: np.ndarray, mask: np.uint64, radius: int, bits: int, rng: np.random.Generator, span: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within a shard, by going on with the tree: first by the share's distance, then by the whole one."""
+class Labels:
+    """Labels of distinct points, looked up by value."""
+
+    def __init__(self, points: np.ndarray, labels: np.ndarray):
+        order = np.argsort(points)
+        self.points, self.labels = points[order], labels[order]
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        return self.labels[np.searchsorted(self.points, points)]
+
+
+def crossing(own: np.ndarray, others: np.ndarray, bits: int, labels: Labels) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links among own points, and of these with others, whose ends have different labels; block by block."""
+    both = np.concatenate([own, others])
+    x, y = labels(own), labels(both)
+    rows = max(1, CHUNK // len(both))
+    for at in range(0, len(own), rows):
+        near = np.bitwise_count(own[at : at + rows, None] ^ both[None]) <= bits
+        i, j = np.nonzero(near & (x[at : at + rows, None] != y[None]))
+        i += at
+        new = j > i
+        if new.any():
+            yield own[i[new]], both[j[new]]
+
+
+def search(own: np.ndarray, others: np.ndarray, mask: np.uint64, radius: int, bits: int, rng: np.random.Generator, labels: Labels | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within a shard, by going on with the tree: first by the share's distance, then by the whole one. With labels, all links between different ones; a branch of one label has none."""
     full = np.uint64(2**64 - 1)
+    meet = (lambda x, y: crossing(x, y, bits, labels)) if labels else (lambda x, y: leaf_links(x, y, bits))
     todo = [(own, others, mask, radius)]
     while todo:
         own, others, mask, radius = todo.pop()
         if not len(own) or len(own) + len(others) < 2:
             continue
+        if labels and (labels(own) == (one := labels(own[:1]))).all() and (labels(others) == one).all():
+            continue
         if len(own) <= LEAF:
-            yield from leaf_links(own, others, bits, span)
+            yield from meet(own, others)
             continue
         cut = split(own, mask, rng)
         if not cut:
             if mask != full:
                 todo.append((own, others, full, bits))
             else:
-                yield from leaf_links(own, others, bits, span)
+                yield from meet(own, others)
             continue
         v, t = cut
         d, e = np.bitwise_count((own ^ v) & mask).astype(np.int64), np.bitwise_count((others ^ v) & mask).astype(np.int64)
         if mask == full and min((d - radius <= t).sum(), (d + radius > t).sum()) > 0.9 * len(own):
-            yield from leaf_links(own, others, bits, span)  # bounds no longer prune here
+            yield from meet(own, others)  # bounds no longer prune here
             continue
         near, far = d <= t, d > t
         todo.append((own[near], np.concatenate([own[far & (d - radius <= t)], others[e - radius <= t]]), mask, radius))
         todo.append((own[far], others[e + radius > t], mask, radius))
 
 
-def links(prints: DataFrame, bits: int = BITS, span: bool = True) -> DataFrame:
-    """a, b: links between distinct fingerprints (`fp`, stored) that span the groups of all pairs with at most `bits` differing bits. If not `span`, a shard with no more than two pairs for each linked fingerprint returns all of them."""
+def links(prints: DataFrame, bits: int = BITS, labelled: bool = False) -> DataFrame:
+    """a, b: links between distinct fingerprints (`fp`, stored) that span the groups of all pairs with at most `bits` differing bits. If `labelled`, all such pairs whose ends have different labels (`label`, a long)."""
     n = prints.count()
     shares, rng = masks(bits // 2 + 1), np.random.default_rng(SEED)
     radius = bits // len(shares)
-    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy("<i8").view("<u8")
+    sample = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy("<i8").view("<u8")
     trees = [grow(sample, m, min(MOST_SHARDS, -(-n // SHARD)), rng) for m in shares]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             points = batch["fp"].to_numpy("<i8").view("<u8")
+            labels = Labels(points, batch["label"].to_numpy("<i8"))
             for k, (tree, m) in enumerate(zip(trees, shares, strict=True)):
                 for shard, x, own in route(tree, points, np.ones(len(points), bool), radius, m):
-                    yield pd.DataFrame({"tree": k, "shard": shard, "fp": x.view("<i8"), "own": own})
+                    yield pd.DataFrame({"tree": k, "shard": shard, "fp": x.view("<i8"), "own": own, "label": labels(x)})
 
-    def within(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def within(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(parts))
         points, own = group["fp"].to_numpy("<i8").view("<u8"), group["own"].to_numpy(bool)
-        found = list(search(points[own], points[~own], shares[key[0]], radius, bits, np.random.default_rng(SEED), span))
-        a, b = (np.concatenate([f[i] for f in found]).view("<i8") if found else np.zeros(0, "<i8") for i in (0, 1))
-        few = not span and len(a) <= 2 * len(np.unique(np.concatenate([a, b])))
-        keep = slice(None) if few else forest(a, b)
-        return pd.DataFrame({"a": a[keep], "b": b[keep]})
-
-    dealt = prints.mapInPandas(deal, "tree int, shard long, fp long, own boolean")
+        labels = Labels(points, group["label"].to_numpy("<i8")) if labelled else None
+        found = search(points[own], points[~own], shares[int(key[0])], radius, bits, np.random.default_rng(SEED), labels)
+        if labelled:
+            for a, b in found:
+                yield pd.DataFrame({"a": a.view("<i8"), "b": b.view("<i8")})
+        elif all_found := list(found):
+            a, b = (np.concatenate([f[i] for f in all_found]).view("<i8") for i in (0, 1))
+            keep = forest(a, b)
+            yield pd.DataFrame({"a": a[keep], "b": b[keep]})
+
+    with_label = prints.select("fp", (F.col("label") if labelled else F.lit(0)).cast("long").alias("label"))
+    dealt = with_label.mapInPandas(deal, "tree int, shard long, fp long, own boolean, label long")
     return dealt.groupBy("tree", "shard").applyInPandas(within, "a long, b long")
 
 
@@ -283,31 +318,53 @@ def bits_for(similarity: float) -> int:
     return int(64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def similar(pairs: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: those of the pairs of text digests ta, tb (stored) whose texts' shingles have this Jaccard similarity. `plain` has t (digest) and text."""
+    wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct()
+    chosen = plain.join(wanted, "t").groupBy("t").agg(F.min("text").alias("text"))
+    sets = store(chosen.select("t", shingle_sets(F.col("text"), words).alias("s")), "shingles")
+    sides = [sets.select(F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
+    found = pairs.join(sides[0], "ta").join(sides[1], "tb").withColumn("j", jaccard(F.col("sa"), F.col("sb"))).where(F.col("j") >= similarity)
+    return store(found.select(F.col("ta").alias("a"), F.col("tb").alias("b")), "near")
+
+
 def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of `docs`, one row of each group of near copies: that of the smallest doc_id (nulls last), then of the least text hash.
 
     Texts are linked if their fingerprints have no more differing bits than the
     similarity lets expect, and their word shingles have a Jaccard similarity of
-    `similarity` or more, which is checked exactly. Equal texts are one text;
+    `similarity` or more, which is checked exactly. No such link is lost: first
+    candidates that span the groups are checked, which ties most copies, then all
+    candidates between texts that these left apart. Equal texts are one text;
     texts without words are one text. No rows give no rows.
     """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    digest = F.md5(utf8(F.col("text")))
-    printed = store(plain.select("doc_id", digest.alias("t"), fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(utf8(F.col(text))).alias("t"))
+    printed = store(plain.select("doc_id", "t", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     texts = store(printed.groupBy("t", "fp").agg(first), "texts")
     least = store(texts.groupBy("fp").agg(F.min(F.struct("first", "t"))["t"].alias("rep")), "reps")
-    pairs = store(links(store(least.select("fp"), "prints"), bits_for(similarity), span=False).distinct(), "pairs")
+    bits = bits_for(similarity)
+
+    pairs = store(links(least, bits).distinct(), "pairs")
     a, b = (least.select(F.col("fp").alias(x), F.col("rep").alias(f"t{x}")) for x in ("a", "b"))
     between = pairs.join(a, "a").join(b, "b").select("ta", "tb")
     inside = texts.join(least, "fp").where("t <> rep").select(F.col("rep").alias("ta"), F.col("t").alias("tb"))
     tied = store(between.unionByName(inside), "tied")
-    wanted = tied.select(F.explode(F.array("ta", "tb")).alias("t")).distinct()
-    chosen = plain.withColumn("t", digest).join(wanted, "t").groupBy("t").agg(F.min("text").alias("text"))
-    sets = store(chosen.select("t", shingle_sets(F.col("text"), words).alias("s")), "shingles")
-    sides = [sets.select(F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
-    near = tied.join(sides[0], "ta").join(sides[1], "tb").withColumn("j", jaccard(F.col("sa"), F.col("sb"))).where(F.col("j") >= similarity)
-    groups = connected(store(near.select(F.col("ta").alias("a"), F.col("tb").alias("b")), "near"))
+    near = similar(tied, plain, words, similarity)
+
+    # A fingerprint whose texts are in several groups has a label of its own, and its texts are candidates of each other.
+    groups = connected(near).withColumnRenamed("node", "t")
+    placed = store(texts.select("t", "fp").join(groups, "t", "left").select("t", "fp", F.coalesce("component", "t").alias("g")), "placed")
+    spread = placed.groupBy("fp").agg(F.min("g").alias("g"), (F.min("g") != F.max("g")).alias("several"))
+    labels = store(spread.select("fp", "several", F.when(F.col("several"), F.xxhash64("fp")).otherwise(F.xxhash64("g")).alias("label")), "labels")
+    apart = links(labels, bits, labelled=True).distinct().unionByName(labels.where("several").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    a, b = (placed.select(F.col("fp").alias(x), F.col("t").alias(f"t{x}"), F.col("g").alias(f"g{x}")) for x in ("a", "b"))
+    more = store(apart, "apart").join(a, "a").join(b, "b").where((F.col("ga") != F.col("gb")) & ((F.col("a") != F.col("b")) | (F.col("ta") < F.col("tb"))))
+    low, high = F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")
+    more = store(more.select(low, high).join(tied.select(low, high), ["ta", "tb"], "left_anti"), "more")
+    near = near.unionByName(similar(more, plain, words, similarity))
+
+    groups = connected(near)
     grouped = texts.join(groups.withColumnRenamed("node", "t"), "t", "left").withColumn("g", F.coalesce("component", "t"))
     kept = grouped.groupBy("g").agg(F.min(F.struct("first", "t")).alias("k")).select(F.col("k.t").alias("_t"), F.col("k.first.doc_id").alias("_id"))
     keyed = docs.withColumn("_text_md5", F.md5(utf8(F.col(text))))

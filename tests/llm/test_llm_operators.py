@@ -166,6 +166,32 @@ def test_simhash_groups(spark, docs, none):
     assert kept.columns == docs.columns and {0, 8} <= set(ids) and not {1, 2, 9, 10} & set(ids) and len(ids) == len(set(ids))
 
 
+def test_near_copies_in_a_dense_group(spark, monkeypatch):
+    """Candidates are dense, and whether a pair is similar enough isn't told by whether others are: no link may be lost."""
+    monkeypatch.setattr(simhash, "SHARD", 50)
+    rng = np.random.default_rng(3)
+    common, made = " ".join(f"w{i}" for i in range(40)), []
+    for pair in range(80):  # what repeats tells the fingerprint, the rest how similar two texts are
+        own = [f"x{pair}_{i}" for i in range(90)]
+        for _ in range(2):
+            w = list(own)
+            for k in rng.choice(90, rng.integers(0, 4), replace=False):
+                w[k] = f"y{rng.integers(10**6)}"
+            made.append(" ".join([common] * 12 + w))
+    made += ["one two", "One  two", "three four", *[f"{m} {m}" for m in made[:20]]]
+    made = [made[i] for i in rng.permutation(len(made))]
+    sets = [{tuple(w[k : k + 5]) for w in [m.lower().split()] for k in range(max(1, len(w) - 4))} for m in made]
+    prints = [simhash.bits_of(m.encode(), 5) for m in made]
+    group = list(range(len(made)))
+    for a in group[:]:
+        for b in range(a):
+            if group[a] != group[b] and (prints[a] ^ prints[b]).bit_count() <= 9 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(table, 5, 0.8).collect()} == set(group)
+
+
 def test_rules(spark, docs, none):
     for r, t in zip(sorted(rules.quality_rules(docs.where("doc_id is not null")).collect(), key=lambda r: r.doc_id), sorted(docs.where("doc_id is not null").collect(), key=lambda r: r.doc_id)):
         w = words(t.text)
