@@ -32,27 +32,37 @@ BITS, WORDS, SEED = 4, 4, 42
 SAMPLE, SHARD, MOST_SHARDS = 20_000, 25_000, 4_096
 LEAF = 128
 CHUNK = 2_000_000
+#: Bits of a sketch, and pairs whose sketches are compared at once.
+SKETCH, PIECE = 1_024, 100_000
 
 
-def bits_of(text: bytes, words: int, seed: int = SEED) -> int:
-    """SimHash of a text: a bit is set if it is in over half the XXH64 hashes of its word shingles."""
+def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each of a text's word shingles, repeats included; of the whole sequence if it is shorter, none without words."""
     import xxhash
 
     parts = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     n = max(1, len(parts) - words + 1)
     end = (start + size)[min(words, len(parts)) - 1 :][:n]
     line, of = b" ".join(parts), xxhash.xxh64_intdigest
-    count, at = np.zeros(64, np.int64), 0
-    while at < n:
-        to = min(n, at + 65_536)
-        hashes = np.array([of(line[s:e], seed) for s, e in zip(start[at:to].tolist(), end[at:to].tolist(), strict=True)], "<u8")
-        count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        at = to
-    return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
+    pieces = (zip(start[:n][at : at + 65_536].tolist(), end[at : at + 65_536].tolist(), strict=True) for at in range(0, n, 65_536))
+    return np.fromiter((of(line[s:e], seed) for piece in pieces for s, e in piece), "<u8", n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half the hashes."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        count += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def bits_of(text: bytes, words: int, seed: int = SEED) -> int:
+    """SimHash of a text."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprint(text: Column, words: int = WORDS) -> Column:
@@ -65,6 +75,25 @@ def fingerprint(text: Column, words: int = WORDS) -> Column:
     return F.pandas_udf(run, "long").asNondeterministic()(utf8(text))
 
 
+def fingerprint_and_sketch(text: Column, words: int) -> Column:
+    """Struct of `fp`, `sketch` (a bit for each of SKETCH values of the distinct shingle hashes, set if an odd number of them has it) and `shingles` (their count).
+
+    Sketches of two texts differ in at most as many bits as their sets of shingles have members that are not common.
+    """
+
+    def of(text: bytes) -> tuple:
+        hashes = shingle_hashes(text, words)
+        distinct = np.unique(hashes)
+        odd = np.bincount((distinct % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+        return np.uint64(majority(hashes)).astype("<i8"), np.packbits(odd.astype(bool)).tobytes(), len(distinct)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([of(bytes(t)) for t in batch], columns=["fp", "sketch", "shingles"])
+
+    return F.pandas_udf(run, "fp long, sketch binary, shingles long").asNondeterministic()(utf8(text))
+
+
 def hex64(value: Column) -> Column:
     """16 lower-case hex digits of a long."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
@@ -128,40 +157,86 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def leaf_links(own: np.ndarray, others: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Points:
+    """The points of a shard. Beside fingerprints they may have labels, sketches and counts of shingles (-1: no sketch)."""
+
+    def __init__(self, prints: np.ndarray, bits: int, labels: np.ndarray | None = None, sketches: np.ndarray | None = None, shingles: np.ndarray | None = None, similarity: float = 0):
+        self.prints, self.bits, self.labels, self.sketches, self.shingles = prints, bits, labels, sketches, shingles
+        self.apart = (1 - similarity) / (1 + similarity)
+
+    def distance(self, some: np.ndarray, vantage: np.uint64, mask: np.uint64) -> np.ndarray:
+        return np.bitwise_count((self.prints[some] ^ vantage) & mask).astype(np.int64)
+
+    def may_be_similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """False where sketches prove that sets of shingles differ more than the similarity allows: for a similarity J, (1 - J) / (1 + J) of their summed sizes."""
+        ok = np.ones(len(a), bool)
+        if self.sketches is None:
+            return ok
+        for at in range(0, len(a), PIECE):
+            x, y = a[at : at + PIECE], b[at : at + PIECE]
+            differ = np.bitwise_count(self.sketches[x] ^ self.sketches[y]).sum(axis=1, dtype=np.int64)
+            n, m = self.shingles[x], self.shingles[y]
+            ok[at : at + PIECE] = (n < 0) | (m < 0) | (differ <= (n + m) * self.apart + 1e-9)
+        return ok
+
+    def near(self, some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in both of linked points; if there are labels, of those with different ones only."""
+        found = np.bitwise_count(self.prints[some][:, None] ^ self.prints[others][None]) <= self.bits
+        if self.labels is not None:
+            found &= self.labels[some][:, None] != self.labels[others][None]
+        i, j = np.nonzero(found)
+        ok = self.may_be_similar(some[i], others[j])
+        return i[ok], j[ok]
+
+
+def all_links(points: Points, own: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links among own points, and of these with others, block by block."""
+    both = np.concatenate([own, others])
+    rows = max(1, CHUNK // len(both))
+    for at in range(0, len(own), rows):
+        i, j = points.near(own[at : at + rows], both)
+        new = j > i + at
+        if new.any():
+            yield own[i[new] + at], both[j[new]]
+
+
+def leaf_links(points: Points, own: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that span the groups among own points, and of these with others. Points are compared in blocks; where links abound, groups grow one point at a time, each compared only with points not yet reached."""
     both = np.concatenate([own, others])
     if len(own) > 4 * LEAF:
-        yield from reached(own, others, bits)
+        yield from reached(points, own, others)
         return
     rows = max(1, CHUNK // len(both))
     for at in range(0, len(own), rows):
-        i, j = np.nonzero(np.bitwise_count(own[at : at + rows, None] ^ both[None]) <= bits)
+        i, j = points.near(own[at : at + rows], both)
         if len(i) > 16 * len(both):
-            yield from reached(own[at:], others if not at else np.concatenate([own[:at], others]), bits)
+            yield from reached(points, own[at:], np.concatenate([own[:at], others]))
             return
-        i += at
-        new = j > i
+        new = j > i + at
         if new.any():
-            a, b = own[i[new]], both[j[new]]
+            a, b = own[i[new] + at], both[j[new]]
             keep = forest(a, b)
             yield a[keep], b[keep]
 
 
-def reached(own: np.ndarray, others: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def reached(points: Points, own: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same by breadth-first search. A point's neighbours leave the sets of unreached points, so a group of n points near each other costs few passes, not n."""
+
+    def take(point: int, unreached: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.zeros(len(unreached), bool)
+        near[points.near(np.array([point]), unreached)[1]] = True
+        return unreached[near], unreached[~near]
+
     left, right = own, others
     while len(left):
         queue, left = [(left[0], True)], left[1:]
         while queue:
             point, mine = queue.pop()
-            near = np.bitwise_count(left ^ point) <= bits
-            found = [(left[near], True)]
-            left = left[~near]
+            found, left = take(point, left)
+            found = [(found, True)]
             if mine:
-                near = np.bitwise_count(right ^ point) <= bits
-                found.append((right[near], False))
-                right = right[~near]
+                theirs, right = take(point, right)
+                found.append((theirs, False))
             for x, is_own in found:
                 if len(x):
                     yield np.full(len(x), point), x
@@ -170,94 +245,84 @@ def reached(own: np.ndarray, others: np.ndarray, bits: int) -> Iterator[tuple[np
                 break
 
 
-class Labels:
-    """Labels of distinct points, looked up by value."""
-
-    def __init__(self, points: np.ndarray, labels: np.ndarray):
-        order = np.argsort(points)
-        self.points, self.labels = points[order], labels[order]
-
-    def __call__(self, points: np.ndarray) -> np.ndarray:
-        return self.labels[np.searchsorted(self.points, points)]
-
-
-def crossing(own: np.ndarray, others: np.ndarray, bits: int, labels: Labels) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links among own points, and of these with others, whose ends have different labels; block by block."""
-    both = np.concatenate([own, others])
-    x, y = labels(own), labels(both)
-    rows = max(1, CHUNK // len(both))
-    for at in range(0, len(own), rows):
-        near = np.bitwise_count(own[at : at + rows, None] ^ both[None]) <= bits
-        i, j = np.nonzero(near & (x[at : at + rows, None] != y[None]))
-        i += at
-        new = j > i
-        if new.any():
-            yield own[i[new]], both[j[new]]
-
-
-def search(own: np.ndarray, others: np.ndarray, mask: np.uint64, radius: int, bits: int, rng: np.random.Generator, labels: Labels | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within a shard, by going on with the tree: first by the share's distance, then by the whole one. With labels, all links between different ones; a branch of one label has none."""
-    full = np.uint64(2**64 - 1)
-    meet = (lambda x, y: crossing(x, y, bits, labels)) if labels else (lambda x, y: leaf_links(x, y, bits))
+def search(points: Points, own: np.ndarray, others: np.ndarray, mask: np.uint64, radius: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within a shard as numbers of points, by going on with the tree: first by the share's distance, then by the whole one. With labels, all links between different ones; a branch of one label has none."""
+    full, labels = np.uint64(2**64 - 1), points.labels
+    meet = leaf_links if labels is None else all_links
     todo = [(own, others, mask, radius)]
     while todo:
         own, others, mask, radius = todo.pop()
         if not len(own) or len(own) + len(others) < 2:
             continue
-        if labels and (labels(own) == (one := labels(own[:1]))).all() and (labels(others) == one).all():
+        if labels is not None and (labels[own] == labels[own[0]]).all() and (labels[others] == labels[own[0]]).all():
             continue
         if len(own) <= LEAF:
-            yield from meet(own, others)
+            yield from meet(points, own, others)
             continue
-        cut = split(own, mask, rng)
+        cut = split(points.prints[own], mask, rng)
         if not cut:
             if mask != full:
-                todo.append((own, others, full, bits))
+                todo.append((own, others, full, points.bits))
             else:
-                yield from meet(own, others)
+                yield from meet(points, own, others)
             continue
         v, t = cut
-        d, e = np.bitwise_count((own ^ v) & mask).astype(np.int64), np.bitwise_count((others ^ v) & mask).astype(np.int64)
+        d, e = points.distance(own, v, mask), points.distance(others, v, mask)
         if mask == full and min((d - radius <= t).sum(), (d + radius > t).sum()) > 0.9 * len(own):
-            yield from meet(own, others)  # bounds no longer prune here
+            yield from meet(points, own, others)  # bounds no longer prune here
             continue
         near, far = d <= t, d > t
         todo.append((own[near], np.concatenate([own[far & (d - radius <= t)], others[e - radius <= t]]), mask, radius))
         todo.append((own[far], others[e + radius > t], mask, radius))
 
 
-def links(prints: DataFrame, bits: int = BITS, labelled: bool = False) -> DataFrame:
-    """a, b: links between distinct fingerprints (`fp`, stored) that span the groups of all pairs with at most `bits` differing bits. If `labelled`, all such pairs whose ends have different labels (`label`, a long)."""
+def links(prints: DataFrame, bits: int = BITS, labelled: bool = False, similarity: float | None = None) -> DataFrame:
+    """a, b: links between distinct fingerprints (`fp`, stored) that span the groups of all pairs with at most `bits` differing bits. If `labelled`, all such pairs whose ends have different labels (`label`, a long).
+
+    With a similarity, pairs whose sketches (`sketch`, with `shingles`; null where a fingerprint has several texts) prove that it is not reached are no links.
+    """
     n = prints.count()
     shares, rng = masks(bits // 2 + 1), np.random.default_rng(SEED)
     radius = bits // len(shares)
     sample = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy("<i8").view("<u8")
     trees = [grow(sample, m, min(MOST_SHARDS, -(-n // SHARD)), rng) for m in shares]
+    extra = ["label"] * labelled + ["sketch", "shingles"] * (similarity is not None)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             points = batch["fp"].to_numpy("<i8").view("<u8")
-            labels = Labels(points, batch["label"].to_numpy("<i8"))
+            row = dict(zip(points.tolist(), range(len(points)), strict=True)) if extra else {}
             for k, (tree, m) in enumerate(zip(trees, shares, strict=True)):
                 for shard, x, own in route(tree, points, np.ones(len(points), bool), radius, m):
-                    yield pd.DataFrame({"tree": k, "shard": shard, "fp": x.view("<i8"), "own": own, "label": labels(x)})
+                    dealt = pd.DataFrame({"tree": k, "shard": shard, "fp": x.view("<i8"), "own": own})
+                    if extra:
+                        at = [row[p] for p in x.tolist()]
+                        dealt = dealt.assign(**{c: batch[c].to_numpy()[at] for c in extra})
+                    yield dealt
 
     def within(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group = pd.concat(list(parts))
-        points, own = group["fp"].to_numpy("<i8").view("<u8"), group["own"].to_numpy(bool)
-        labels = Labels(points, group["label"].to_numpy("<i8")) if labelled else None
-        found = search(points[own], points[~own], shares[int(key[0])], radius, bits, np.random.default_rng(SEED), labels)
+        prints, own = group["fp"].to_numpy("<i8").view("<u8"), group["own"].to_numpy(bool)
+        points = Points(prints, bits, group["label"].to_numpy("<i8") if labelled else None)
+        if similarity is not None:
+            has = group["sketch"].notna().to_numpy()
+            sketches = np.zeros((len(group), SKETCH // 64), "<u8")
+            sketches[has] = np.frombuffer(b"".join(group["sketch"][has]), "<u8").reshape(-1, SKETCH // 64)
+            shingles = np.where(has, group["shingles"].fillna(-1).to_numpy("<i8"), -1)
+            points = Points(prints, bits, points.labels, sketches, shingles, similarity)
+        found = search(points, np.nonzero(own)[0], np.nonzero(~own)[0], shares[int(key[0])], radius, np.random.default_rng(SEED))
+        named = (tuple(prints[x].view("<i8") for x in pair) for pair in found)
         if labelled:
-            for a, b in found:
-                yield pd.DataFrame({"a": a.view("<i8"), "b": b.view("<i8")})
-        elif all_found := list(found):
-            a, b = (np.concatenate([f[i] for f in all_found]).view("<i8") for i in (0, 1))
+            for a, b in named:
+                yield pd.DataFrame({"a": a, "b": b})
+        elif all_found := list(named):
+            a, b = (np.concatenate([f[i] for f in all_found]) for i in (0, 1))
             keep = forest(a, b)
             yield pd.DataFrame({"a": a[keep], "b": b[keep]})
 
-    with_label = prints.select("fp", (F.col("label") if labelled else F.lit(0)).cast("long").alias("label"))
-    dealt = with_label.mapInPandas(deal, "tree int, shard long, fp long, own boolean, label long")
-    return dealt.groupBy("tree", "shard").applyInPandas(within, "a long, b long")
+    types = {"label": "long", "sketch": "binary", "shingles": "long"}
+    schema = ", ".join(["tree int, shard long, fp long, own boolean", *[f"{c} {types[c]}" for c in extra]])
+    return prints.select("fp", *extra).mapInPandas(deal, schema).groupBy("tree", "shard").applyInPandas(within, "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,16 +349,9 @@ def components(docs: DataFrame, words: int = WORDS, bits: int = BITS, doc_id: st
 def shingle_sets(text: Column, words: int) -> Column:
     """The distinct hashes of a text's word shingles in rising order, as bytes."""
 
-    def hashes(text: bytes) -> bytes:
-        import xxhash
-
-        parts = text.lower().split()
-        found = {xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))} if parts else set()
-        return np.sort(np.fromiter(found, "<u8", len(found))).tobytes()
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([hashes(bytes(t)) for t in batch], dtype=object)
+            yield pd.Series([np.unique(shingle_hashes(bytes(t), words)).tobytes() for t in batch], dtype=object)
 
     return F.pandas_udf(run, "binary").asNondeterministic()(utf8(text))
 
@@ -333,19 +391,21 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "d
 
     Texts are linked if their fingerprints have no more differing bits than the
     similarity lets expect, and their word shingles have a Jaccard similarity of
-    `similarity` or more, which is checked exactly. No such link is lost: first
+    `similarity` or more, which is checked exactly. No such link is lost: pairs go
+    unchecked only if sketches of their shingles prove them too different. First
     candidates that span the groups are checked, which ties most copies, then all
     candidates between texts that these left apart. Equal texts are one text;
     texts without words are one text. No rows give no rows.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(utf8(F.col(text))).alias("t"))
-    printed = store(plain.select("doc_id", "t", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
+    printed = store(plain.select("doc_id", "t", fingerprint_and_sketch(F.col("text"), words).alias("s")).select("doc_id", "t", "s.*"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    texts = store(printed.groupBy("t", "fp").agg(first), "texts")
-    least = store(texts.groupBy("fp").agg(F.min(F.struct("first", "t"))["t"].alias("rep")), "reps")
+    texts = store(printed.groupBy("t", "fp").agg(first, F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")), "texts")
+    one = [F.when(F.count("*") == 1, F.first(c)).alias(c) for c in ("sketch", "shingles")]
+    least = store(texts.groupBy("fp").agg(F.min(F.struct("first", "t"))["t"].alias("rep"), *one), "reps")
     bits = bits_for(similarity)
 
-    pairs = store(links(least, bits).distinct(), "pairs")
+    pairs = store(links(least, bits, similarity=similarity).distinct(), "pairs")
     a, b = (least.select(F.col("fp").alias(x), F.col("rep").alias(f"t{x}")) for x in ("a", "b"))
     between = pairs.join(a, "a").join(b, "b").select("ta", "tb")
     inside = texts.join(least, "fp").where("t <> rep").select(F.col("rep").alias("ta"), F.col("t").alias("tb"))
@@ -355,9 +415,9 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "d
     # A fingerprint whose texts are in several groups has a label of its own, and its texts are candidates of each other.
     groups = connected(near).withColumnRenamed("node", "t")
     placed = store(texts.select("t", "fp").join(groups, "t", "left").select("t", "fp", F.coalesce("component", "t").alias("g")), "placed")
-    spread = placed.groupBy("fp").agg(F.min("g").alias("g"), (F.min("g") != F.max("g")).alias("several"))
-    labels = store(spread.select("fp", "several", F.when(F.col("several"), F.xxhash64("fp")).otherwise(F.xxhash64("g")).alias("label")), "labels")
-    apart = links(labels, bits, labelled=True).distinct().unionByName(labels.where("several").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    spread = placed.groupBy("fp").agg(F.min("g").alias("g"), (F.min("g") != F.max("g")).alias("several")).join(least.drop("rep"), "fp")
+    labels = store(spread.select("fp", "several", "sketch", "shingles", F.when(F.col("several"), F.xxhash64("fp")).otherwise(F.xxhash64("g")).alias("label")), "labels")
+    apart = links(labels, bits, labelled=True, similarity=similarity).distinct().unionByName(labels.where("several").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
     a, b = (placed.select(F.col("fp").alias(x), F.col("t").alias(f"t{x}"), F.col("g").alias(f"g{x}")) for x in ("a", "b"))
     more = store(apart, "apart").join(a, "a").join(b, "b").where((F.col("ga") != F.col("gb")) & ((F.col("a") != F.col("b")) | (F.col("ta") < F.col("tb"))))
     low, high = F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")

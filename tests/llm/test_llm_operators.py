@@ -229,3 +229,31 @@ def test_lines(spark, docs, none):
     assert lines.dedup_lines(none).count() == 0
     kept = lines.without_repeats(docs.where("text is not null"))
     assert kept.columns == docs.columns
+
+
+def test_near_copies_of_many_edits_keep_every_link(spark):
+    """Variants of one text that are near in fingerprints but often not similar enough: groups against brute force, and links left out by sketches are none that count."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(400)}" for _ in range(70)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(70)] = rng.choice(["red", "green", "blue"])
+        texts.append(" ".join(words))
+    texts += [None, "", "  ", "one", "one", texts[0]]
+    rows = list(enumerate(texts))
+    sets = [{tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))} for t in texts]
+    prints = [simhash.bits_of((t or "").encode(), 5) for t in texts]
+    first = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if (prints[i] ^ prints[j]).bit_count() <= 9 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    first[i] = first[j] = min(first[i], first[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs, 5, 0.8).collect()}
+    assert kept == set(first)
+    assert 5 < len(kept) < len(rows) - 10
