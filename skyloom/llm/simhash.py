@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import connected
-from skyloom.llm.common import utf8
-from skyloom.scratch import store
+from skyloom.llm.common import sampled, utf8
+from skyloom.scratch import small, store
 
 BITS, WORDS, SEED = 4, 4, 42
 #: Bound of the sample that the shards' vantage points are chosen from, fingerprints aimed at for a shard, and most shards of a tree.
@@ -34,6 +34,8 @@ LEAF = 128
 CHUNK = 2_000_000
 #: Bits of a sketch, and pairs whose sketches are compared at once.
 SKETCH, PIECE = 1_024, 100_000
+#: Texts aimed at for the sample that tells common shingles, and how many of these are kept.
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 200_000
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -376,6 +378,80 @@ def bits_for(similarity: float) -> int:
     return int(64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def prefix_length(shingles: int, similarity: float) -> int:
+    """Shingles of a set of which, in any common order, one must be among as many of a set that is similar enough."""
+    return shingles - int(np.ceil(similarity * shingles - 1e-9)) + 1
+
+
+def common_shingles(plain: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in rising order, and counts, of shingles that several texts of a bounded sample have. They only order prefixes, so that common passages come last; which links are found doesn't depend on them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"h": np.unique(shingle_hashes(bytes(text), words)).view("<i8")})
+
+    some = sampled(plain, total, ORDER_TEXTS, F.col("t")).select(utf8(F.col("text")).alias("text"))
+    counts = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toPandas()
+    hashes = found["h"].to_numpy("<i8").view("<u8")
+    order = np.argsort(hashes)
+    return hashes[order], found["n"].to_numpy("<i8")[order]
+
+
+def prefixes(text: Column, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Column:
+    """The shingles of each text's prefix: those least common in the sample, then of the least hashes; one 0 for a text without words."""
+    known, counts = common
+
+    def of(text: bytes) -> np.ndarray:
+        hashes = np.unique(shingle_hashes(text, words))
+        if not len(hashes):
+            return np.zeros(1, "<i8")
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+        return hashes[: prefix_length(len(hashes), similarity)].view("<i8")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([of(bytes(t)) for t in batch], dtype=object)
+
+    return F.pandas_udf(run, "array<long>").asNondeterministic()(utf8(text))
+
+
+def sketch_words(sketch: Column) -> Column:
+    """A sketch as longs."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.frombuffer(bytes(x), "<i8") for x in batch], dtype=object)
+
+    return F.pandas_udf(run, "array<long>").asNondeterministic()(sketch)
+
+
+def beyond(texts: DataFrame, groups: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
+    """ta, tb: all pairs of texts in different groups that may have this Jaccard similarity. `texts` (stored) has t (digest), sketch and shingles, `groups` has t and component, `plain` has t and text.
+
+    Texts are put under each shingle of their prefixes, and meet only under
+    shingles of several groups, if counts and sketches of their shingles don't
+    prove them too different. Both bounds and the prefixes are exact.
+    """
+    unique = plain.groupBy("t").agg(F.min("text").alias("text"))
+    common = common_shingles(unique, texts.count(), words)
+    cut = store(unique.select("t", prefixes(F.col("text"), words, similarity, common).alias("keys")), "prefixes")
+    placed = texts.select("t", "sketch", "shingles").join(groups, "t", "left").withColumn("g", F.coalesce("component", "t")).drop("component")
+    placed = store(placed.withColumn("id", F.monotonically_increasing_id()).withColumn("sketch", sketch_words(F.col("sketch"))), "placed")
+    keyed = cut.join(placed.select("t", "id", F.xxhash64("g").alias("label")), "t").select("id", "label", F.explode("keys").alias("key"))
+    several = store(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "keys")
+    meeting = store(keyed.join(small(several, several.count()), "key").select("key", "id"), "meeting").join(placed, "id")
+    a, b = (meeting.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("id", "t", "g", "sketch", "shingles")]) for x in ("a", "b"))
+    differ = sum(F.bit_count(F.col("sketcha")[k].bitwiseXOR(F.col("sketchb")[k])) for k in range(SKETCH // 64))
+    sizes, apart = F.col("shinglesa") + F.col("shinglesb"), (1 - similarity) / (1 + similarity)
+    fits = F.least("shinglesa", "shinglesb") >= similarity * F.greatest("shinglesa", "shinglesb") - 1e-9
+    pairs = a.join(b, "key").where((F.col("ida") < F.col("idb")) & (F.col("ga") != F.col("gb")) & fits & (differ <= sizes * apart + 1e-9))
+    return pairs.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct()
+
+
 def similar(pairs: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
     """a, b: those of the pairs of text digests ta, tb (stored) whose texts' shingles have this Jaccard similarity. `plain` has t (digest) and text."""
     wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct()
@@ -389,13 +465,13 @@ def similar(pairs: DataFrame, plain: DataFrame, words: int, similarity: float) -
 def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of `docs`, one row of each group of near copies: that of the smallest doc_id (nulls last), then of the least text hash.
 
-    Texts are linked if their fingerprints have no more differing bits than the
-    similarity lets expect, and their word shingles have a Jaccard similarity of
-    `similarity` or more, which is checked exactly. No such link is lost: pairs go
-    unchecked only if sketches of their shingles prove them too different. First
-    candidates that span the groups are checked, which ties most copies, then all
-    candidates between texts that these left apart. Equal texts are one text;
-    texts without words are one text. No rows give no rows.
+    Texts are linked if their word shingles have a Jaccard similarity of
+    `similarity` or more, which is checked exactly. No such link is lost, however
+    far apart fingerprints are: first candidates near in fingerprints that span
+    the groups are checked, which ties most copies, then all pairs between texts
+    that these left apart and that share a shingle of their prefixes (see
+    `beyond`). Equal texts are one text; texts without words are one text. No rows
+    give no rows.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(utf8(F.col(text))).alias("t"))
     printed = store(plain.select("doc_id", "t", fingerprint_and_sketch(F.col("text"), words).alias("s")).select("doc_id", "t", "s.*"), "fingerprints")
@@ -411,17 +487,11 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "d
     inside = texts.join(least, "fp").where("t <> rep").select(F.col("rep").alias("ta"), F.col("t").alias("tb"))
     tied = store(between.unionByName(inside), "tied")
     near = similar(tied, plain, words, similarity)
+    low, high = F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")
 
-    # A fingerprint whose texts are in several groups has a label of its own, and its texts are candidates of each other.
+    # All other similar texts share a shingle of their prefixes, however far apart their fingerprints are.
     groups = connected(near).withColumnRenamed("node", "t")
-    placed = store(texts.select("t", "fp").join(groups, "t", "left").select("t", "fp", F.coalesce("component", "t").alias("g")), "placed")
-    spread = placed.groupBy("fp").agg(F.min("g").alias("g"), (F.min("g") != F.max("g")).alias("several")).join(least.drop("rep"), "fp")
-    labels = store(spread.select("fp", "several", "sketch", "shingles", F.when(F.col("several"), F.xxhash64("fp")).otherwise(F.xxhash64("g")).alias("label")), "labels")
-    apart = links(labels, bits, labelled=True, similarity=similarity).distinct().unionByName(labels.where("several").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    a, b = (placed.select(F.col("fp").alias(x), F.col("t").alias(f"t{x}"), F.col("g").alias(f"g{x}")) for x in ("a", "b"))
-    more = store(apart, "apart").join(a, "a").join(b, "b").where((F.col("ga") != F.col("gb")) & ((F.col("a") != F.col("b")) | (F.col("ta") < F.col("tb"))))
-    low, high = F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")
-    more = store(more.select(low, high).join(tied.select(low, high), ["ta", "tb"], "left_anti"), "more")
+    more = store(beyond(texts, groups, plain, words, similarity).join(tied.select(low, high), ["ta", "tb"], "left_anti"), "more")
     near = near.unionByName(similar(more, plain, words, similarity))
 
     groups = connected(near)

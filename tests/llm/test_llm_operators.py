@@ -257,3 +257,27 @@ def test_near_copies_of_many_edits_keep_every_link(spark):
     kept = {r.doc_id for r in simhash.one_of_each(docs, 5, 0.8).collect()}
     assert kept == set(first)
     assert 5 < len(kept) < len(rows) - 10
+
+
+def test_near_copies_far_apart_in_fingerprints(spark):
+    """Links by plain Jaccard similarity, whatever the fingerprints' distance."""
+    rng = np.random.default_rng(11)
+    made = []
+    for pair in range(60):  # a word changed in the middle replaces five of 45 shingles: similarity 0.8
+        w = [f"u{pair}_{i}" for i in range(49)]
+        made += [" ".join(w), " ".join([*w[:20], f"v{pair}", *w[21:]])]
+    passage = [f"p{i}" for i in range(60)]
+    made += [" ".join([*passage, *[f"q{k}_{i}" for i in range(9)]]) for k in range(30)]  # much in common, not similar enough
+    made = [made[i] for i in rng.permutation(len(made))] + ["", " ", None, "one two", "One two"]
+    sets = [{tuple(w[k : k + 5]) for w in [(m or "").lower().split()] for k in range(max(1, len(w) - 4))} for m in made]
+    prints = [simhash.bits_of((m or "").encode(), 5) for m in made]
+    group, far = list(range(len(made))), 0
+    for a in group[:]:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                far += (prints[a] ^ prints[b]).bit_count() > 9
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert far > 10
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(table, 5, 0.8).collect()} == set(group)
