@@ -2,16 +2,17 @@
 
 Pieces are dealt round-robin over partitions and packed in chunks of a bounded
 number of pieces, so no task holds more than one chunk and no key decides where
-a piece goes. A chunk starts from best-fit decreasing. Then the emptiest bins
+a piece goes. A chunk starts from best-fit decreasing. Then all underfull bins
 hand their documents to fuller ones: by a move, a one-for-one exchange or a
 two-for-one exchange either way, each of which raises the sum of squared fill,
-until bins run empty or no exchange is left.
+until as few bins as can be are left or no two bins have an exchange left.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +26,6 @@ from skyloom.scratch import store
 
 SIZE = 2048
 CHUNK_PIECES = 16_384
-#: A chunk's bins that local search looks at: the emptiest ones, as sources, and the partners of each.
-SOURCES, PARTNERS = 256, 512
 #: Words whose ids a task keeps, bytes of a text that it tokenizes at a time, and letter-only words that it encodes as one line.
 KNOWN_WORDS, BLOCK_BYTES, LINE_WORDS = 500_000, 1 << 20, 256
 FINAL = re.compile(rb"([a-z])([.,])(?=[\x20\x09-\x0D]|$)")
@@ -170,60 +169,129 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def exchange(source: list[int], target: list[int], gap: int, lengths: list[int]) -> tuple[list[int], list[int]] | None:
-    """What to swap so that the target gains most within its gap: items that leave the source, and those that leave the target."""
-    best, found = 0, None
-    give = [[i] for i in source] + [[i, j] for n, i in enumerate(source) for j in source[n + 1 :]]
-    take = [[]] + [[i] for i in target] + [[i, j] for n, i in enumerate(target) for j in target[n + 1 :]]
-    weight = lambda items: sum(lengths[i] for i in items)
-    back = sorted(((weight(t), t) for t in take), key=lambda x: x[0])
-    for g in give:
-        w = weight(g)
-        for v, t in back:
-            if v >= w:
-                break
-            if best < w - v <= gap and len(g) + len(t) <= 3:
-                best, found = w - v, (g, t)
+def swaps(kind: tuple[int, ...]) -> dict[int, tuple[int, ...]]:
+    """Weights of one or two items of a bin, each with the fewest items that have it."""
+    values = sorted(set(kind))
+    found = {x: (x,) for x in values}
+    for n, x in enumerate(values):
+        for y in values[n if kind.count(x) > 1 else n + 1 :]:
+            found.setdefault(x + y, (x, y))
     return found
 
 
+class Kinds:
+    """Bins by their items' lengths: how many of each kind there are, and what each underfull kind can take.
+
+    An entry is a weight that a kind may give back, 0 included, with the most that
+    it may get for it. A kind's `seen` tells up to which entry it found nothing.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.numbers = size, {}
+        self.names: list[tuple[int, ...]] = []
+        self.fills: list[int] = []
+        self.swaps: list[dict[int, tuple[int, ...]]] = []
+        self.seen: list[int] = []
+        self.counts = np.zeros(1 << 10, np.int64)
+        self.n, self.data = 0, np.empty((5, 1 << 12), np.int64)
+
+    def put(self, kind: tuple[int, ...], n: int) -> int:
+        """Add bins of a kind. Its entries are made again where a kind may have passed them: while it had no bins, or one bin beside itself."""
+        k = self.numbers.setdefault(kind, len(self.names))
+        if k == len(self.names):
+            self.names.append(kind)
+            self.fills.append(sum(kind))
+            self.swaps.append(swaps(kind) if self.fills[k] < self.size else {})
+            self.seen.append(0)
+            if k == len(self.counts):
+                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        if self.counts[k] < 2 and self.fills[k] < self.size:
+            fill = self.fills[k]
+            more = [(v, v + self.size - fill, k, len(t), fill) for v, t in [(0, ()), *self.swaps[k].items()]]
+            while self.n + len(more) > self.data.shape[1]:
+                self.data = np.concatenate([self.data, np.empty_like(self.data)], axis=1)
+            self.data[:, self.n : self.n + len(more)] = np.array(more, np.int64).T
+            self.n += len(more)
+        self.counts[k] += n
+        return k
+
+    def tidy(self) -> None:
+        """Drop entries of kinds without bins, if these are most."""
+        live = self.counts[self.data[2, : self.n]] > 0
+        if 2 * live.sum() < self.n:
+            before = np.concatenate([[0], live.cumsum()])
+            self.seen = [int(before[x]) for x in self.seen]
+            self.n, self.data = int(live.sum()), self.data[:, : self.n][:, live]
+
+    def best(self, s: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """The exchange by which a bin as full or fuller gains most from one of kind `s`, among entries not seen: its kind, what it gets and what it gives back."""
+        data = self.data[:, self.seen[s] : self.n]
+        data = data[:, (data[4] >= self.fills[s]) & (self.counts[data[2]] > (data[2] == s))]
+        low, high, number, items, _ = data
+        gained, found = 0, None
+        for w, give in self.swaps[s].items() if len(low) else ():
+            gain = np.where((low < w) & (w <= high) & (items + len(give) <= 3), w - low, 0)
+            if gain[at := int(gain.argmax())] > gained:
+                gained, found = int(gain[at]), (at, give)
+        if not found:
+            return None
+        k, v = int(number[found[0]]), int(low[found[0]])
+        return k, found[1], self.swaps[k][v] if v else ()
+
+
+def replaced(kind: tuple[int, ...], out: tuple[int, ...], into: tuple[int, ...]) -> tuple[int, ...]:
+    """A bin's lengths after an exchange."""
+    rest = list(kind)
+    for x in out:
+        rest.remove(x)
+    return tuple(sorted([*rest, *into]))
+
+
 def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
-    """Local search over underfull bins. Ends at the lower bound, or when the emptiest bins have no exchange left; each step raises the squared fill, so it ends."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(lengths) // size)
-    left, stuck = len(bins), set()
-    while left > least:
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < size), key=lambda b: (fill[b], b))
-        source = next((b for b in under[:SOURCES] if b not in stuck), None)
-        if source is None:
-            break
-        done = False
-        for target in under[:PARTNERS]:
-            # Only a fuller bin may gain: then the squared fill grows.
-            while target != source and bins[source] and (fill[target], target) > (fill[source], source):
-                swap = exchange(bins[source], bins[target], size - fill[target], lengths)
-                if not swap:
+    """Local search over all underfull bins of a chunk: ends at the lower bound, or when no two bins have an exchange left.
+
+    Bins of equal lengths are one kind and take a step together; kinds are held
+    against each other once. By a step a bin gains from one that is no fuller: the
+    squared fill grows, so it ends.
+    """
+    least, left = -(-sum(lengths) // size), len(bins)
+    if left <= least:
+        return bins
+    kinds = Kinds(size)
+    for kind, n in Counter(tuple(sorted(lengths[i] for i in b)) for b in bins).items():
+        kinds.put(kind, n)
+    changed = True
+    while changed and left > least:
+        changed = False
+        kinds.tidy()
+        for s in sorted(range(len(kinds.names)), key=lambda k: (kinds.fills[k], k)):
+            while kinds.names[s] and kinds.counts[s] and kinds.seen[s] < kinds.n and left > least:
+                if not (step := kinds.best(s)):
+                    kinds.seen[s] = kinds.n
                     break
-                give, take = swap
-                moved = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                bins[source] = [i for i in bins[source] if i not in give] + take
-                bins[target] = [i for i in bins[target] if i not in take] + give
-                fill[source], fill[target], done = fill[source] - moved, fill[target] + moved, True
-                stuck.discard(target)
-            if not bins[source]:
-                left -= 1
-                break
-        if not done:
-            stuck.add(source)
-    return [b for b in bins if b]
+                target, give, take = step
+                kind, fuller = replaced(kinds.names[s], give, take), replaced(kinds.names[target], take, give)
+                n = int(kinds.counts[s] // 2 if target == s else min(kinds.counts[s], kinds.counts[target]))
+                n = n if kind else min(n, left - least)
+                kinds.counts[s] -= n
+                kinds.counts[target] -= n
+                kinds.put(fuller, n)
+                changed = True
+                if kind:
+                    s = kinds.put(kind, n)
+                else:
+                    left -= n
+    items: dict[int, list[int]] = {}
+    for i, x in enumerate(lengths):
+        items.setdefault(x, []).append(i)
+    return [[items[x].pop() for x in kind] for kind, n in zip(kinds.names, kinds.counts.tolist()) for _ in range(n)]
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """All columns of `pieces` (stored; with `length` from 1 to size), sequence_id and offset.
 
-    The emptiest SOURCES bins of a chunk are emptied into up to PARTNERS others; a
-    piece is never left out, whatever the search finds. Equal rows are pieces of
-    their own. No rows give no rows.
+    All underfull bins of a chunk are searched; a piece is never left out, whatever
+    the search finds. Equal rows are pieces of their own. No rows give no rows.
     """
     n, types = max(1, -(-pieces.count() // CHUNK_PIECES)), dict(pieces.dtypes)
     # Ids travel as text, which pandas keeps exact beside nulls.

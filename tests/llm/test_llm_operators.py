@@ -281,3 +281,13 @@ def test_near_copies_far_apart_in_fingerprints(spark):
     assert far > 10
     table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.one_of_each(table, 5, 0.8).collect()} == set(group)
+
+
+def test_packing_looks_at_all_bins():
+    """The emptiest bins of best-fit decreasing are all alike and can't exchange among themselves; the others can."""
+    lengths = [524] * 4_600 + [771] * 4_800 + [628] * 4_800
+    bins = packing.best_fit(lengths, 2048)
+    assert len(bins) == 5_534
+    found = packing.improve(bins, lengths, 2048)
+    assert len(found) < 4_800 and sorted(i for b in found for i in b) == list(range(len(lengths)))
+    assert max(sum(lengths[i] for i in b) for b in found) <= 2048
