@@ -23,6 +23,7 @@ from skyloom.scratch import store
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 RATE = 8_000
 UNIT = 64
+CODECS = (MU_LAW, A_LAW, IMA_ADPCM)
 
 # Fixed values of the IMA ADPCM format: step sizes, and what a 3-bit magnitude adds to the step's index.
 STEPS = np.array([
@@ -146,17 +147,18 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
 
 
 def stored_audio(docs: DataFrame, payload: Column, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes and `media`: each payload, padded with zero bytes to a positive multiple of 64, as a mu-law WAV file, stored and read back.
+    """doc_id, n_bytes and `media`: each payload, padded with zero bytes to a positive multiple of 64, as a WAV file, stored and read back.
 
-    Every byte is a sample, so any payload survives. A null payload is empty. Rows
-    that repeat get equal media.
+    The payload's CRC-32 deals it to mu-law, A-law or ADPCM in blocks of 64 bytes.
+    Any bytes are valid data of these, so any payload survives. A null payload is
+    empty. Rows that repeat get equal media.
     """
     plain = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(payload, F.lit(b"")).alias("payload"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = [len(x) for x in batch["payload"]]
-            media = [wav(MU_LAW, bytes(x) + bytes(-len(x) % UNIT if x else UNIT)) for x in batch["payload"]]
+            media = [wav(CODECS[zlib.crc32(x) % len(CODECS)], bytes(x) + bytes(-len(x) % UNIT if x else UNIT), block=UNIT) for x in batch["payload"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": sizes, "media": media})
 
     made = plain.mapInPandas(run, "doc_id string, n_bytes long, media binary")
@@ -180,7 +182,7 @@ def pcm_column(media: DataFrame, rate: int, column: str = "media") -> DataFrame:
 
 
 def audio_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: int = 2 * RATE) -> DataFrame:
-    """Digests of the stored and reread audio of each row's text, and features of its PCM at `rate`.
+    """Digests of the stored and reread audio of each row's text, and features of its PCM at `rate`, which is stored and reread too.
 
     A null or empty text is 64 zero bytes. Equal texts give equal values; rows that
     repeat stay. Columns beside the two named are not looked at. No rows give no
@@ -188,21 +190,27 @@ def audio_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     media = stored_audio(docs, utf8(F.col(text)), doc_id)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def digest(n: int, media: bytes) -> tuple:
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def of(media: bytes) -> tuple:
             payload = unwav(media)[3]
-            pcm = resample(*decode(media), rate).astype(np.int64)
+            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()
+
+        for batch in batches:
+            out = pd.DataFrame([of(bytes(x)) for x in batch["media"]], columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"], index=batch.index)
+            yield pd.concat([batch[["doc_id", "n_bytes"]], out, batch[["pcm"]]], axis=1)
+
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def of(stored: bytes) -> str:
+            pcm = np.frombuffer(stored, "<i2").astype(np.int64)
             crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
             power = int((pcm * pcm).sum()) // len(pcm)
-            feature = f"power={power};crossings={crossings};peak={int(np.abs(pcm).max())};pcm_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
-            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
+            return f"power={power};crossings={crossings};peak={int(np.abs(pcm).max())};pcm_crc32={zlib.crc32(stored)}"
 
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
-            rows = [digest(n, bytes(x)) for n, x in zip(batch["n_bytes"], batch["media"], strict=True)]
-            out = pd.DataFrame(rows, columns=names, index=batch.index)
-            yield pd.concat([batch[["doc_id", "n_bytes"]], out], axis=1)
+            yield pd.Series([of(bytes(x)) for x in batch], dtype=object)
 
-    form = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    out = media.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, f"doc_id string, n_bytes long, {form}")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind(docs, doc_id)))
+    form = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    # Ids travel as text, which pandas keeps exact beside nulls.
+    sound = pcm_column(media.withColumn("doc_id", F.col("doc_id").cast("string")), rate).mapInPandas(digests, f"{form}, pcm binary")
+    sound = store(sound, "pcm").withColumn("feature", F.pandas_udf(features, "string").asNondeterministic()(F.col("pcm"))).drop("pcm")
+    return sound.withColumn("doc_id", F.col("doc_id").cast(kind(docs, doc_id)))

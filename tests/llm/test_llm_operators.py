@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import audio, components, language, lines, mixing, packing, quality, rules, simhash, substrings, warc
 from skyloom.llm.registry import tokenizer
+from skyloom.scratch import store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, _h int, r int"
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
@@ -291,3 +292,21 @@ def test_packing_looks_at_all_bins():
     found = packing.improve(bins, lengths, 2048)
     assert len(found) < 4_800 and sorted(i for b in found for i in b) == list(range(len(lengths)))
     assert max(sum(lengths[i] for i in b) for b in found) <= 2048
+
+
+def test_audio_stores_pcm_of_all_codecs(spark, monkeypatch):
+    """Features come from the stored samples, and each codec is reached."""
+    kept = {}
+
+    def keep(df, name, *more):
+        kept[name] = store(df, name, *more)
+        return kept[name]
+
+    monkeypatch.setattr(audio, "store", keep)
+    table = spark.createDataFrame([(i, f"text {i % 30} " * (1 + i % 7)) for i in range(60)], "doc_id long, text string")
+    out = {r.doc_id: r for r in audio.audio_features(table).collect()}
+    rows, media = kept["pcm"].collect(), {r.doc_id: bytes(r.media) for r in kept["media"].collect()}
+    assert len(rows) == 60 and {audio.unwav(x)[0] for x in media.values()} == {audio.MU_LAW, audio.A_LAW, audio.IMA_ADPCM}
+    for r in rows:
+        assert bytes(r.pcm) == audio.resample(*audio.decode(media[int(r.doc_id)]), 16_000).tobytes()
+        assert out[int(r.doc_id)].feature.endswith(f"pcm_crc32={zlib.crc32(bytes(r.pcm))}")
