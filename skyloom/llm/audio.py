@@ -24,6 +24,8 @@ PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 RATE = 8_000
 UNIT = 64
 CODECS = (MU_LAW, A_LAW, IMA_ADPCM)
+#: Recordings whose samples a task returns at a time.
+ROWS = 256
 
 # Fixed values of the IMA ADPCM format: step sizes, and what a 3-bit magnitude adds to the step's index.
 STEPS = np.array([
@@ -192,12 +194,14 @@ def audio_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(media: bytes) -> tuple:
-            payload = unwav(media)[3]
-            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()
+            payload, pcm = unwav(media)[3], resample(*decode(media), rate).tobytes()
+            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), pcm
 
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm"]
         for batch in batches:
-            out = pd.DataFrame([of(bytes(x)) for x in batch["media"]], columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"], index=batch.index)
-            yield pd.concat([batch[["doc_id", "n_bytes"]], out, batch[["pcm"]]], axis=1)
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                yield pd.concat([part[["doc_id", "n_bytes"]], pd.DataFrame([of(bytes(x)) for x in part["media"]], columns=names, index=part.index)], axis=1)
 
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def of(stored: bytes) -> str:
@@ -211,6 +215,6 @@ def audio_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     form = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
     # Ids travel as text, which pandas keeps exact beside nulls.
-    sound = pcm_column(media.withColumn("doc_id", F.col("doc_id").cast("string")), rate).mapInPandas(digests, f"{form}, pcm binary")
+    sound = media.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(digests, f"{form}, pcm binary")
     sound = store(sound, "pcm").withColumn("feature", F.pandas_udf(features, "string").asNondeterministic()(F.col("pcm"))).drop("pcm")
     return sound.withColumn("doc_id", F.col("doc_id").cast(kind(docs, doc_id)))
