@@ -1,8 +1,10 @@
 """Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV containers, decoded with numpy.
 
 8-bit companded samples are expanded by lookup tables. ADPCM is decoded step by
-step within a block, for all blocks of a recording at once. Decoded sound is
-resampled by linear interpolation and stored as 16-bit PCM.
+step within a block, for all blocks of many recordings at once. Decoded sound is
+resampled (upwards by linear interpolation, downwards by means over what a new
+sample spans, which is the low-pass) and stored as 16-bit PCM. Wide numbers are
+held for a bounded piece of a recording at a time.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 RATE = 8_000
 UNIT = 64
 CODECS = (MU_LAW, A_LAW, IMA_ADPCM)
-#: Recordings whose samples a task returns at a time.
-ROWS = 256
+#: Recordings whose samples a task returns at a time, and samples or blocks for which it holds wide numbers.
+ROWS, PIECE, BLOCKS = 256, 1 << 18, 1 << 12
+#: zstd level of stored sound.
+LEVEL = 9
 
 # Fixed values of the IMA ADPCM format: step sizes, and what a 3-bit magnitude adds to the step's index.
 STEPS = np.array([
@@ -109,43 +113,89 @@ def wav(tag: int, data: bytes, rate: int = RATE, block: int = 256) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def unwav(media: bytes) -> tuple[int, int, int, bytes]:
-    """Format tag, rate, block size and data of a WAV file; a ValueError for anything else."""
+def unwav(media: bytes) -> tuple[int, int, int, int, int, bytes]:
+    """Format tag, channels, rate, block size, bits and data of a WAV file; a ValueError for anything else."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, head = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
         if name == b"fmt ":
+            if min(size, len(media) - at - 8) < 16:
+                raise ValueError("the format is cut off")
             head = struct.unpack_from("<HHIIHH", media, at + 8)
         if name == b"data" and head:
-            return head[0], head[2], head[4], media[at + 8 : at + 8 + size]
+            return head[0], head[1], head[2], head[4], head[5], media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no sound in the file")
 
 
-def decode(media: bytes) -> tuple[np.ndarray, int]:
-    """16-bit samples and their rate."""
-    tag, rate, block, data = unwav(media)
-    if tag == IMA_ADPCM:
-        return adpcm_decode(data, block), rate
-    if tag in (MU_LAW, A_LAW):
-        return {MU_LAW: MU, A_LAW: A}[tag][np.frombuffer(data, np.uint8)], rate
-    return np.frombuffer(data[: len(data) // 2 * 2], "<i2"), rate
+def understood(media: bytes) -> tuple[int, int, int, int, bytes]:
+    """Format tag, channels, rate, block size and data of a WAV file that can be decoded; a ValueError for any other."""
+    tag, channels, rate, block, bits, data = unwav(media)
+    if not channels or not rate or {PCM: 16, MU_LAW: 8, A_LAW: 8, IMA_ADPCM: 4}.get(tag) != bits:
+        raise ValueError("an unknown format")
+    if tag == IMA_ADPCM and (channels > 1 or block < 5):
+        raise ValueError("blocks of several channels or without sound")
+    return tag, channels, rate, block, data
+
+
+def adpcm_decode_all(parts: list[bytes], block: int) -> list[np.ndarray]:
+    """Samples of each part. Whole blocks of all parts are decoded together, some thousand at a time."""
+    whole = [len(x) // block * block for x in parts]
+    data = b"".join(x[:n] for x, n in zip(parts, whole, strict=True))
+    step, per = BLOCKS * block, (block - 4) * 2 + 1
+    found = np.concatenate([adpcm_decode(data[at : at + step], block) for at in range(0, len(data), step)] or [np.zeros(0, "<i2")])
+    ends = np.cumsum([n // block * per for n in whole])
+    rest = [x[n:] for x, n in zip(parts, whole, strict=True)]
+    return [np.concatenate([y, adpcm_decode(z, block)]) if len(z) else y for y, z in zip(np.split(found, ends[:-1]) if parts else [], rest, strict=True)]
+
+
+def decoded(files: list[bytes]) -> list[tuple[np.ndarray, int] | None]:
+    """16-bit samples and their rate for each file, several channels mixed into one; None for what can't be decoded."""
+    out: list[tuple[np.ndarray, int] | None] = [None] * len(files)
+    blocks: dict[int, list[tuple[int, int, bytes]]] = {}
+    for i, media in enumerate(files):
+        try:
+            tag, channels, rate, block, data = understood(media)
+        except ValueError:
+            continue
+        if tag == IMA_ADPCM:
+            blocks.setdefault(block, []).append((i, rate, data))
+            continue
+        x = np.frombuffer(data[: len(data) // 2 * 2], "<i2") if tag == PCM else {MU_LAW: MU, A_LAW: A}[tag][np.frombuffer(data, np.uint8)]
+        if channels > 1:
+            x = x[: len(x) // channels * channels].reshape(-1, channels)
+            x = np.concatenate([x[at : at + PIECE].sum(axis=1, dtype=np.int64) // channels for at in range(0, len(x), PIECE)] or [x[:0, 0]]).astype("<i2")
+        out[i] = x, rate
+    for block, found in blocks.items():
+        for (i, rate, _), x in zip(found, adpcm_decode_all([d for *_, d in found], block), strict=True):
+            out[i] = x, rate
+    return out
 
 
 MU, A = mu_law_table(), a_law_table()
 
 
 def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation at the new rate, in exact integer arithmetic."""
+    """Samples at the new rate, in exact integer arithmetic, rounded down: linear interpolation upwards, the mean of what a new sample spans downwards. The last sample goes on past the end."""
     if rate == to or not len(samples):
         return samples
-    at = np.arange(-(-len(samples) * to // rate), dtype=np.int64) * rate
-    low, part = at // to, at % to
-    a = samples[np.minimum(low, len(samples) - 1)].astype(np.int64)
-    b = samples[np.minimum(low + 1, len(samples) - 1)].astype(np.int64)
-    return (a + (b - a) * part // to).astype("<i2")
+    n, step = -(-len(samples) * to // rate), max(1, PIECE * to // rate) if to > rate else PIECE
+    out = np.empty(n, "<i2")
+    for first in range(0, n, step):
+        at = np.arange(first, min(n, first + step) + 1, dtype=np.int64) * rate
+        low, part = at // to, at % to
+        x = samples[low[0] : low[-1] + 2].astype(np.int64)
+        x = np.concatenate([x, np.full(low[-1] + 2 - low[0] - len(x), samples[-1], np.int64)])
+        low -= low[0]
+        if to > rate:
+            found = (x[low] + (x[low + 1] - x[low]) * part // to)[:-1]
+        else:
+            total = np.concatenate([[0], np.cumsum(x)])
+            found = np.diff(total[low] * to + part * x[low]) // rate
+        out[first : first + step] = found
+    return out
 
 
 def stored_audio(docs: DataFrame, payload: Column, doc_id: str = "doc_id") -> DataFrame:
@@ -153,37 +203,50 @@ def stored_audio(docs: DataFrame, payload: Column, doc_id: str = "doc_id") -> Da
 
     The payload's CRC-32 deals it to mu-law, A-law or ADPCM in blocks of 64 bytes.
     Any bytes are valid data of these, so any payload survives. A null payload is
-    empty. Rows that repeat get equal media.
+    empty, a null doc_id stays null. Rows that repeat get equal media. Other columns
+    are not looked at.
     """
     plain = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(payload, F.lit(b"")).alias("payload"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = [len(x) for x in batch["payload"]]
-            media = [wav(CODECS[zlib.crc32(x) % len(CODECS)], bytes(x) + bytes(-len(x) % UNIT if x else UNIT), block=UNIT) for x in batch["payload"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": sizes, "media": media})
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                media = [wav(CODECS[zlib.crc32(x) % len(CODECS)], bytes(x) + bytes(-len(x) % UNIT if x else UNIT), block=UNIT) for x in part["payload"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_bytes": [len(x) for x in part["payload"]], "media": media})
 
     made = plain.mapInPandas(run, "doc_id string, n_bytes long, media binary")
-    return store(made.withColumn("doc_id", F.col("doc_id").cast(kind(docs, doc_id))), "media")
+    return store(made.withColumn("doc_id", F.col("doc_id").cast(kind(docs, doc_id))), "media", LEVEL)
 
 
-def pcm_column(media: DataFrame, rate: int, column: str = "media") -> DataFrame:
-    """All columns and `pcm`: the column's WAV files as 16-bit little-endian samples at `rate`; null for null or for what is no WAV file. To be stored by the caller."""
+def pcm_column(media: DataFrame, rate: int, column: str = "media", to: str = "pcm") -> DataFrame:
+    """All columns and `to`, which takes the place of a column of that name: the column's WAV files as 16-bit little-endian samples at `rate`, to be stored by the caller.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pcm(x: bytes | None) -> bytes | None:
-            try:
-                return None if x is None else resample(*decode(bytes(x)), rate).tobytes()
-            except ValueError:
-                return None
+    Null for null and for what is no WAV file of 16-bit PCM, mu-law, A-law or mono
+    IMA ADPCM, cut-off formats included. Several channels are mixed into one. No
+    rows give no rows.
+    """
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.assign(pcm=[pcm(x) for x in batch[column]])
+            found = decoded([b"" if x is None else bytes(x) for x in batch])
+            yield pd.Series([None if x is None else resample(*x, rate).tobytes() for x in found], dtype=object)
 
-    return media.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in media.dtypes) + ", pcm binary")
+    return media.withColumn(to, F.pandas_udf(run, "binary").asNondeterministic()(F.col(column)))
 
 
-def audio_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: int = 2 * RATE) -> DataFrame:
+def features_of(stored: bytes) -> str:
+    """Mean power, zero crossings, peak and CRC-32 of 16-bit samples."""
+    pcm, power, crossings, peak = np.frombuffer(stored, "<i2"), 0, 0, 0
+    for at in range(0, len(pcm), PIECE):
+        x = pcm[at : at + PIECE + 1].astype(np.int64)
+        crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        x = x[:PIECE]
+        power, peak = power + int((x * x).sum()), max(peak, int(np.abs(x).max()))
+    return f"power={power // max(len(pcm), 1)};crossings={crossings};peak={peak};pcm_crc32={zlib.crc32(stored)}"
+
+
+def audio_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: int = RATE // 2) -> DataFrame:
     """Digests of the stored and reread audio of each row's text, and features of its PCM at `rate`, which is stored and reread too.
 
     A null or empty text is 64 zero bytes. Equal texts give equal values; rows that
@@ -194,27 +257,23 @@ def audio_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(media: bytes) -> tuple:
-            payload, pcm = unwav(media)[3], resample(*decode(media), rate).tobytes()
-            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), pcm
+            payload = unwav(media)[-1]
+            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()
 
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm"]
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at : at + ROWS]
-                yield pd.concat([part[["doc_id", "n_bytes"]], pd.DataFrame([of(bytes(x)) for x in part["media"]], columns=names, index=part.index)], axis=1)
+                files = [bytes(x) for x in part["media"]]
+                facts = pd.DataFrame([of(x) for x in files], columns=names, index=part.index)
+                yield pd.concat([part[["doc_id", "n_bytes"]], facts.assign(pcm=[resample(*x, rate).tobytes() for x in decoded(files)])], axis=1)
 
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def of(stored: bytes) -> str:
-            pcm = np.frombuffer(stored, "<i2").astype(np.int64)
-            crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-            power = int((pcm * pcm).sum()) // len(pcm)
-            return f"power={power};crossings={crossings};peak={int(np.abs(pcm).max())};pcm_crc32={zlib.crc32(stored)}"
-
         for batch in batches:
-            yield pd.Series([of(bytes(x)) for x in batch], dtype=object)
+            yield pd.Series([features_of(bytes(x)) for x in batch], dtype=object)
 
     form = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
     # Ids travel as text, which pandas keeps exact beside nulls.
     sound = media.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(digests, f"{form}, pcm binary")
-    sound = store(sound, "pcm").withColumn("feature", F.pandas_udf(features, "string").asNondeterministic()(F.col("pcm"))).drop("pcm")
+    sound = store(sound, "pcm", LEVEL).withColumn("feature", F.pandas_udf(features, "string").asNondeterministic()(F.col("pcm"))).drop("pcm")
     return sound.withColumn("doc_id", F.col("doc_id").cast(kind(docs, doc_id)))
