@@ -52,3 +52,11 @@ def sampled(rows: DataFrame, total: int, n: int, *key: Column) -> DataFrame:
     """About `n` of `total` rows, those of the lowest hashes of the key; 2 n at most. Nothing is sorted or shuffled for it, and reruns agree."""
     share = min(1 << 30, -(-(n << 30) // max(total, 1)))
     return rows.where(F.pmod(F.xxhash64(*key, F.lit(29)), F.lit(1 << 30)) < share).limit(2 * n)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or that with underscores before it, so that no column of `df` has it (in upper or lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

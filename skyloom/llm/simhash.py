@@ -24,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import connected
-from skyloom.llm.common import sampled, utf8
+from skyloom.llm.common import fresh, sampled, utf8
+from skyloom.llm.substrings import BASE, BYTE, SPACE, Sums, groups, mixed
 from skyloom.scratch import small, store
 
 BITS, WORDS, SEED = 4, 4, 42
-#: Bound of the sample that the shards' vantage points are chosen from, fingerprints aimed at for a shard, and most shards of a tree.
-SAMPLE, SHARD, MOST_SHARDS = 20_000, 25_000, 4_096
+#: Differing bits of the first candidates for shingle similarity. They only save work: pairs farther apart are found by their prefixes.
+FIRST_BITS = 5
+#: Fingerprints aimed at for a shard, sampled ones aimed at for each shard, and bounds of the whole sample that vantage points are chosen from.
+SHARD, PER_SHARD, SAMPLE, LARGEST_SAMPLE = 25_000, 64, 20_000, 1 << 21
 LEAF = 128
 CHUNK = 2_000_000
 #: Bits of a sketch, and pairs whose sketches are compared at once.
@@ -54,6 +57,34 @@ def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
     return np.fromiter((of(line[s:e], seed) for piece in pieces for s, e in piece), "<u8", n)
 
 
+def shingle_codes(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of each text's word shingles like `shingle_hashes`, but for many texts at once and by polynomials over words instead of XXH64."""
+    for _, part in groups(texts):
+        data = b" ".join(part).lower()
+        raw = np.frombuffer(data, np.uint8)
+        edge = np.diff(np.concatenate([[True], SPACE[raw], [True]]).astype(np.int8))
+        start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+        word = Sums(BYTE[0][raw], BASE[0]).hash(start, end)
+        ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in part]))
+        first = np.concatenate([[0], ends[:-1]])
+        rolled = np.zeros(max(0, len(word) - words + 1), np.uint64)
+        for k in range(words):
+            rolled += word[k : len(rolled) + k] * np.uint64(pow(int(BASE[1]), k + 1, 2**64))
+        rolled = mixed(rolled)
+        for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+            if b - a >= words:
+                yield rolled[a : b - words + 1]
+            else:
+                yield np.array([hash_of_few(word[a:b])][: b - a], np.uint64)
+
+
+def hash_of_few(word: np.ndarray) -> int:
+    """One hash of a sequence of words' hashes that is too short for a shingle."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.tobytes(), SEED)
+
+
 def majority(hashes: np.ndarray) -> int:
     """A bit is set if it is in over half the hashes."""
     count = np.zeros(64, np.int64)
@@ -77,23 +108,28 @@ def fingerprint(text: Column, words: int = WORDS) -> Column:
     return F.pandas_udf(run, "long").asNondeterministic()(utf8(text))
 
 
-def fingerprint_and_sketch(text: Column, words: int) -> Column:
-    """Struct of `fp`, `sketch` (a bit for each of SKETCH values of the distinct shingle hashes, set if an odd number of them has it) and `shingles` (their count).
+def facts(text: Column, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Column:
+    """Struct of `fp`, `sketch` (a bit for each of SKETCH values of the distinct shingle hashes, set if an odd number of them has it), `shingles` (their count) and `keys` (the shingles of the prefix: those least common in the sample, then of the least hashes; one 0 for a text without words).
 
     Sketches of two texts differ in at most as many bits as their sets of shingles have members that are not common.
     """
+    known, counts = common
 
-    def of(text: bytes) -> tuple:
-        hashes = shingle_hashes(text, words)
+    def of(hashes: np.ndarray) -> tuple:
         distinct = np.unique(hashes)
         odd = np.bincount((distinct % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-        return np.uint64(majority(hashes)).astype("<i8"), np.packbits(odd.astype(bool)).tobytes(), len(distinct)
+        keys = distinct
+        if len(known) and len(keys):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            keys = keys[np.argsort(np.where(known[at] == keys, counts[at], 0), kind="stable")]
+        keys = keys[: prefix_length(len(keys), similarity)] if len(keys) else np.zeros(1, "<u8")
+        return np.uint64(majority(hashes)).astype("<i8"), np.packbits(odd.astype(bool)).tobytes(), len(distinct), keys.view("<i8")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([of(bytes(t)) for t in batch], columns=["fp", "sketch", "shingles"])
+            yield pd.DataFrame(map(of, shingle_codes([bytes(t) for t in batch], words)), columns=["fp", "sketch", "shingles", "keys"])
 
-    return F.pandas_udf(run, "fp long, sketch binary, shingles long").asNondeterministic()(utf8(text))
+    return F.pandas_udf(run, "fp long, sketch binary, shingles long, keys array<long>").asNondeterministic()(utf8(text))
 
 
 def hex64(value: Column) -> Column:
@@ -286,8 +322,10 @@ def links(prints: DataFrame, bits: int = BITS, labelled: bool = False, similarit
     n = prints.count()
     shares, rng = masks(bits // 2 + 1), np.random.default_rng(SEED)
     radius = bits // len(shares)
-    sample = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy("<i8").view("<u8")
-    trees = [grow(sample, m, min(MOST_SHARDS, -(-n // SHARD)), rng) for m in shares]
+    shards = -(-n // SHARD)  # both the sample and the number of shards grow with the table
+    size = min(LARGEST_SAMPLE, max(SAMPLE, PER_SHARD * shards))
+    sample = np.sort(sampled(prints.select("fp"), n, size, F.col("fp")).toPandas()["fp"].to_numpy("<i8")).view("<u8")
+    trees = [grow(sample, m, shards, rng) for m in shares]
     extra = ["label"] * labelled + ["sketch", "shingles"] * (similarity is not None)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,7 +391,7 @@ def shingle_sets(text: Column, words: int) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([np.unique(shingle_hashes(bytes(t), words)).tobytes() for t in batch], dtype=object)
+            yield pd.Series([np.unique(x).tobytes() for x in shingle_codes([bytes(t) for t in batch], words)], dtype=object)
 
     return F.pandas_udf(run, "binary").asNondeterministic()(utf8(text))
 
@@ -373,25 +411,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "double").asNondeterministic()(a, b)
 
 
-def bits_for(similarity: float) -> int:
-    """Differing bits that two sets of this Jaccard similarity are expected to have at most: pi times their share is the angle of a cosine of 2 J / (1 + J)."""
-    return int(64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def prefix_length(shingles: int, similarity: float) -> int:
     """Shingles of a set of which, in any common order, one must be among as many of a set that is similar enough."""
     return shingles - int(np.ceil(similarity * shingles - 1e-9)) + 1
 
 
-def common_shingles(plain: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(plain: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes in rising order, and counts, of shingles that several texts of a bounded sample have. They only order prefixes, so that common passages come last; which links are found doesn't depend on them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                yield pd.DataFrame({"h": np.unique(shingle_hashes(bytes(text), words)).view("<i8")})
+            for at in range(0, len(batch), 256):
+                found = shingle_codes([bytes(t) for t in batch["text"].iloc[at : at + 256]], words)
+                yield pd.DataFrame({"h": np.concatenate([np.unique(x) for x in found]).view("<i8")})
 
-    some = sampled(plain, total, ORDER_TEXTS, F.col("t")).select(utf8(F.col("text")).alias("text"))
+    some = sampled(plain, plain.count(), ORDER_TEXTS, F.col("t")).groupBy("t").agg(F.min("text").alias("text")).select(utf8(F.col("text")).alias("text"))
     counts = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
     found = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toPandas()
     hashes = found["h"].to_numpy("<i8").view("<u8")
@@ -399,56 +433,36 @@ def common_shingles(plain: DataFrame, total: int, words: int) -> tuple[np.ndarra
     return hashes[order], found["n"].to_numpy("<i8")[order]
 
 
-def prefixes(text: Column, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Column:
-    """The shingles of each text's prefix: those least common in the sample, then of the least hashes; one 0 for a text without words."""
-    known, counts = common
-
-    def of(text: bytes) -> np.ndarray:
-        hashes = np.unique(shingle_hashes(text, words))
-        if not len(hashes):
-            return np.zeros(1, "<i8")
-        if len(known):
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
-        return hashes[: prefix_length(len(hashes), similarity)].view("<i8")
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([of(bytes(t)) for t in batch], dtype=object)
-
-    return F.pandas_udf(run, "array<long>").asNondeterministic()(utf8(text))
-
-
 def sketch_words(sketch: Column) -> Column:
     """A sketch as longs."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([np.frombuffer(bytes(x), "<i8") for x in batch], dtype=object)
-
-    return F.pandas_udf(run, "array<long>").asNondeterministic()(sketch)
+    return F.array(*[F.conv(F.hex(F.substring(sketch, 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH // 64)])
 
 
-def beyond(texts: DataFrame, groups: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
-    """ta, tb: all pairs of texts in different groups that may have this Jaccard similarity. `texts` (stored) has t (digest), sketch and shingles, `groups` has t and component, `plain` has t and text.
+def beyond(texts: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """ta, tb: all pairs of texts in different groups that may have this Jaccard similarity. `texts` (stored) has t (digest), sketch, shingles and keys, `groups` has t and component.
 
     Texts are put under each shingle of their prefixes, and meet only under
     shingles of several groups, if counts and sketches of their shingles don't
-    prove them too different. Both bounds and the prefixes are exact.
+    prove them too different. Both bounds and the prefixes are exact. Under each
+    shingle one side of a pair is outside the shingle's largest group, so members of
+    a large group never meet each other.
     """
-    unique = plain.groupBy("t").agg(F.min("text").alias("text"))
-    common = common_shingles(unique, texts.count(), words)
-    cut = store(unique.select("t", prefixes(F.col("text"), words, similarity, common).alias("keys")), "prefixes")
-    placed = texts.select("t", "sketch", "shingles").join(groups, "t", "left").withColumn("g", F.coalesce("component", "t")).drop("component")
-    placed = store(placed.withColumn("id", F.monotonically_increasing_id()).withColumn("sketch", sketch_words(F.col("sketch"))), "placed")
-    keyed = cut.join(placed.select("t", "id", F.xxhash64("g").alias("label")), "t").select("id", "label", F.explode("keys").alias("key"))
+    placed = texts.select("t", "sketch", "shingles", "keys").join(groups, "t", "left").withColumn("g", F.coalesce("component", "t")).drop("component")
+    placed = placed.withColumn("id", F.monotonically_increasing_id()).withColumn("label", F.xxhash64("g"))
+    placed = store(placed.withColumn("sketch", sketch_words(F.col("sketch"))), "placed")
+    keyed = placed.select("id", "label", F.explode("keys").alias("key"))
     several = store(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "keys")
-    meeting = store(keyed.join(small(several, several.count()), "key").select("key", "id"), "meeting").join(placed, "id")
-    a, b = (meeting.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("id", "t", "g", "sketch", "shingles")]) for x in ("a", "b"))
+    meeting = store(keyed.join(small(several, several.count()), "key"), "meeting")
+    counts = meeting.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = store(counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top")), "largest")
+    met = meeting.join(small(largest, largest.count()), "key").withColumn("in_top", F.col("label") == F.col("top")).drop("label", "top")
+    met = store(met.join(placed.drop("keys"), "id"), "met")
+    a, b = (met.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("id", "t", "label", "sketch", "shingles", "in_top")]) for x in ("a", "b"))
     differ = sum(F.bit_count(F.col("sketcha")[k].bitwiseXOR(F.col("sketchb")[k])) for k in range(SKETCH // 64))
     sizes, apart = F.col("shinglesa") + F.col("shinglesb"), (1 - similarity) / (1 + similarity)
     fits = F.least("shinglesa", "shinglesb") >= similarity * F.greatest("shinglesa", "shinglesb") - 1e-9
-    pairs = a.join(b, "key").where((F.col("ida") < F.col("idb")) & (F.col("ga") != F.col("gb")) & fits & (differ <= sizes * apart + 1e-9))
+    once = F.col("in_topb") | (F.col("ida") < F.col("idb"))
+    pairs = a.where("not in_topa").join(b, "key").where((F.col("labela") != F.col("labelb")) & once & fits & (differ <= sizes * apart + 1e-9))
     return pairs.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct()
 
 
@@ -467,21 +481,21 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "d
 
     Texts are linked if their word shingles have a Jaccard similarity of
     `similarity` or more, which is checked exactly. No such link is lost, however
-    far apart fingerprints are: first candidates near in fingerprints that span
-    the groups are checked, which ties most copies, then all pairs between texts
+    far apart fingerprints are: first candidates, within FIRST_BITS differing bits,
+    that span the groups are checked, which ties most copies, then all pairs between texts
     that these left apart and that share a shingle of their prefixes (see
     `beyond`). Equal texts are one text; texts without words are one text. No rows
     give no rows.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(utf8(F.col(text))).alias("t"))
-    printed = store(plain.select("doc_id", "t", fingerprint_and_sketch(F.col("text"), words).alias("s")).select("doc_id", "t", "s.*"), "fingerprints")
+    seen = facts(F.col("text"), words, similarity, common_shingles(plain, words))
+    printed = store(plain.select("doc_id", "t", seen.alias("s")).select("doc_id", "t", "s.*"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    texts = store(printed.groupBy("t", "fp").agg(first, F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")), "texts")
+    texts = store(printed.groupBy("t", "fp").agg(first, *[F.first(c).alias(c) for c in ("sketch", "shingles", "keys")]), "texts")
     one = [F.when(F.count("*") == 1, F.first(c)).alias(c) for c in ("sketch", "shingles")]
     least = store(texts.groupBy("fp").agg(F.min(F.struct("first", "t"))["t"].alias("rep"), *one), "reps")
-    bits = bits_for(similarity)
 
-    pairs = store(links(least, bits, similarity=similarity).distinct(), "pairs")
+    pairs = store(links(least, FIRST_BITS, similarity=similarity).distinct(), "pairs")
     a, b = (least.select(F.col("fp").alias(x), F.col("rep").alias(f"t{x}")) for x in ("a", "b"))
     between = pairs.join(a, "a").join(b, "b").select("ta", "tb")
     inside = texts.join(least, "fp").where("t <> rep").select(F.col("rep").alias("ta"), F.col("t").alias("tb"))
@@ -491,12 +505,16 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "d
 
     # All other similar texts share a shingle of their prefixes, however far apart their fingerprints are.
     groups = connected(near).withColumnRenamed("node", "t")
-    more = store(beyond(texts, groups, plain, words, similarity).join(tied.select(low, high), ["ta", "tb"], "left_anti"), "more")
+    more = store(beyond(texts, groups, similarity).join(tied.select(low, high), ["ta", "tb"], "left_anti"), "more")
     near = near.unionByName(similar(more, plain, words, similarity))
 
     groups = connected(near)
     grouped = texts.join(groups.withColumnRenamed("node", "t"), "t", "left").withColumn("g", F.coalesce("component", "t"))
-    kept = grouped.groupBy("g").agg(F.min(F.struct("first", "t")).alias("k")).select(F.col("k.t").alias("_t"), F.col("k.first.doc_id").alias("_id"))
-    keyed = docs.withColumn("_text_md5", F.md5(utf8(F.col(text))))
-    out = keyed.join(kept, (F.col("_text_md5") == F.col("_t")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates([doc_id, "_text_md5"]).select(*docs.columns)
+    kept = grouped.groupBy("g").agg(F.min(F.struct("first", "t")).alias("k")).select(F.col("k.t").alias(fresh(docs, "_t")), F.col("k.first.doc_id").alias(fresh(docs, "_id")))
+    named = fresh(docs, "_text_md5")
+    keyed = docs.withColumn(named, F.md5(utf8(F.col(text))))
+    out = keyed.join(kept, (F.col(named) == kept[kept.columns[0]]) & keyed[doc_id].eqNullSafe(kept[kept.columns[1]]), "left_semi")
+    # Of rows that are equal in both, that of the least hash of all columns.
+    all_columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = out.groupBy(doc_id, named).agg(F.min_by(F.struct(*all_columns), F.xxhash64(*all_columns)).alias("k"))
+    return one.select("k.*")
