@@ -3,9 +3,9 @@
 Captures are sorted by reversed-host URL key. Each task writes its range of keys as a WARC file
 of gzip members in the shared folder, and beside it the range's index lines in
 compressed blocks of BLOCK_LINES. The block directory, one row for a block, is a small
-sorted table. A lookup sorts its keys the same way, binary-searches the
-part of the directory that its range of keys needs, reads the blocks and then the
-records by byte range.
+sorted table of one file for each range. A lookup sorts its keys the same way,
+binary-searches the ranges' bounds and then the one or two directory files that its
+own keys need, and reads the blocks and then the records by byte range.
 
 Files bear names of their own for each attempt of a task, and only rows of
 attempts that succeeded name them, so a lost executor leaves no half file in use.
@@ -30,8 +30,6 @@ from skyloom.llm.common import kind
 from skyloom.scratch import scratch_path, small, store
 
 BLOCK_LINES = 512
-#: Rows of the directory that a task reads at a time.
-DIRECTORY_ROWS = 4_096
 DATE = "2020-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -106,49 +104,58 @@ class Archive:
         self.folder, self.directory, self.partitions = folder, directory, partitions
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """page, kind, url, digest, refers_to (text), payload (null for a revisit) of every capture with a key (`key`) of `keys`.
+        """page, kind, url, digest, refers_to (text), payload (null for a revisit) of every capture with a key (`key`) of `keys`, a null key included.
 
         Keys that repeat find their captures once for each time, except that one task
-        looks up neighbours once; give distinct keys. Unknown keys find nothing.
+        looks up neighbours once; give distinct keys. Unknown keys find nothing. A
+        payload that doesn't have its record's digest ends the job.
         """
-        folder, table = self.folder, self.directory.inputFiles()
-        place = table[0].rpartition("/")[0] if table else None
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import pyarrow.dataset as ds
+        folder = self.folder
+        # One row for each range that was written: no more than `partitions`.
+        files = self.directory.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("first").alias("first"), F.max("last").alias("last")).collect()
+        ranges = sorted((r["last"], r["first"], r["path"]) for r in files)
+
+        def blocks_from(key: str) -> Iterator[dict]:
+            """Directory rows in order, from the first block that may hold the key on; one directory file at a time is held."""
+            import pyarrow.parquet as pq
             from pyarrow import fs
 
-            files, source = Files(folder), None
-            if place:
-                store_fs, path = fs.FileSystem.from_uri(place)
-                source = ds.dataset(path, filesystem=store_fs, format="parquet")
-            block, held, last = None, [], None
+            for last, _, path in ranges[bisect_left(ranges, (key,)) :]:
+                source, name = fs.FileSystem.from_uri(path)
+                part = pq.read_table(name, filesystem=source).sort_by([("first", "ascending"), ("at", "ascending")])
+                ends = part.column("last").to_pylist()
+                yield from part.slice(bisect_left(ends, key)).to_pylist()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            files, held, last, ahead, block = Files(folder), [], None, None, None
+            rows: list[tuple] = []
             for batch in batches:
-                rows = []
-                for at in range(0, len(batch) if source else 0, DIRECTORY_ROWS):
-                    wanted = sorted(set(batch["key"].iloc[at : at + DIRECTORY_ROWS]))
-                    part = source.to_table(filter=(ds.field("first") <= wanted[-1]) & (ds.field("last") >= wanted[0])).sort_by([("first", "ascending"), ("file", "ascending"), ("at", "ascending")])
-                    ends, of = part.column("last").to_pylist(), part.select(["first", "file", "at", "size"]).to_pylist()
-                    for key in wanted:
-                        k = bisect_left(ends, key)  # the first block that may hold the key
-                        while k < len(of) and of[k]["first"] <= key and key != last:
-                            name = (of[k]["file"], of[k]["at"])
-                            if block != name:
-                                block, held = name, zlib.decompress(files.read(of[k]["file"], of[k]["at"], of[k]["size"]), 31).decode().split("\n")
+                for key in batch["key"]:
+                    if key == last:
+                        continue
+                    last, ahead = key, ahead or blocks_from(key)
+                    # The block at hand, then the following ones, as far as they begin no later than the key.
+                    while True:
+                        if block and block["first"] > key:
+                            break
+                        if block and block["last"] >= key:
+                            held = held or zlib.decompress(files.read(block["file"], block["at"], block["size"]), 31).decode().split("\n")
                             i = bisect_left(held, key + " ")
                             while i < len(held) and held[i].startswith(key + " "):
                                 _, warc, start, size = held[i].rsplit(" ", 3)
-                                got = parse(files.read(warc, int(start), int(size)))
-                                rows.append(found(got))
+                                rows.append(found(parse(files.read(warc, int(start), int(size)))))
                                 i += 1
-                            k += 1
-                        last = key
-                        if len(rows) >= 256:
-                            yield pd.DataFrame(rows, columns=COLUMNS)
-                            rows = []
-                yield pd.DataFrame(rows, columns=COLUMNS)
-
-        ordered = keys.select("key").repartitionByRange(self.partitions, "key").sortWithinPartitions("key")
+                            if block["last"] > key:
+                                break
+                        block, held = next(ahead, None), []
+                        if not block:
+                            break
+                    if len(rows) >= 256:
+                        yield pd.DataFrame(rows, columns=COLUMNS)
+                        rows = []
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+        ordered = keys.select(F.coalesce("key", F.lit("")).alias("key")).repartitionByRange(self.partitions, "key").sortWithinPartitions("key")
         return ordered.mapInPandas(run, "page string, kind string, url string, digest string, refers_to string, payload binary")
 
 
@@ -156,10 +163,13 @@ COLUMNS = ["page", "kind", "url", "digest", "refers_to", "payload"]
 
 
 def found(got: dict) -> tuple:
-    """A parsed record as a row."""
+    """A parsed record as a row. A response's digest is that of the payload as read, which must be what the header says."""
     number = lambda name: got[name].removeprefix("<urn:skyloom:page:").removesuffix(">") if name in got else None
-    response = got["WARC-Type"] == "response"
-    return number("WARC-Record-ID"), got["WARC-Type"], got["WARC-Target-URI"], got["WARC-Payload-Digest"].removeprefix("sha1:"), number("WARC-Refers-To"), got["payload"] if response else None
+    response, stated = got["WARC-Type"] == "response", got["WARC-Payload-Digest"].removeprefix("sha1:")
+    digest = digest32(got["payload"]) if response else stated
+    if digest != stated:
+        raise ValueError(f"the payload of {got['WARC-Record-ID']} has another digest than its record says")
+    return number("WARC-Record-ID"), got["WARC-Type"], got["WARC-Target-URI"], digest, number("WARC-Refers-To"), got["payload"] if response else None
 
 
 def capture_key(url: Column, page: Column) -> Column:
@@ -244,9 +254,10 @@ def round_trip(pages: DataFrame, least: int = 0, page_id: str = "page_id", url:
     keys = plain.select(capture_key(F.coalesce("url", F.lit("")), page_number(F.col("page_id"))).alias("key")).distinct()
     read = archive.lookup(keys)
     size, again = F.octet_length("payload"), F.col("kind") == "revisit"
-    back = store(read.select("page", "kind", "digest", "refers_to", size.cast("long").alias("size"), F.sha1("payload").alias("sha")), "read")
+    back = store(read.select("page", "kind", "digest", "refers_to", size.cast("long").alias("size")), "read")
     whole = back.where(~again).select(F.col("page").alias("refers_to"), "digest", F.col("size").alias("whole")).distinct()
-    both = back.join(whole, ["refers_to", "digest"], "left")
+    # A revisit's length is that of the response read back that has its id and digest; responses need no partner.
+    both = back.where(again).join(small(whole, whole.count()), ["refers_to", "digest"], "left").unionByName(back.where(~again).withColumn("whole", F.lit(None).cast("long")))
     id_of = lambda c: F.when(F.col(c) != "none", F.col(c)).cast(number)
     return both.select(
         id_of("page").alias("page_id"), F.when(again, F.col("whole")).otherwise(F.col("size")).alias("payload_bytes"),
