@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import kind, utf8
-from skyloom.scratch import store
+from skyloom.scratch import small, store
 
 LENGTH, ANCHOR = 35, 12
 #: Bytes of text that are hashed at a time.
@@ -185,12 +185,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     """doc_id, _h, s, n: ranges of n windows from word s on, each of which occurs elsewhere too. Some are listed more than once."""
     plain = keyed(docs, doc_id, text)
     found = runs(plain, length, anchor)
-    seeds = found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    live = store(found.join(seeds, "a"), "live")
+    seeds = store(found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "seeds")
+    # One row for each anchor against all its places: as both sides are read or shuffled for the join alone, Spark splits an anchor that many documents have.
+    live = store(found.join(small(seeds, seeds.count()), "a"), "live")
     place = F.struct("doc_id", "_h", "s")
     extents = store(live.groupBy("a", "r").agg(F.count("*").alias("c"), F.min(place).alias("rep")), "extents")
-    mixed_seeds = extents.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a", F.lit(True).alias("many"))
-    judged = live.join(extents, ["a", "r"]).join(mixed_seeds, "a", "left")
+    mixed_seeds = store(extents.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a", F.lit(True).alias("many")), "mixed-seeds")
+    judged = live.join(small(extents, extents.count()), ["a", "r"]).join(small(mixed_seeds, mixed_seeds.count()), "a", "left")
     judged = store(judged.select("doc_id", "_h", "s", "n", (F.col("c") > 1).alias("whole"), (F.col("many") & ((F.col("c") == 1) | place.eqNullSafe(F.col("rep")))).alias("open")), "judged")
     wanted = judged.where("open").groupBy("doc_id", "_h").agg(F.collect_set(F.struct("s", "n")).alias("ranges"))
     texts = plain.select("doc_id", "_h", squeezed(F.col("text")).alias("packed"))
