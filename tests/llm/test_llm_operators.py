@@ -182,11 +182,10 @@ def test_near_copies_in_a_dense_group(spark, monkeypatch):
     made += ["one two", "One  two", "three four", *[f"{m} {m}" for m in made[:20]]]
     made = [made[i] for i in rng.permutation(len(made))]
     sets = [{tuple(w[k : k + 5]) for w in [m.lower().split()] for k in range(max(1, len(w) - 4))} for m in made]
-    prints = [simhash.bits_of(m.encode(), 5) for m in made]
     group = list(range(len(made)))
     for a in group[:]:
         for b in range(a):
-            if group[a] != group[b] and (prints[a] ^ prints[b]).bit_count() <= 9 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 low, high = sorted((group[a], group[b]))
                 group = [low if g == high else g for g in group]
     table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
@@ -247,12 +246,11 @@ def test_near_copies_of_many_edits_keep_every_link(spark):
     texts += [None, "", "  ", "one", "one", texts[0]]
     rows = list(enumerate(texts))
     sets = [{tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))} for t in texts]
-    prints = [simhash.bits_of((t or "").encode(), 5) for t in texts]
     first = list(range(len(rows)))
     for _ in rows:
         for i in range(len(rows)):
             for j in range(len(rows)):
-                if (prints[i] ^ prints[j]).bit_count() <= 9 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                     first[i] = first[j] = min(first[i], first[j])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in simhash.one_of_each(docs, 5, 0.8).collect()}
@@ -308,5 +306,72 @@ def test_audio_stores_pcm_of_all_codecs(spark, monkeypatch):
     rows, media = kept["pcm"].collect(), {r.doc_id: bytes(r.media) for r in kept["media"].collect()}
     assert len(rows) == 60 and {audio.unwav(x)[0] for x in media.values()} == {audio.MU_LAW, audio.A_LAW, audio.IMA_ADPCM}
     for r in rows:
-        assert bytes(r.pcm) == audio.resample(*audio.decode(media[int(r.doc_id)]), 16_000).tobytes()
+        assert bytes(r.pcm) == audio.resample(*audio.decoded([media[int(r.doc_id)]])[0], audio.RATE // 2).tobytes()
         assert out[int(r.doc_id)].feature.endswith(f"pcm_crc32={zlib.crc32(bytes(r.pcm))}")
+
+
+def test_apportionment_against_the_plain_rule(spark):
+    """Seats one by one to the highest quotient: the same quotas but for ties, with caps, many equal votes and several groups."""
+    rng, rows, seats = np.random.default_rng(2), [], []
+    for g in range(40):
+        n = int(rng.integers(1, 30))
+        votes = rng.integers(0, 6, n) * 7.0 if g % 2 else rng.random(n) * 100
+        caps = [int(c) for c in rng.integers(0, 40, n)]
+        rows += [(g, k, float(v), c) for k, (v, c) in enumerate(zip(votes, caps, strict=True))]
+        seats.append((g, int(min(rng.integers(0, 200), sum(c for v, c in zip(votes, caps, strict=True) if v)))))
+    # As in the mix, no party's share of the seats is above its cap by much: votes follow caps.
+    rows = [(g, k, v, max(c, int(v) * 60)) for g, k, v, c in rows]
+    parties, wanted = spark.createDataFrame(rows, "g int, k int, votes double, cap long"), spark.createDataFrame(seats, "g int, seats long")
+    found = {(r.g, r.k): r.quota for r in mixing.apportion(store(parties, "p"), store(wanted, "s"), ["g"], ["k"]).collect()}
+    for g, n in seats:
+        own = {k: (v, c) for x, k, v, c in rows if x == g and v > 0}
+        plain = dict.fromkeys(own, 0)
+        for _ in range(n if own else 0):
+            open_ = [k for k in own if plain[k] < own[k][1]]
+            plain[max(open_, key=lambda k: own[k][0] / (2 * plain[k] + 1))] += 1
+        assert sum(found.get((g, k), 0) for k in own) == sum(plain.values()), g
+        # Quotients won, which tell quotas of tied parties apart from wrong ones.
+        won = lambda quota: sorted(own[k][0] / (2 * i + 1) for k in own for i in range(quota.get(k, 0)))
+        assert won(plain) == won({k: found.get((g, k), 0) for k in own}), g
+
+
+def test_clashing_columns(spark):
+    """Internal names give way to columns of the caller's."""
+    names = ["doc_id", "text", "source", "size", "_row", "_part", "_h", "n_removed", "n_lines", "_t", "_id", "_text_md5", "component"]
+    made = [(i, f"line of words number {i % 4}\nand a second line here {i}", "a", *range(10)) for i in range(12)]
+    table = spark.createDataFrame(made, ", ".join(f"{n} {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    for out in (mixing.mixed_documents(table), lines.without_repeats(table), simhash.one_of_each(table, 5, 0.8)):
+        assert out.columns == names and {tuple(r)[3:] for r in out.collect()} == {tuple(range(10))}
+    sound = audio.pcm_column(table.select("doc_id", F.lit(audio.wav(audio.MU_LAW, b"abc")).alias("media"), F.lit(1).alias("pcm")), 4_000)
+    assert sound.columns == ["doc_id", "media", "pcm"] and len(sound.first().pcm) == 4
+
+
+def test_malformed_and_other_sound(spark):
+    data = bytes(range(256)) * 3
+    stereo = audio.wav(audio.PCM, np.array([[100, 300], [-5, 5]], "<i2").tobytes())
+    stereo = stereo[:22] + (2).to_bytes(2, "little") + stereo[24:]
+    bad = [b"", b"RIFFxxxxWAVEfmt \x10\0\0\0abc", audio.wav(2, data), audio.wav(audio.MU_LAW, data, rate=0), audio.wav(audio.IMA_ADPCM, data, block=4), audio.wav(audio.MU_LAW, data)[:40]]
+    found = audio.decoded([*bad, stereo, audio.wav(audio.IMA_ADPCM, data, block=64)])
+    assert found[: len(bad)] == [None] * len(bad) and found[-2][0].tolist() == [200, 0]
+    assert np.array_equal(found[-1][0], audio.adpcm_decode(data, 64))
+
+
+def test_resampling_against_exact_fractions(monkeypatch):
+    from fractions import Fraction
+    from math import floor
+
+    monkeypatch.setattr(audio, "PIECE", 50)
+
+    def plain(x, rate, to):
+        at = lambda i: int(x[min(i, len(x) - 1)])
+        if to > rate:
+            return [at(low) + (at(low + 1) - at(low)) * part // to for low, part in (divmod(j * rate, to) for j in range(-(-len(x) * to // rate)))]
+        edge = lambda j: Fraction(j * rate, to)
+        spans = [(edge(j), edge(j + 1)) for j in range(-(-len(x) * to // rate))]
+        return [floor(sum((min(b, i + 1) - max(a, i)) * at(i) for i in range(floor(a), -(-b.numerator // b.denominator))) / (b - a)) for a, b in spans]
+
+    rng = np.random.default_rng(0)
+    for rate, to in ((8000, 4000), (8000, 16000), (8000, 11025), (11025, 8000), (8000, 3000)):
+        for n in (1, 2, 49, 50, 51, 333):
+            x = rng.integers(-32768, 32768, n).astype("<i2")
+            assert audio.resample(x, rate, to).tolist() == plain(x, rate, to)
