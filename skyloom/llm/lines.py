@@ -1,13 +1,21 @@
-"""Line dedup by a depth-bounded suffix array over line-ID sequences (DataFrame functions only).
-
-Every line that holds a word gets an ID. Prefix doubling names the sequence of
-the next 1, 2, 4, ... lines at each position: a name of 2 n lines is made of two
-names of n lines. Positions that share a name are an interval of the suffix
-array whose longest common prefix is at least that long, and the interval's
-first position is the one that stays. A run of lines found earlier counts as
-repeated if it has at least `min_words` words, so no prefix of more than
-`min_words` lines is ever asked for, and doubling stops there; longer maximal
-runs are unions of such runs.
+"""Line dedup by a suffix array over line-ID sequences (DataFrame functions only).
+
+All lines that hold a word get positions in the order of documents and lines, with a
+gap after each document, and lines that occur more than once get IDs. Prefix
+doubling sorts and ranks the suffixes by their first 1, 2, 4, ... lines: the rank at
+2 n lines comes from the sorted pairs of ranks at n lines, n lines apart. A suffix
+whose first lines occur nowhere else leaves, so a round holds only what repeats,
+and rounds end when nothing does.
+
+Suffixes of one rank are an interval of the array. Descending from the deepest
+ranks, intervals are parted by the ranks of what follows until each is as deep as
+its longest common prefix; the first suffix of each part stays behind to stand for
+it in the interval around. So every suffix ends as a later member of the deepest
+interval that has an earlier one: that interval's depth is its longest repeat of
+anything earlier. Those that no repeat from the line before covers are the maximal
+repeated runs. Runs with enough words are deleted where they are later copies.
+
+Intervals are grouped minima and joins; no task sees all of one.
 """
 
 from __future__ import annotations
@@ -15,110 +23,125 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import has_word, n_words
-from skyloom.scratch import store
+from skyloom.llm.common import fresh, has_word, n_words
+from skyloom.scratch import ordered_index, small, store
 
 MIN_WORDS = 5
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word of each distinct document: doc_id, _h (the text's hash), line (its number among all lines), i (among those), name, w, chars."""
+    """One row for each line with a word of each distinct document, and one of line -1 before each document: doc_id, _h (the text's hash), line (its number among all lines), name (a 128-bit digest, null for line -1), w and upto (words of the line, and of the document up to its end). Stored with `pos`, the row's place by doc_id (nulls first), _h and line."""
     split = F.split(F.col("text"), "\n", -1)
     numbered = F.transform(split, lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     kept = F.filter(numbered, lambda s: has_word(s["x"]))
-    facts = F.transform(kept, lambda s: F.struct(s["line"].alias("line"), F.xxhash64(s["x"]).alias("name"), n_words(s["x"]).alias("w"), F.length(s["x"]).alias("chars")))
-    per_doc = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_h"), facts.alias("facts"))
-    return per_doc.dropDuplicates(["doc_id", "_h"]).select("doc_id", "_h", F.posexplode("facts").alias("i", "f")).select("doc_id", "_h", "i", "f.*")
-
-
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """The shortest runs with `min_words` words, from each line on and up to each line: doc_id, _h, i (first), n (lines), and their names a, b and characters c.
-
-    b is the name of the run's last lines, as many as a names of its first: the two
-    overlap and cover the run.
-    """
-    order = Window.partitionBy("doc_id", "_h").orderBy("i")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    levels, span = [1], 1
-    while span * 2 <= min_words:
-        span *= 2
-        levels.append(span)
-    named = lines.withColumn("_w", F.sum("w").over(so_far)).withColumn("_c", F.sum("chars").over(so_far)).withColumnRenamed("name", "name1")
-    for n in levels[1:]:
-        half = F.lead(f"name{n // 2}", n // 2).over(order)
-        named = named.withColumn(f"name{n}", F.when(half.isNotNull(), F.xxhash64(f"name{n // 2}", half)))
-    before, before_c = F.col("_w") - F.col("w"), F.col("_c") - F.col("chars")
-
-    def shortest(reach: list[Column]) -> Column:
-        out = F
-        for k, ok in enumerate(reach):
-            out = out.when(ok, k + 1)
-        return out
-
-    ahead = shortest([F.lead("_w", k).over(order) - before >= min_words for k in range(min_words)])
-    back = shortest([F.col("_w") - F.lag(before, k).over(order) >= min_words for k in range(min_words)])
-    named = named.withColumns({"n_ahead": ahead, "n_back": back})
-    rows = named.select("doc_id", "_h", "i", "_w", "_c", "w", "chars", "n_ahead", "n_back", *[f"name{n}" for n in levels])
-
-    def run(n: int, first: int) -> Column:
-        """Struct of a run of n lines whose first line is `first` lines from here (0 or less)."""
-        top = max(x for x in levels if x <= n)
-        at = lambda c, k: F.lead(c, k).over(order) if k >= 0 else F.lag(c, -k).over(order)
-        return F.struct(
-            (F.col("i") + first).alias("i"), F.lit(n).alias("n"), at(f"name{top}", first).alias("a"), at(f"name{top}", first + n - top).alias("b"),
-            (at(F.col("_c"), first + n - 1) - at(before_c, first)).alias("c"),
-        )
-
-    ahead_run, back_run = F, F
-    for n in range(1, min_words + 1):
-        ahead_run = ahead_run.when(F.col("n_ahead") == n, run(n, 0))
-        back_run = back_run.when(F.col("n_back") == n, run(n, 1 - n))
-    both = rows.select("doc_id", "_h", ahead_run.alias("x"), back_run.alias("y"))
-    runs = F.array_distinct(F.filter(F.array("x", "y"), lambda r: r.isNotNull()))
-    return both.select("doc_id", "_h", F.explode(runs).alias("r")).select("doc_id", "_h", "r.*")
-
-
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, _h, removed (numbers of the lines to delete) for documents that have any."""
-    lines = store(line_rows(docs), "lines")
-    runs = store(windows(lines.drop("line"), min_words), "runs")
-    place = F.struct("doc_id", "_h", "i")
-    first = runs.groupBy("n", "a", "b", "c").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    later = runs.join(first.select("n", "a", "b", "c", "first"), ["n", "a", "b", "c"]).where(place > F.col("first"))
-    hit = later.select("doc_id", "_h", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i")).distinct()
-    hit = hit.join(lines.select("doc_id", "_h", "i", "line"), ["doc_id", "_h", "i"])
-    return hit.groupBy("doc_id", "_h").agg(F.collect_list("line").alias("removed"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of `docs`, text without the later copies of repeated line runs, and n_lines, n_removed.
-
-    `docs` has doc_id and text; what comes first is told by doc_id, then by the
-    text's hash. A null text stays null with no lines; blank lines are never
+    fact = lambda line, name, w: F.struct(line.cast("int").alias("line"), name.cast("binary").alias("name"), w.cast("long").alias("w"))
+    facts = F.concat(F.array(fact(F.lit(-1), F.lit(None), F.lit(0))), F.transform(kept, lambda s: fact(s["line"], F.unhex(F.md5(s["x"].cast("binary"))), n_words(s["x"]))))
+    per_doc = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_h"), facts.alias("facts")).dropDuplicates(["doc_id", "_h"])
+    rows = per_doc.select("doc_id", "_h", F.explode("facts").alias("f")).select("doc_id", "_h", "f.*")
+    rows = rows.withColumn("upto", F.sum("w").over(Window.partitionBy("doc_id", "_h").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    return ordered_index(rows, [F.col("doc_id"), F.col("_h"), F.col("line")], "pos")
+
+
+def ranked(level: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """pos and rank of those rows of `level` whose keys occur more than once; ranks number these keys in their order. Stored."""
+    several = level.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
+    ranks = ordered_index(several, [F.col(k) for k in keys], "_rank")
+    return store(level.join(small(ranks, ranks.count()), keys).select("pos", F.col("_rank").alias("rank")), name)
+
+
+def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
+    """Level k has pos and rank of the suffixes whose first 2^k lines occur more than once, ranked by these lines."""
+    levels = [ranked(lines.where("name is not null").select("pos", "name"), ["name"], "rank-1")]
+    while True:
+        span, level = 1 << (len(levels) - 1), levels[-1]
+        after = level.select((F.col("pos") - span).alias("pos"), F.col("rank").alias("then"))
+        pairs = store(level.join(after, "pos"), "pairs")
+        level = ranked(pairs, ["rank", "then"], f"rank-{2 * span}")
+        if level.isEmpty():
+            return levels
+        levels.append(level)
+
+
+def longest_repeats(levels: list[DataFrame]) -> DataFrame:
+    """pos, n, first: the most lines from `pos` on that also begin at an earlier place, and the earliest such place."""
+    # Rows are members of intervals, which are named by their first suffix and their depth.
+    members = levels[0].select(F.lit(-1).cast("long").alias("first"), F.lit(0).cast("long").alias("n"), "pos")
+    for k in reversed(range(len(levels))):
+        step = levels[k].select(F.col("pos").alias("_at"), "rank")
+        seen = store(members.join(step, F.col("pos") + F.col("n") == F.col("_at"), "left").drop("_at"), "members")
+        parts = seen.where("rank is not null").groupBy("first", "n", "rank").agg(F.min("pos").alias("head"), F.count("*").alias("size")).where("size > 1")
+        parts = store(parts.drop("size"), "parts")
+        deeper = seen.join(small(parts, parts.count()), ["first", "n", "rank"], "left")
+        stays = deeper.where(F.col("head").isNull() | (F.col("pos") == F.col("head"))).select("first", "n", "pos")
+        moves = deeper.where(F.col("head").isNotNull()).select(F.col("head").alias("first"), (F.col("n") + (1 << k)).alias("n"), "pos")
+        members = stays.unionByName(moves)
+    return store(members.where("n > 0 and pos <> first"), "repeats")
+
+
+def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, _h, pos, n, start, stop: the maximal repeated runs of `min_words` words or more that are later copies: n lines with words from place `pos` on, in the document's lines from `start` to before `stop`."""
+    repeats = longest_repeats(suffix_ranks(lines))
+    before = repeats.select((F.col("pos") + 1).alias("pos"), (F.col("pos") + F.col("n")).alias("_end"))
+    # Ends never fall from one line to the next; where they don't rise, the run goes on from the line before.
+    runs = repeats.join(before, "pos", "left").where(F.col("_end").isNull() | (F.col("_end") < F.col("pos") + F.col("n"))).select("pos", "n")
+    runs = store(runs, "runs")
+    begin = lines.select("pos", "doc_id", "_h", F.col("line").alias("start"), (F.col("upto") - F.col("w")).alias("_before"))
+    end = lines.select(F.col("pos").alias("_last"), (F.col("line") + 1).alias("stop"), F.col("upto").alias("_upto"))
+    n = runs.count()
+    placed = begin.join(small(runs, n), "pos").withColumn("_last", F.col("pos") + F.col("n") - 1)
+    placed = store(placed, "begun")
+    return end.join(small(placed, n), "_last").where(F.col("_upto") - F.col("_before") >= min_words).select("doc_id", "_h", "pos", "n", "start", "stop")
+
+
+def marked(runs: Column) -> Column:
+    """Flags by line, up to the last run's end: true in a run. The runs of a document overlap, but both their starts and their stops rise."""
+
+    def of(sorted_runs: Column) -> Column:
+        def piece(r: Column, k: Column) -> Column:
+            done = F.coalesce(F.get(sorted_runs, k - 1)["stop"], F.lit(0))
+            gap, size = F.greatest(F.lit(0), r["start"] - done), r["stop"] - F.greatest(r["start"], done)
+            return F.concat(F.array_repeat(F.lit(False), gap), F.array_repeat(F.lit(True), F.greatest(F.lit(0), size)))
+
+        return F.flatten(F.transform(sorted_runs, piece))
+
+    # A lambda's variable is evaluated once, where a column would be once for each element.
+    return F.transform(F.array(F.array_sort(runs)), of)[0]
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, lines_to: str = "n_lines", removed_to: str = "n_removed") -> DataFrame:
+    """All columns of `docs`, text without the later copies of repeated line runs, and n_lines, n_removed (or as named), which take the place of columns of these names.
+
+    `docs` has doc_id and text; what comes first is told by doc_id (nulls first), then
+    by the text's hash. A null text stays null with no lines; blank lines are never
     deleted and never part of a run; rows that repeat both doc_id and text are one
     document and are edited alike. Other columns pass through. No rows give no rows.
     """
-    marks = repeated_lines(docs.select("doc_id", "text"), min_words)
-    joined = docs.withColumn("_h", F.xxhash64("text")).alias("d").join(
-        marks.alias("m"), (F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("d._h") == F.col("m._h")), "left"
-    )
-    split = F.split(F.col("d.text"), "\n", -1)
-    left = F.filter(split, lambda x, i: ~F.array_contains("m.removed", i))
-    text = F.when(F.col("m.removed").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
-    others = [F.col(f"d.`{c}`") for c in docs.columns if c != "text"]
-    return joined.select(
-        *others, text.alias("text"),
-        F.coalesce(F.when(F.col("d.text").isNotNull(), F.size(split)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("m.removed").isNotNull(), F.size("m.removed")), F.lit(0)).cast("long").alias("n_removed"),
+    marks = repeated_runs(line_rows(docs.select("doc_id", "text")), min_words)
+    marks = marks.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    key, runs = fresh(docs, "_h"), fresh(docs, "_runs")
+    marks = marks.select(F.col("doc_id").alias(fresh(docs, "_doc")), F.col("_h").alias(fresh(docs, "_text")), F.col("runs").alias(runs))
+    named = docs.withColumn(key, F.xxhash64("text"))
+    joined = named.join(marks, named["doc_id"].eqNullSafe(marks[marks.columns[0]]) & (named[key] == marks[marks.columns[1]]), "left")
+    split = F.split(F.col("text"), "\n", -1)
+    left = F.transform(F.array(marked(F.col(runs))), lambda flags: F.filter(split, lambda x, i: ~(F.coalesce(F.get(flags, i), F.lit(False)) & has_word(x))))[0]
+    left = F.when(F.col(runs).isNull(), split).otherwise(left)
+    done = joined.withColumn(runs, left)
+    count = lambda n: F.coalesce(n, F.lit(0)).cast("long")
+    out = done.select(
+        *[F.when(F.size(split) == F.size(runs), F.col("text")).otherwise(F.array_join(runs, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in (lines_to, removed_to)],
+        count(F.when(F.col("text").isNotNull(), F.size(split))).alias(lines_to),
+        count(F.when(F.col("text").isNotNull(), F.size(split) - F.size(runs))).alias(removed_to),
     )
+    return out
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of `docs` with later copies of repeated line runs deleted and n_chars, if there, brought up to date; a document that loses all its words goes."""
-    out = dedup_lines(docs, min_words)
-    left = out.where((F.col("n_removed") == 0) | has_word(F.col("text")))
+    n, gone = fresh(docs, "n_lines"), fresh(docs, "n_removed")
+    out = dedup_lines(docs, min_words, n, gone)
+    left = out.where((F.col(gone) == 0) | has_word(F.col("text")))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        left = left.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
 
 
