@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import fresh, has_word, n_words
-from skyloom.scratch import ordered_index, small, store
+from skyloom.scratch import ordered_index, store
 
 MIN_WORDS = 5
 
@@ -43,39 +43,49 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def ranked(level: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """pos and rank of those rows of `level` whose keys occur more than once; ranks number these keys in their order. Stored."""
-    several = level.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
-    ranks = ordered_index(several, [F.col(k) for k in keys], "_rank")
-    return store(level.join(small(ranks, ranks.count()), keys).select("pos", F.col("_rank").alias("rank")), name)
+    """pos, rank and head of those rows of `level` whose keys occur more than once; ranks number these keys in their order, and a head is the earliest pos of a rank. Stored."""
+    several = level.groupBy(*keys).agg(F.min("pos").alias("head"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    ranks = ordered_index(several, [F.col(k) for k in keys], "rank")
+    return store(level.join(ranks, keys).select("pos", "rank", "head"), name)
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
-    """Level k has pos and rank of the suffixes whose first 2^k lines occur more than once, ranked by these lines."""
+    """Level k has pos, rank and head of the suffixes whose first 2^k lines occur more than once, ranked by these lines."""
     levels = [ranked(lines.where("name is not null").select("pos", "name"), ["name"], "rank-1")]
     while True:
-        span, level = 1 << (len(levels) - 1), levels[-1]
+        span, level = 1 << (len(levels) - 1), levels[-1].drop("head")
         after = level.select((F.col("pos") - span).alias("pos"), F.col("rank").alias("then"))
-        pairs = store(level.join(after, "pos"), "pairs")
-        level = ranked(pairs, ["rank", "then"], f"rank-{2 * span}")
+        pairs = store(level.withColumnRenamed("rank", "this").join(after, "pos"), "pairs")
+        level = ranked(pairs, ["this", "then"], f"rank-{2 * span}")
         if level.isEmpty():
             return levels
         levels.append(level)
 
 
 def longest_repeats(levels: list[DataFrame]) -> DataFrame:
-    """pos, n, first: the most lines from `pos` on that also begin at an earlier place, and the earliest such place."""
-    # Rows are members of intervals, which are named by their first suffix and their depth.
-    members = levels[0].select(F.lit(-1).cast("long").alias("first"), F.lit(0).cast("long").alias("n"), "pos")
+    """pos, n, first: the most lines from `pos` on that also begin at an earlier place, and the earliest such place. Stored.
+
+    Rows on the way are members of intervals, which are named by their first suffix and
+    their depth. A suffix comes in with the deepest level at which it isn't the head.
+    """
+    members = None
     for k in reversed(range(len(levels))):
-        step = levels[k].select(F.col("pos").alias("_at"), "rank")
-        seen = store(members.join(step, F.col("pos") + F.col("n") == F.col("_at"), "left").drop("_at"), "members")
-        parts = seen.where("rank is not null").groupBy("first", "n", "rank").agg(F.min("pos").alias("head"), F.count("*").alias("size")).where("size > 1")
-        parts = store(parts.drop("size"), "parts")
-        deeper = seen.join(small(parts, parts.count()), ["first", "n", "rank"], "left")
-        stays = deeper.where(F.col("head").isNull() | (F.col("pos") == F.col("head"))).select("first", "n", "pos")
-        moves = deeper.where(F.col("head").isNotNull()).select(F.col("head").alias("first"), (F.col("n") + (1 << k)).alias("n"), "pos")
-        members = stays.unionByName(moves)
-    return store(members.where("n > 0 and pos <> first"), "repeats")
+        if members is not None:
+            step = levels[k].select(F.col("pos").alias("_at"), "rank")
+            seen = store(members.join(step, F.col("pos") + F.col("n") == F.col("_at"), "left").drop("_at"), "members")
+            parts = seen.where("rank is not null").groupBy("first", "n", "rank").agg(F.min("pos").alias("head"), F.count("*").alias("size")).where("size > 1")
+            deeper = seen.join(parts.drop("size"), ["first", "n", "rank"], "left")
+            stays = deeper.where(F.col("head").isNull() | (F.col("pos") == F.col("head"))).select("first", "n", "pos")
+            moves = deeper.where(F.col("head").isNotNull()).select(F.col("head").alias("first"), (F.col("n") + (1 << k)).alias("n"), "pos")
+            members = stays.unionByName(moves)
+        later = levels[k].where("pos <> head").select("pos", "head")
+        if k + 1 < len(levels):
+            later = later.join(levels[k + 1].where("pos <> head").select("pos"), "pos", "left_anti")
+        n = F.lit(1 << k).cast("long").alias("n")
+        come = store(later.select(F.col("head").alias("first"), n, "pos"), "come")
+        come = come.unionByName(come.select("first", "n", F.col("first").alias("pos")).distinct())
+        members = come if members is None else members.unionByName(come)
+    return store(members.where("pos <> first"), "repeats")
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -87,10 +97,9 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = store(runs, "runs")
     begin = lines.select("pos", "doc_id", "_h", F.col("line").alias("start"), (F.col("upto") - F.col("w")).alias("_before"))
     end = lines.select(F.col("pos").alias("_last"), (F.col("line") + 1).alias("stop"), F.col("upto").alias("_upto"))
-    n = runs.count()
-    placed = begin.join(small(runs, n), "pos").withColumn("_last", F.col("pos") + F.col("n") - 1)
+    placed = begin.join(runs, "pos").withColumn("_last", F.col("pos") + F.col("n") - 1)
     placed = store(placed, "begun")
-    return end.join(small(placed, n), "_last").where(F.col("_upto") - F.col("_before") >= min_words).select("doc_id", "_h", "pos", "n", "start", "stop")
+    return end.join(placed, "_last").where(F.col("_upto") - F.col("_before") >= min_words).select("doc_id", "_h", "pos", "n", "start", "stop")
 
 
 def marked(runs: Column) -> Column:
