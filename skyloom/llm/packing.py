@@ -76,6 +76,17 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, words))
 
 
+_kept: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The ids by a vocabulary file. A Python worker keeps those of the last file, with the words they know, for its next tasks."""
+    if path not in _kept:
+        _kept.clear()
+        _kept[path] = WordIds(path)
+    return _kept[path]
+
+
 def blocks(text: bytes) -> Iterator[bytes]:
     """A text in blocks of a bounded size where it has spaces."""
     start = 0
@@ -137,7 +148,7 @@ def tokenized(docs: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "
     plain = docs.select(F.col(doc_id).cast("string").alias("doc_id"), utf8(F.col(text)).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         for batch in batches:
             found = pieces_of_all(map(bytes, batch["text"]), ids, size)
             rows = [(i, k, *p) for i, pieces in enumerate(found) for k, p in enumerate(pieces)]
