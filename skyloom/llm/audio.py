@@ -29,7 +29,7 @@ CODECS = (MU_LAW, A_LAW, IMA_ADPCM)
 #: Recordings whose samples a task returns at a time, and samples or blocks for which it holds wide numbers.
 ROWS, PIECE, BLOCKS = 256, 1 << 18, 1 << 12
 #: zstd level of stored sound.
-LEVEL = 9
+LEVEL = 12
 
 # Fixed values of the IMA ADPCM format: step sizes, and what a 3-bit magnitude adds to the step's index.
 STEPS = np.array([
