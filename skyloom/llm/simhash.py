@@ -438,8 +438,8 @@ def sketch_words(sketch: Column) -> Column:
     return F.array(*[F.conv(F.hex(F.substring(sketch, 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH // 64)])
 
 
-def beyond(texts: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """ta, tb: all pairs of texts in different groups that may have this Jaccard similarity. `texts` (stored) has t (digest), sketch, shingles and keys, `groups` has t and component.
+def beyond(texts: DataFrame, keys: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """ta, tb: all pairs of texts in different groups that may have this Jaccard similarity. `texts` (stored) has t (digest), sketch and shingles, `keys` t and keys (rows of equal texts may repeat), `groups` t and component.
 
     Texts are put under each shingle of their prefixes, and meet only under
     shingles of several groups, if counts and sketches of their shingles don't
@@ -447,16 +447,19 @@ def beyond(texts: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     shingle one side of a pair is outside the shingle's largest group, so members of
     a large group never meet each other.
     """
-    placed = texts.select("t", "sketch", "shingles", "keys").join(groups, "t", "left").withColumn("g", F.coalesce("component", "t")).drop("component")
-    placed = placed.withColumn("id", F.monotonically_increasing_id()).withColumn("label", F.xxhash64("g"))
-    placed = store(placed.withColumn("sketch", sketch_words(F.col("sketch"))), "placed")
-    keyed = placed.select("id", "label", F.explode("keys").alias("key"))
-    several = store(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "keys")
-    meeting = store(keyed.join(small(several, several.count()), "key"), "meeting")
+    placed = texts.select("t", "sketch", "shingles").join(groups, "t", "left").withColumn("g", F.coalesce("component", "t"))
+    placed = placed.select("t", F.xxhash64("t").alias("id"), F.xxhash64("g").alias("label"), sketch_words(F.col("sketch")).alias("sketch"), "shingles")
+    placed = store(placed, "placed")
+    # Shingles of one text alone go first: what is left is little.
+    keyed = keys.select(F.xxhash64("t").alias("id"), F.explode("keys").alias("key"))
+    several = store(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"), "keys")
+    meeting = store(keyed.join(small(several, several.count()), "key").distinct(), "meeting")
+    meeting = store(meeting.join(placed.select("id", "label"), "id"), "labelled")
     counts = meeting.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = store(counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top")), "largest")
+    largest = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
+    largest = store(largest, "largest")
     met = meeting.join(small(largest, largest.count()), "key").withColumn("in_top", F.col("label") == F.col("top")).drop("label", "top")
-    met = store(met.join(placed.drop("keys"), "id"), "met")
+    met = store(met.join(placed, "id"), "met")
     a, b = (met.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("id", "t", "label", "sketch", "shingles", "in_top")]) for x in ("a", "b"))
     differ = sum(F.bit_count(F.col("sketcha")[k].bitwiseXOR(F.col("sketchb")[k])) for k in range(SKETCH // 64))
     sizes, apart = F.col("shinglesa") + F.col("shinglesb"), (1 - similarity) / (1 + similarity)
@@ -491,7 +494,7 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "d
     seen = facts(F.col("text"), words, similarity, common_shingles(plain, words))
     printed = store(plain.select("doc_id", "t", seen.alias("s")).select("doc_id", "t", "s.*"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    texts = store(printed.groupBy("t", "fp").agg(first, *[F.first(c).alias(c) for c in ("sketch", "shingles", "keys")]), "texts")
+    texts = store(printed.groupBy("t", "fp").agg(first, *[F.first(c).alias(c) for c in ("sketch", "shingles")]), "texts")
     one = [F.when(F.count("*") == 1, F.first(c)).alias(c) for c in ("sketch", "shingles")]
     least = store(texts.groupBy("fp").agg(F.min(F.struct("first", "t"))["t"].alias("rep"), *one), "reps")
 
@@ -505,7 +508,7 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "d
 
     # All other similar texts share a shingle of their prefixes, however far apart their fingerprints are.
     groups = connected(near).withColumnRenamed("node", "t")
-    more = store(beyond(texts, groups, similarity).join(tied.select(low, high), ["ta", "tb"], "left_anti"), "more")
+    more = store(beyond(texts, printed.select("t", "keys"), groups, similarity).join(tied.select(low, high), ["ta", "tb"], "left_anti"), "more")
     near = near.unionByName(similar(more, plain, words, similarity))
 
     groups = connected(near)
