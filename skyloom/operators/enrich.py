@@ -1,0 +1,35 @@
+"""Enrichment: evidence of the same set fills or promotes one field of a record, and is named as its source."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from skyloom.operators.match import block_join, mutual_unique
+
+
+def enrich(records: DataFrame, evidence: DataFrame, block: list[str], residual: Column, field: str, note: str, fills: Column | None = None, key: str = "id", sources: str = "sources", notes: str = "notes", coverage: tuple[str, ...] = ()) -> DataFrame:
+    """All rows of `records`; where one record and one piece of evidence fit each other and nothing else, `field` is taken from the evidence.
+
+    Evidence is not consumed. Rows of one `block` meet if their keys differ and the
+    `residual` over `r` and `e` holds; a pair that is found twice counts as two. The
+    field is filled where `fills` (over the same two; by default where the record's is
+    empty) holds. Then the note is added once, and to the sources (structs of source and
+    fields) the evidence's, its fields narrowed to `coverage` and the field.
+    """
+    pairs = block_join(records, evidence, block, (F.col(f"r.{key}") != F.col(f"e.{key}")) & residual)
+    empty = F.coalesce(F.col(f"r.{field}").cast("string"), F.lit("")).isin("", "Unknown")
+    told = ~F.coalesce(F.col(f"e.{field}").cast("string"), F.lit("")).isin("", "Unknown")
+    kept = F.array(*map(F.lit, (*coverage, field)))
+    narrowed = F.transform(F.col(f"e.{sources}"), lambda s: F.struct(s["source"].alias("source"), F.array_intersect(s["fields"], kept).alias("fields")))
+    found = pairs.select(
+        F.col(f"r.{key}").alias("_r"), F.col(f"e.{key}").alias("_e"), F.col(f"e.{field}").alias("_value"), narrowed.alias("_sources"), ((empty if fills is None else fills) & told).alias("_fills")
+    )
+    one = mutual_unique(found, "_r", "_e").where("_fills").drop("_e", "_n")
+    joined = records.join(one, F.col(key) == F.col("_r"), "left")
+    hit = F.col("_r").isNotNull()
+    return joined.withColumns({
+        field: F.when(hit, F.col("_value")).otherwise(F.col(field)),
+        notes: F.when(hit, F.array_union(notes, F.array(F.lit(note)))).otherwise(F.col(notes)),
+        sources: F.when(hit, F.array_distinct(F.concat(sources, "_sources"))).otherwise(F.col(sources)),
+    }).select(*records.columns)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from skyloom.plans import catalogue
+from skyloom.plans import catalogue, identity  # noqa: F401 (identity registers its queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
