@@ -105,7 +105,7 @@ def host(url: Column) -> Column:
 
 def money(c: Column) -> Column:
     """A positive amount from digits and points; else null."""
-    amount = F.expr("null") if c is None else F.regexp_replace(c, r"[^0-9.]", "").try_cast("double")
+    amount = F.regexp_replace(c, r"[^0-9.]", "").try_cast("double")
     return F.when(amount > 0, amount)
 
 

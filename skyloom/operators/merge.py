@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from skyloom.operators.match import one_authority
+
 
 def survivors(rows: DataFrame, key: list[str], score: Column, order: str, scalars: list[str], arrays: list[str] = ()) -> DataFrame:
     """One record for each key: a scalar is the first non-empty value in order of falling detail score, then of `order`; arrays are united, sorted.
@@ -29,23 +31,65 @@ def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFram
 def greedy_clusters(rows: DataFrame, block: list[str], order: str, fits: Callable[[dict, dict], float | None]) -> DataFrame:
     """rows and `cluster`, the `order` of the first member: within each block, in order, a row joins the cluster whose first member it fits best (lowest first on ties), else starts one.
 
-    The order of rows decides, so a block is one group of a grouped map; blocks must be small by choice of their key.
+    The order of rows decides. A task streams its sorted blocks and holds only the first
+    members of one block's clusters, never its rows.
     """
     schema = StructType([*rows.schema.fields, StructField("cluster", rows.schema[order].dataType)])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        heads, out = [], []
-        group = group.sort_values(order, kind="stable")
-        for row in group.to_dict("records"):
-            found = [(s, -i) for i, h in enumerate(heads) if (s := fits(h, row)) is not None]
-            if found:
-                head = heads[-max(found)[1]]
-            else:
-                heads.append(head := row)
-            out.append(head[order])
-        return group.assign(cluster=out)
-
-    return rows.groupBy(*block).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, heads = None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                key = tuple(row[c] for c in block)
+                if key != last:
+                    last, heads = key, []
+                found = [(s, -i) for i, h in enumerate(heads) if (s := fits(h, row)) is not None]
+                if found:
+                    head = heads[-max(found)[1]]
+                else:
+                    heads.append(head := row)
+                out.append(head[order])
+            yield batch.assign(cluster=out)
+
+    return rows.repartition(*block).sortWithinPartitions(*block, order).mapInPandas(run, schema)
+
+
+def united_sources(rows: DataFrame, key: list[str], fields: str, confidence: str, seen: str, order: str, others: list[str]) -> DataFrame:
+    """One source for each key: its fields united in order, the most confidence, the latest time, and of `others` the value that comes last."""
+    items = F.transform(F.col(fields), lambda x, i: F.struct(F.col(order).alias("o"), i.alias("i"), x.alias("x")))
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"].alias(c) for c in others]
+    united = F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_set(items))), lambda s: s["x"])).alias(fields)
+    return rows.groupBy(*key).agg(united, F.max(confidence).alias(confidence), F.max(seen).alias(seen), *last)
+
+
+def united_offers(rows: DataFrame, parts: list[str], order: str) -> DataFrame:
+    """Of offers that agree in all parts (null and empty alike), the first."""
+    named = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).alias(f"_{i}") for i, c in enumerate(parts)]
+    first = rows.groupBy(*named).agg(F.min_by(F.struct(*rows.columns), order).alias("_first"))
+    return first.select("_first.*")
+
+
+#: Which status of merged records wins, the strongest first.
+STATUSES = ("temporarily_closed", "active", "planned")
+
+
+def merged_status(statuses: Column, base: Column) -> Column:
+    """The strongest of an array of statuses; the base record's if none is known."""
+    out = F
+    for s in STATUSES:
+        out = out.when(F.array_contains(statuses, s), s)
+    return out.otherwise(base)
+
+
+def authority_merge(pairs: DataFrame, records: DataFrame, key: str, authority: str, evidence: str, score: Column, scalars: list[str], arrays: list[str] = ()) -> DataFrame:
+    """Authorities with the evidence that fits exactly one of them folded in (an authority may take many): scalars by `survivors`, the authority's own first; consumed evidence goes, other rows stay."""
+    one = one_authority(pairs, evidence).select(F.col(authority).alias("_to"), F.col(evidence).alias("_of"))
+    placed = records.join(one, F.col(key) == F.col("_of"), "left").withColumn("_key", F.coalesce("_to", key))
+    # A record that takes in others is never taken in itself.
+    own = (F.col("_key") == F.col(key)).cast("int")
+    out = survivors(placed.withColumn("_score", own * 1_000_000 + score), ["_key"], F.col("_score"), key, scalars, arrays)
+    return out.withColumnRenamed("_key", key)
 
 
 def collapse_variants(rows: DataFrame, name: str, pattern: str, value: str) -> DataFrame:

@@ -79,6 +79,29 @@ def next_cursor(total: int, spec: Spec) -> str | None:
     return str(after) if after < total else None
 
 
+def catalog_score(q: str, code: str | None = None) -> Column:
+    """Points of a catalog record (airport_code, name, airport_name, city, country, search_text) for a query and an airport code."""
+    has = lambda c: F.lower(F.col(c)).contains(q)
+    by_code = [(F.col("airport_code") == code.strip().upper(), 400)] if code else []
+    by_text = [(F.col("airport_code") == q.upper(), 250), (has("name"), 120), (has("airport_name"), 80), (has("city"), 60), (has("country"), 40), (F.col("search_text").contains(q), 20)] if q else []
+    return added_score(*by_code, *by_text, (F.lit(False), 0))
+
+
+def served(rows: DataFrame, spec: Spec, score: Column, order: list[Column], known: tuple[str, ...] = (), **columns) -> DataFrame:
+    """A page of matches with score, total_matches and next_cursor (null on the last page). Wanted values of the `known` columns must occur in the catalog."""
+    for c in known:
+        wanted = [spec.exact[c]] if spec.exact.get(c) else [*spec.any_of.get(c, ()), *spec.all_of.get(c, ())]
+        require_known(rows.select(F.explode(c).alias(c)) if c in spec.all_of else rows, c, wanted)
+    hits = matching(rows, spec, **columns).withColumn("score", score)
+    total = hits.count()
+    return page(hits, [F.desc("score"), *order], spec).withColumns({"total_matches": F.lit(total).cast("long"), "next_cursor": F.lit(next_cursor(total, spec)).cast("string")})
+
+
+def lookup(rows: DataFrame, column: str, value: object) -> DataFrame:
+    """The record with this id; no row if there is none."""
+    return rows.where(F.col(column) == F.lit(value)).limit(1)
+
+
 def facet_counts(rows: DataFrame, spec: Spec, facets: list[str], **columns) -> DataFrame:
     """facet, value, n: for each facet the counts under all other filters, in one pass over the rows."""
     found = conditions(spec, **columns)

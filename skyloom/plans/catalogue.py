@@ -274,10 +274,10 @@ def count_distinct_summary(db):
 # Joins
 
 
-@query("SELECT c_custkey, coalesce(nullif(r_name, ''), nullif(n_name, ''), 'Unknown') AS place FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")
+@query("SELECT c_custkey, coalesce(nullif(r_name, ''), nullif(n_name, ''), 'Unknown') AS place FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey + 1")
 def coalesced_lookup_join(db):
-    regions = db.region.where("r_regionkey < 3")
-    rows = db.customer.join(db.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    # Nations of region 0 find no region one key before theirs.
+    rows = db.customer.join(db.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(db.region, F.col("n_regionkey") == F.col("r_regionkey") + 1, "left")
     return rows.select("c_custkey", F.coalesce(F.nullif("r_name", F.lit("")), F.nullif("n_name", F.lit("")), F.lit("Unknown")).alias("place"))
 
 
@@ -290,11 +290,11 @@ def two_key_priority_join(db):
     return match.prioritized_lookup(rows, by_id, "half", by_nation, "c_nationkey", "label").select("c_custkey", "label")
 
 
-@query("""SELECT coalesce(o.k, b.k) AS k, coalesce(o.n, b.n, 0) AS n FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey < 20 GROUP BY 1) b
-FULL JOIN (SELECT s_nationkey AS k, nullif(count(*), 1) AS n FROM supplier WHERE s_nationkey > 4 GROUP BY 1) o ON b.k = o.k""")
+@query("""SELECT coalesce(o.k, b.k) AS k, coalesce(o.n, b.n, 0) AS n FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) b
+FULL JOIN (SELECT s_nationkey + 5 AS k, nullif(count(*), 1) AS n FROM supplier GROUP BY 1) o ON b.k = o.k""")
 def full_outer_precedence_merge(db):
-    base = db.customer.where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
-    over = db.supplier.where("s_nationkey > 4").groupBy(F.col("s_nationkey").alias("k")).agg(F.nullif(F.count("*"), F.lit(1)).alias("n"))
+    base = db.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    over = db.supplier.groupBy((F.col("s_nationkey") + 5).alias("k")).agg(F.nullif(F.count("*"), F.lit(1)).alias("n"))
     return match.precedence_merge(base, over, "k", ["n"]).na.fill(0)
 
 
@@ -370,11 +370,14 @@ def range_containment(db):
     return db.part.select("p_partkey", F.exists(ranges, lambda r: F.col("p_size").between(r["lo"], r["hi"])).alias("inside"))
 
 
-@query("SELECT o_orderkey, CASE WHEN (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_totalprice > 1e12) = 1 THEN 'X' END AS policy FROM orders WHERE o_orderkey < 500")
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN (SELECT CASE WHEN count(DISTINCT r_name) = 1 THEN min(r_name) END FROM region WHERE r_name LIKE 'E%') END AS one_policy,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN (SELECT CASE WHEN count(DISTINCT r_name) = 1 THEN min(r_name) END FROM region WHERE r_name LIKE 'A%') END AS no_policy FROM orders""")
 def global_policy_if_unique(db):
-    policy = db.orders.where("o_totalprice > 1e12").agg(F.min("o_orderstatus").alias("lo"), F.max("o_orderstatus").alias("hi"))
-    one = policy.select(F.when(F.col("lo") == F.col("hi"), "X").alias("policy"))
-    return db.orders.where("o_orderkey < 500").select("o_orderkey").join(F.broadcast(one), F.lit(True))
+    """A policy goes to all orders that qualify, if there is exactly one; of several none does."""
+    found = [F.when(F.min(n) == F.max(n), F.min(n)).alias(a) for a, n in (("one_policy", F.when(F.col("r_name").startswith("E"), F.col("r_name"))), ("no_policy", F.when(F.col("r_name").startswith("A"), F.col("r_name"))))]
+    policy = db.region.agg(*found).first()
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    return db.orders.select("o_orderkey", *[F.when(urgent, F.lit(policy[n]).cast("string")).alias(n) for n in ("one_policy", "no_policy")])
 
 
 # Merges
@@ -385,17 +388,19 @@ def survivorship_fold(db):
     return merge.survivors(db.orders, ["o_custkey"], F.col("o_totalprice"), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+s AS (SELECT c, 0::BIGINT AS n, NULL::BIGINT AS k, NULL::BIGINT AS cluster, []::STRUCT(d DOUBLE, k BIGINT, x DOUBLE)[] AS heads FROM (SELECT DISTINCT c FROM o)
+UNION ALL SELECT c, n, k, coalesce(hit.k, k), CASE WHEN hit IS NULL THEN list_append(heads, {'d': 0.0::DOUBLE, 'k': k, 'x': x}) ELSE heads END FROM (
+  SELECT s.c, o.n, o.k, o.x, heads, list_sort(list_transform(list_filter(heads, lambda h: abs(h.x - o.x) <= 0.2 * greatest(h.x, o.x)), lambda h: {'d': abs(h.x - o.x), 'k': h.k, 'x': h.x}))[1] AS hit FROM s JOIN o ON o.c = s.c AND o.n = s.n + 1))
+SELECT k AS o_orderkey, cluster FROM s WHERE n > 0""")
 def greedy_dedupe(db):
-    """Documents of one language whose first lines agree (the block) join the first whose length is within a tenth."""
-    head = F.xxhash64(F.lower(F.substring_index("text", " ", 8)))
-    rows = db.documents.select("doc_id", "lang", head.alias("head"), F.length("text").alias("size"))
+    """Orders of a customer, in order of key, join the earlier one whose price is nearest, if it is within a fifth, else start a cluster."""
 
     def fits(a: dict, b: dict) -> float | None:
-        gap = abs(a["size"] - b["size"]) / max(a["size"], b["size"], 1)
-        return 1 - gap if gap <= 0.1 else None
+        gap = abs(a["o_totalprice"] - b["o_totalprice"])
+        return -gap if gap <= 0.2 * max(a["o_totalprice"], b["o_totalprice"]) else None
 
-    return merge.greedy_clusters(rows, ["lang", "head"], "doc_id", fits)
+    return merge.greedy_clusters(db.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", fits).select("o_orderkey", "cluster")
 
 
 @query("""WITH v AS (SELECT *, regexp_replace(p_type, ' (TIN|STEEL)$', '') AS base FROM (SELECT DISTINCT p_type, p_size FROM part)), g AS (SELECT base, list_sort(list(p_size)) AS variants FROM v WHERE p_type <> base GROUP BY base)
@@ -404,13 +409,15 @@ def variant_collapse(db):
     return merge.collapse_variants(db.part.select("p_type", "p_size").distinct(), "p_type", " (TIN|STEEL)$", "p_size")
 
 
-@query("""WITH s AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT DISTINCT user_id, true AS seen FROM events WHERE event_id % 3 = 0)
+@query("""WITH s AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events WHERE ts < TIMESTAMP '2024-01-30 22:00:00' GROUP BY 1), b AS (SELECT DISTINCT user_id, true AS seen FROM events WHERE ts >= TIMESTAMP '2024-01-30 22:00:00')
 SELECT user_id, CASE WHEN seen THEN 'active' ELSE 'resolved' END AS status, coalesce(first_seen, TIMESTAMP '2030-01-01') AS first_seen, CASE WHEN seen THEN TIMESTAMP '2030-01-01' ELSE last_seen END AS last_seen,
   (coalesce(CASE WHEN first_seen IS NOT NULL THEN 1 END, 0) + CASE WHEN seen THEN 1 ELSE 0 END) AS attempts, CASE WHEN seen IS NULL THEN TIMESTAMP '2030-01-01' END AS resolved_at FROM s FULL JOIN b USING (user_id)""")
 def blocker_ledger(db):
-    state = db.events.where("event_id % 2 = 0").groupBy("user_id").agg(F.lit("active").alias("status"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    """State from all events before the last hours, then one batch of the rest."""
+    cut = F.lit("2024-01-30 22:00:00").cast("timestamp_ntz")
+    state = db.events.where(F.col("ts") < cut).groupBy("user_id").agg(F.lit("active").alias("status"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     state = state.withColumn("attempts", F.lit(1)).withColumn("resolved_at", F.lit(None).cast("timestamp_ntz"))
-    return merge.ledger(state, db.events.where("event_id % 3 = 0"), "user_id", F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+    return merge.ledger(state, db.events.where(F.col("ts") >= cut), "user_id", F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 # Provenance, projections

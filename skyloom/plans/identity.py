@@ -296,3 +296,88 @@ SELECT id, coalesce(v, {field}) AS value, CASE WHEN u.r IS NULL THEN '' ELSE '{n
 
 for _name, _parts in ENRICHERS.items():
     register(_name, *_parts)
+
+
+# Search as a service
+
+LOUNGE = {
+    "id": "c_custkey", "name": dealt("c_custkey", NAMES), "airport_code": "upper(substr(r_name, 1, 2))", "airport_name": f"n_name || {dealt('c_custkey', (' Amber Field', ' Birch Field', ' Cedar Field'))}",
+    "city": dealt(over(5, "c_custkey"), ("Amity", "Brook", "Cove")), "country": "r_name", "type": "c_mktsegment",
+}
+LOUNGES = "l AS (SELECT *, lower(name || ' ' || airport_name || ' ' || city || ' ' || country || ' ' || type) AS search_text FROM (SELECT " + ", ".join(f"{e} AS {c}" for c, e in LOUNGE.items()) + " FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey))"
+HIT = "(contains(search_text, 'am') OR airport_code = 'AM')"
+POINTS = "CASE WHEN airport_code = 'AM' THEN 250 ELSE 0 END + " + " + ".join(f"CASE WHEN contains({'search_text' if c == 'search_text' else f'lower({c})'}, 'am') THEN {n} ELSE 0 END" for c, n in (("name", 120), ("airport_name", 80), ("city", 60), ("country", 40), ("search_text", 20)))
+
+
+def lounges(db):
+    rows = db.customer.join(db.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(db.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.selectExpr(*[f"{e} AS {c}" for c, e in LOUNGE.items()])
+    return rows.withColumn("search_text", F.lower(F.concat_ws(" ", "name", "airport_name", "city", "country", "type")))
+
+
+@query(f"""WITH {LOUNGES}, h AS (SELECT *, {POINTS} AS score FROM l WHERE {HIT} AND type IN ('BUILDING', 'MACHINERY')), n AS (SELECT count(*) AS total FROM h)
+SELECT id, name, score, total AS total_matches, CASE WHEN total > 30 THEN '30' END AS next_cursor FROM h, n ORDER BY score DESC, airport_code, name, id LIMIT 25 OFFSET 5""")
+def search_service(db):
+    spec = search.Spec("AM", any_of={"type": ["BUILDING", "MACHINERY"]}, limit=25, cursor="5")
+    out = search.served(lounges(db), spec, search.catalog_score("am"), [F.col(c) for c in ("airport_code", "name", "id")], known=("type",), code="airport_code")
+    return out.select("id", "name", "score", "total_matches", "next_cursor")
+
+
+@query(f"WITH {LOUNGES} SELECT id, CASE WHEN airport_code = 'EU' THEN 400 ELSE 0 END + {POINTS} AS score FROM l")
+def search_full_score(db):
+    return lounges(db).select("id", search.catalog_score("am", "eu").alias("score"))
+
+
+@query(f"WITH {LOUNGES} SELECT id, name, airport_code, country FROM l WHERE id = 7")
+def point_lookup(db):
+    return search.lookup(lounges(db), "id", 7).select("id", "name", "airport_code", "country")
+
+
+@query(f"""WITH {LOUNGES} SELECT count(*) AS lounges, count(DISTINCT airport_code) AS airports, count(DISTINCT country) AS countries, count(DISTINCT city) AS cities, array_to_string(list_sort(list(DISTINCT type)), ',') AS types FROM l""")
+def catalog_meta(db):
+    return lounges(db).agg(F.count("*").alias("lounges"), *[F.countDistinct(c).alias(n) for c, n in (("airport_code", "airports"), ("country", "countries"), ("city", "cities"))], F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+
+
+# Merges
+
+
+@query("""WITH i AS (SELECT o_custkey AS k, o_orderstatus AS url, o_orderkey AS o, o_totalprice AS c, o_orderdate AS d, o_orderpriority AS note, unnest([o_orderpriority, o_orderstatus, 'name']) AS x, unnest([0, 1, 2]) AS n FROM orders),
+f AS (SELECT k, url, x, min((o, n)) AS spot FROM i GROUP BY ALL), g AS (SELECT k, url, string_agg(x, ',' ORDER BY spot) AS fields FROM f GROUP BY ALL)
+SELECT g.k AS source, g.url, fields, max(c) AS confidence, max(d) AS seen, arg_max(note, o) AS note FROM g JOIN i ON g.k = i.k AND g.url = i.url GROUP BY ALL""")
+def source_merge(db):
+    rows = db.orders.select(F.col("o_custkey").alias("source"), F.col("o_orderstatus").alias("url"), "o_orderkey", F.array("o_orderpriority", "o_orderstatus", F.lit("name")).alias("fields"), F.col("o_totalprice").alias("confidence"), F.col("o_orderdate").alias("seen"), F.col("o_orderpriority").alias("note"))
+    return merge.united_sources(rows, ["source", "url"], "fields", "confidence", "seen", "o_orderkey", ["note"]).withColumn("fields", F.array_join("fields", ","))
+
+
+@query("""SELECT arg_min(l_orderkey * 10 + l_linenumber, l_orderkey * 10 + l_linenumber) AS offer, l_returnflag AS type, CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_linestatus END AS currency, l_quantity AS amount FROM lineitem GROUP BY 2, 3, 4""")
+def offer_merge(db):
+    rows = db.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offer"), F.col("l_returnflag").alias("type"), F.when(F.col("l_linestatus") != "O", F.col("l_linestatus")).alias("currency"), F.col("l_quantity").alias("amount"))
+    return merge.united_offers(rows, ["type", "currency", "amount"], "offer")
+
+
+@query("""WITH s AS (SELECT o_custkey, list(DISTINCT CASE o_orderstatus WHEN 'F' THEN 'temporarily_closed' WHEN 'O' THEN 'planned' ELSE 'active' END) AS st FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN list_contains(st, 'temporarily_closed') THEN 'temporarily_closed' WHEN list_contains(st, 'active') THEN 'active' WHEN list_contains(st, 'planned') THEN 'planned' END AS status FROM s""")
+def status_lattice(db):
+    status = F.when(F.col("o_orderstatus") == "F", "temporarily_closed").when(F.col("o_orderstatus") == "O", "planned").otherwise("active")
+    found = db.orders.groupBy("o_custkey").agg(F.collect_set(status).alias("_s"))
+    return found.select("o_custkey", merge.merged_status(F.col("_s"), F.lit("unknown")).alias("status"))
+
+
+@query(f"""WITH {RECORDS}, m AS (SELECT r.id AS a, e.id AS e FROM rec r JOIN rec e ON r.airport = e.airport AND r.id <> e.id WHERE r.source = 'airport' AND e.source <> 'airport' AND {KIN}),
+o AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY e) = 1), x AS (SELECT rec.*, coalesce(a, id) AS k, CASE WHEN a IS NULL THEN 0 ELSE 1 END AS taken FROM rec LEFT JOIN o ON id = o.e)
+SELECT k AS id, arg_min(gate, (taken, id)) FILTER (WHERE gate <> '') AS gate, arg_min(hours, (taken, id)) FILTER (WHERE hours <> '') AS hours, count(*) AS merged FROM x GROUP BY k""")
+def authority_merge(db):
+    rows, c = records(db), columns()
+    pairs = match.block_join(rows.where("source = 'airport'"), rows.where("source <> 'airport'"), ["airport"], c["kin"]).select(F.col("r.id").alias("a"), F.col("e.id").alias("e"))
+    return merge.authority_merge(pairs, rows, "id", "a", "e", F.lit(0), ["gate", "hours"])
+
+
+# Sums of money and codes in texts
+
+OFFER = dealt("p_partkey", ("from $1,250.50 per guest", "USD 40", "free", "$0", "call us"))
+
+
+@query(f"WITH i AS (SELECT p_partkey, {OFFER} AS x FROM part), a AS (SELECT p_partkey, x, TRY_CAST(regexp_replace(x, '[^0-9.]', '', 'g') AS DOUBLE) AS m FROM i) SELECT p_partkey, CASE WHEN m > 0 THEN m END AS amount, CASE WHEN length(x) > 8 THEN x[1:8] || '...' ELSE x END AS short FROM a")
+def money_and_truncation(db):
+    rows = db.part.selectExpr("p_partkey", f"{OFFER} AS x")
+    return rows.select("p_partkey", t.money(F.col("x")).alias("amount"), t.truncated(F.col("x"), 8).alias("short"))

@@ -53,19 +53,18 @@ def rate_limited(rows: DataFrame, key: str, ts: str, order: str, limit: float =
 
 
 def rate_limited_stream(rows: DataFrame, key: str, ts: str, order: str, limit: float = LIMIT, window_s: float = WINDOW_S) -> DataFrame:
-    """The same over a stream; each key's counter is kept as state, and is dropped once its window has been idle for an hour."""
+    """The same over a stream; each key's counter is kept as state, and is dropped an hour after its window can have ended. A key's requests of one micro-batch are decided in order of time."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         counter = Limiter(limit, window_s, *(state.get if state.exists else ()))
-        for batch in batches:
-            batch = batch.sort_values(["ts", "order"])
-            out = [counter.request(int(t.value // 1000)) for t in batch["ts"]]
-            yield batch[["key", "order", "ts"]].assign(allowed=[x[0] for x in out], remaining=[x[1] for x in out], retry_after_ms=[x[2] for x in out])
+        batch = pd.concat(list(batches)).dropna(subset=["ts"]).sort_values(["ts", "order"])
+        out = [counter.request(int(t.value // 1000)) for t in batch["ts"]]
+        yield batch[["key", "order", "ts"]].assign(allowed=[x[0] for x in out], remaining=[x[1] for x in out], retry_after_ms=[x[2] for x in out])
         state.update((counter.count, counter.reset_at))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutDuration(counter.window // 1000 + 3_600_000)
 
     grouped = requests(rows, key, ts, order).groupBy("key")
     return grouped.applyInPandasWithState(run, RESULT, "count int, reset_at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
