@@ -375,3 +375,28 @@ def test_resampling_against_exact_fractions(monkeypatch):
         for n in (1, 2, 49, 50, 51, 333):
             x = rng.integers(-32768, 32768, n).astype("<i2")
             assert audio.resample(x, rate, to).tolist() == plain(x, rate, to)
+
+
+def test_line_runs_against_brute_force(spark):
+    """Every line of a later copy goes if the maximal match that it is in has enough words: all pairs of places, line by line."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["a", "b b", "c c c", "one two three four five", "x y", ""]
+    made = ["\n".join(vocabulary[k] for k in rng.integers(0, len(vocabulary), rng.integers(0, 14))) for _ in range(40)]
+    made += [made[3], made[4] + "\n" + made[4], "\n".join(["x y"] * 9), None, ""]
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = [[(i, x) for i, x in enumerate((m or "").split("\n")) if x.strip()] for m in made]
+    places = [(d, k) for d, lines_ in enumerate(kept) for k in range(len(lines_))]
+    gone: set = set()
+    for d, k in places:
+        for e, j in places:
+            if (e, j) >= (d, k) or kept[e][j][1] != kept[d][k][1]:
+                continue
+            n = 0
+            while k + n < len(kept[d]) and j + n < len(kept[e]) and kept[d][k + n][1] == kept[e][j + n][1]:
+                n += 1
+            if sum(len(x.split()) for _, x in kept[d][k : k + n]) >= lines.MIN_WORDS:
+                gone |= {(d, kept[d][k + m][0]) for m in range(n)}
+    wanted = {d: None if m is None else "\n".join(x for i, x in enumerate(m.split("\n")) if (d, i) not in gone) for d, m in enumerate(made)}
+    out = {r.doc_id: r for r in lines.dedup_lines(table).collect()}
+    assert {d: r.text for d, r in out.items()} == wanted and len(gone) > 50
+    assert sum(r.n_removed for r in out.values()) == len(gone)
