@@ -15,6 +15,10 @@ interval that has an earlier one: that interval's depth is its longest repeat of
 anything earlier. Those that no repeat from the line before covers are the maximal
 repeated runs. Runs with enough words are deleted where they are later copies.
 
+Documents with one text are grouped first: the earliest stands for them in the array,
+and each other is a later copy as a whole, if it has enough words. Nothing is lost by
+that, since whatever repeats in a copy is also found, earlier, in the one that stands.
+
 Intervals are grouped minima and joins; no task sees all of one.
 """
 
@@ -30,14 +34,15 @@ MIN_WORDS = 5
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word of each distinct document, and one of line -1 before each document: doc_id, _h (the text's hash), line (its number among all lines), name (a 128-bit digest, null for line -1), w and upto (words of the line, and of the document up to its end). Stored with `pos`, the row's place by doc_id (nulls first), _h and line."""
+    """One row for each line with a word of the first document of each text, and one of line -1 before each document: doc_id, _h (the text's hash), line (its number among all lines), name (a 128-bit digest, null for line -1), w and upto (words of the line, and of the document up to its end). Stored with `pos`, the row's place by doc_id (nulls first), _h and line."""
     split = F.split(F.col("text"), "\n", -1)
     numbered = F.transform(split, lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     kept = F.filter(numbered, lambda s: has_word(s["x"]))
     fact = lambda line, name, w: F.struct(line.cast("int").alias("line"), name.cast("binary").alias("name"), w.cast("long").alias("w"))
     facts = F.concat(F.array(fact(F.lit(-1), F.lit(None), F.lit(0))), F.transform(kept, lambda s: fact(s["line"], F.unhex(F.md5(s["x"].cast("binary"))), n_words(s["x"]))))
-    per_doc = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_h"), facts.alias("facts")).dropDuplicates(["doc_id", "_h"])
-    rows = per_doc.select("doc_id", "_h", F.explode("facts").alias("f")).select("doc_id", "_h", "f.*")
+    texts = docs.where(F.col("text").isNotNull()).select(F.md5(F.col("text").cast("binary")).alias("_text"), F.struct("doc_id", F.xxhash64("text").alias("_h"), facts.alias("facts")).alias("d"))
+    per_text = texts.groupBy("_text").agg(F.min_by("d", F.struct("d.doc_id")).alias("d"))
+    rows = per_text.select("d.doc_id", "d._h", F.explode("d.facts").alias("f")).select("doc_id", "_h", "f.*")
     rows = rows.withColumn("upto", F.sum("w").over(Window.partitionBy("doc_id", "_h").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     return ordered_index(rows, [F.col("doc_id"), F.col("_h"), F.col("line")], "pos")
 
@@ -125,15 +130,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, lines_to: str = "n_
     deleted and never part of a run; rows that repeat both doc_id and text are one
     document and are edited alike. Other columns pass through. No rows give no rows.
     """
-    marks = repeated_runs(line_rows(docs.select("doc_id", "text")), min_words)
-    marks = marks.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    lines = line_rows(docs.select("doc_id", "text"))
+    run = F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+    marks = repeated_runs(lines, min_words).select("doc_id", "_h", run.alias("run"))
+    firsts = lines.where("line = -1").select("doc_id", "_h", F.lit(None).cast(marks.schema["run"].dataType).alias("run"))
+    marks = firsts.unionByName(marks).groupBy("doc_id", "_h").agg(F.collect_list("run").alias("runs"))
     key, runs = fresh(docs, "_h"), fresh(docs, "_runs")
     marks = marks.select(F.col("doc_id").alias(fresh(docs, "_doc")), F.col("_h").alias(fresh(docs, "_text")), F.col("runs").alias(runs))
     named = docs.withColumn(key, F.xxhash64("text"))
     joined = named.join(marks, named["doc_id"].eqNullSafe(marks[marks.columns[0]]) & (named[key] == marks[marks.columns[1]]), "left")
     split = F.split(F.col("text"), "\n", -1)
     left = F.transform(F.array(marked(F.col(runs))), lambda flags: F.filter(split, lambda x, i: ~(F.coalesce(F.get(flags, i), F.lit(False)) & has_word(x))))[0]
-    left = F.when(F.col(runs).isNull(), split).otherwise(left)
+    # No runs, not even an empty list: a later copy of a whole text, which is one repeated run.
+    wordless = F.when(n_words(F.col("text")) >= min_words, F.filter(split, lambda x: ~has_word(x))).otherwise(split)
+    left = F.when(F.col(runs).isNull(), wordless).when(F.size(runs) == 0, split).otherwise(left)
     done = joined.withColumn(runs, left)
     count = lambda n: F.coalesce(n, F.lit(0)).cast("long")
     out = done.select(
