@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from skyloom.plans import catalogue, identity, review  # noqa: F401 (the latter two register their queries)
+from skyloom.plans import catalogue, identity, publish, review  # noqa: F401 (the latter three register their queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
