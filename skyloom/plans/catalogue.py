@@ -219,9 +219,9 @@ def freshness_asof(db):
     return db.orders.select("o_orderkey", quality.freshness(F.col("o_orderdate").cast("timestamp"), F.lit(AS_OF).cast("timestamp"), 365).alias("freshness"))
 
 
-@query("SELECT c_mktsegment, count(*) AS n, floor(sum(CASE WHEN c_acctbal > 0 THEN 75 ELSE 50 END) / greatest(count(*), 1) + 0.5)::BIGINT AS average FROM customer GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment, count(*) AS n, floor(sum(CASE WHEN c_acctbal > 5000 THEN 75 ELSE 50 END) / greatest(count(*), 1) + 0.5)::BIGINT AS average FROM customer GROUP BY c_mktsegment")
 def summary_averages_rounded(db):
-    points = F.sum(F.when(F.col("c_acctbal") > 0, 75).otherwise(50))
+    points = F.sum(F.when(F.col("c_acctbal") > 5000, 75).otherwise(50))
     return db.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.floor(points / F.greatest(F.count("*"), F.lit(1)) + 0.5).cast("long").alias("average"))
 
 
@@ -298,23 +298,23 @@ def full_outer_precedence_merge(db):
     return match.precedence_merge(base, over, "k", ["n"]).na.fill(0)
 
 
-@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_order FROM customer")
+@query("SELECT c_custkey, c_custkey IN (SELECT s_suppkey FROM supplier) AS supplies FROM customer")
 def semi_flag_join(db):
-    seen = db.orders.select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("has_order")).distinct()
-    return db.customer.join(seen, "c_custkey", "left").select("c_custkey", F.coalesce("has_order", F.lit(False)).alias("has_order"))
+    seen = db.supplier.select(F.col("s_suppkey").alias("c_custkey"), F.lit(True).alias("supplies")).distinct()
+    return db.customer.join(seen, "c_custkey", "left").select("c_custkey", F.coalesce("supplies", F.lit(False)).alias("supplies"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def anti_consumed(db):
-    return db.customer.join(db.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return db.customer.join(db.supplier.select(F.col("s_suppkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("""WITH a AS (SELECT p_brand AS brand, lower(p_brand) AS alias, min(p_partkey) AS ord FROM part GROUP BY 1, 2), c AS (SELECT DISTINCT lower(p_type) AS name FROM part),
+@query("""WITH a AS (SELECT p_brand AS brand, lower(p_brand) AS alias, min(p_partkey) AS ord FROM part GROUP BY 1, 2), c AS (SELECT DISTINCT lower(p_type || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' ' || right(p_brand, 2) END) AS name FROM part),
 s AS (SELECT name, brand, ord, CASE WHEN name = alias THEN 100 WHEN contains(name, right(alias, 2)) THEN 80 + length(alias) / 100.0 WHEN contains(alias, left(name, 2)) THEN 30 + length(alias) / 100.0 ELSE -60 END AS score FROM c, a)
 SELECT name, arg_min(brand, (-score, ord)) AS brand FROM s GROUP BY name""")
 def argmax_alias_resolver(db):
     aliases = db.part.groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("ord")).withColumn("alias", F.lower("brand"))
-    names = db.part.select(F.lower("p_type").alias("name")).distinct()
+    names = db.part.selectExpr("lower(p_type || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' ' || right(p_brand, 2) END) AS name").distinct()
     # Aliases are a dimension of fixed size: one array that every name is held against, no pairs are formed.
     table = aliases.agg(F.array_sort(F.collect_list(F.struct("ord", "brand", "alias"))).alias("aliases"))
     size = F.length
@@ -403,10 +403,14 @@ def greedy_dedupe(db):
     return merge.greedy_clusters(db.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", fits).select("o_orderkey", "cluster")
 
 
-@query("""WITH v AS (SELECT *, regexp_replace(p_type, ' (TIN|STEEL)$', '') AS base FROM (SELECT DISTINCT p_type, p_size FROM part)), g AS (SELECT base, list_sort(list(p_size)) AS variants FROM v WHERE p_type <> base GROUP BY base)
+#: Types with and without a suffix, and one suffixed name that has no base.
+TYPED = "CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN p_type || ' TIN' WHEN 2 THEN p_type || ' STEEL' ELSE p_brand || ' TIN' END"
+
+
+@query(f"""WITH v AS (SELECT *, regexp_replace(p_type, ' (TIN|STEEL)$', '') AS base FROM (SELECT DISTINCT {TYPED} AS p_type, p_size FROM part)), g AS (SELECT base, list_sort(list(p_size)) AS variants FROM v WHERE p_type <> base GROUP BY base)
 SELECT p_type, p_size, variants FROM v LEFT JOIN g USING (base) WHERE p_type = base""")
 def variant_collapse(db):
-    return merge.collapse_variants(db.part.select("p_type", "p_size").distinct(), "p_type", " (TIN|STEEL)$", "p_size")
+    return merge.collapse_variants(db.part.selectExpr(f"{TYPED} AS p_type", "p_size").distinct(), "p_type", " (TIN|STEEL)$", "p_size")
 
 
 @query("""WITH s AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events WHERE ts < TIMESTAMP '2024-01-30 22:00:00' GROUP BY 1), b AS (SELECT DISTINCT user_id, true AS seen FROM events WHERE ts >= TIMESTAMP '2024-01-30 22:00:00')
@@ -437,9 +441,12 @@ def provenance_prune(db):
     return rows.select("o_orderkey", F.when(ok, F.col("o_orderstatus")).otherwise("").alias("status"), F.when(~ok, "status is without evidence").alias("note"))
 
 
-@query(f"WITH {DOCS} SELECT id, CASE WHEN len(facilities) > 2 THEN list_append(facilities[1:2], 'omitted ' || (len(facilities) - 2) || ' of ' || len(facilities)) ELSE facilities END AS facilities FROM d")
+@query("""WITH d AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS w, [p_brand, p_type] AS more, p_size FROM part), f AS (SELECT id, CASE WHEN p_size % 3 = 0 THEN w ELSE list_concat(w, more) END AS facilities FROM d)
+SELECT id, CASE WHEN len(facilities) > 2 THEN list_append(facilities[1:2], 'omitted ' || (len(facilities) - 2) || ' of ' || len(facilities)) ELSE facilities END AS facilities FROM f""")
 def bounded_array_marker(db):
-    return parts(db).select("id", t.bounded_array(F.col("facilities"), 2).alias("facilities"))
+    words = F.split("p_name", " ")
+    facilities = F.when(F.col("p_size") % 3 == 0, words).otherwise(F.concat(words, F.array("p_brand", "p_type")))
+    return db.part.select(F.col("p_partkey").alias("id"), t.bounded_array(facilities, 2).alias("facilities"))
 
 
 @query(f"WITH {DOCS} SELECT id, list_transform(facilities, lambda x: coalesce(map {{'ECONOMY': 'e', 'SMALL': 's', 'STEEL': 't'}}[x], x)) AS codes FROM d")
@@ -453,9 +460,13 @@ def slugs(db):
     return db.part.select("p_partkey", t.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(replace(lower(p_type), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS identity, len(list_distinct(regexp_extract_all(lower(p_type), '([a-z]+)', 1))) AS n_tokens FROM part")
+#: Names with signs, doubled words and ends to trim.
+SIGNED = "' ' || p_name || ' & ' || p_brand || ' (' || p_type || ') -- ' || p_name || '!'"
+
+
+@query(f"SELECT p_partkey, trim(regexp_replace(replace(lower({SIGNED}), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS identity, len(list_distinct(regexp_extract_all(lower({SIGNED}), '([a-z]+)', 1))) AS n_tokens FROM part")
 def identity_tokens(db):
-    return db.part.select("p_partkey", t.identity_text(F.col("p_type")).alias("identity"), F.size(t.tokens(F.col("p_type"), "([a-z]+)")).alias("n_tokens"))
+    return db.part.select("p_partkey", t.identity_text(F.expr(SIGNED)).alias("identity"), F.size(t.tokens(F.expr(SIGNED), "([a-z]+)")).alias("n_tokens"))
 
 
 @query("SELECT o_orderkey, substr(sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, coalesce(o_orderstatus, ''))), 1, 32) AS id FROM orders")
@@ -488,27 +499,35 @@ def html_title(db):
     return db.pages.select("page_id", t.html_title(F.col("html")).alias("title"))
 
 
-@query(r"""WITH l AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)href="([^"]*)"', 1))) AS link FROM pages)
+#: Pages with structured data and with links to their own and to another host.
+LINKED = """coalesce(html, '') || CASE page_id % 3 WHEN 0 THEN '<SCRIPT type="application/ld+json">{}</SCRIPT><script id="x" type="application/ld+json">[]</script>' WHEN 1 THEN '<script type="application/ld+json"></script>' ELSE '' END || '<a href="' || url || '"><a href="https://other.test:8080/x">'"""
+
+
+@query(rf"""WITH l AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all({LINKED}, '(?i)href="([^"]*)"', 1))) AS link FROM pages)
 SELECT page_id, link, (starts_with(link, '/') OR lower(regexp_extract(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) = lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))) AS same_origin FROM l""")
 def html_links_same_origin(db):
-    rows = db.pages.select("page_id", "url", F.explode(t.links(F.col("html"))).alias("link"))
+    rows = db.pages.select("page_id", "url", F.explode(t.links(F.expr(LINKED))).alias("link"))
     return rows.select("page_id", "link", (F.col("link").startswith("/") | (t.host(F.col("link")) == t.host(F.col("url")))).alias("same_origin"))
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?i)<script[^>]*application/ld\+json')) AS n FROM pages""")
+@query(rf"""SELECT page_id, len(regexp_extract_all({LINKED}, '(?i)<script[^>]*application/ld\+json')) AS n FROM pages""")
 def jsonld_count(db):
-    return db.pages.select("page_id", F.size(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)<script[^>]*application/ld\+json"), F.lit(0))).alias("n"))
+    return db.pages.select("page_id", F.size(F.regexp_extract_all(F.expr(LINKED), F.lit(r"(?i)<script[^>]*application/ld\+json"), F.lit(0))).alias("n"))
+
+
+#: What prices and codes end texts with, by document.
+PRICED = "text || CASE doc_id % 3 WHEN 0 THEN ' from $12.50 or € 7' WHEN 1 THEN ' £3 LAX12 JFK3 LAX9' ELSE ' 45 free NYC' END"
 
 
-@query(r"""SELECT doc_id, list_transform(regexp_extract_all(text, '[$€£]\s?([0-9]+(?:\.[0-9]+)?)', 1), lambda x: x::DOUBLE) AS amounts FROM documents""")
+@query(rf"""SELECT doc_id, list_transform(regexp_extract_all({PRICED}, '[$€£]\s?([0-9]+(?:\.[0-9]+)?)', 1), lambda x: x::DOUBLE) AS amounts FROM documents""")
 def money_extract(db):
-    found = F.regexp_extract_all("text", F.lit(r"[$€£]\s?([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
+    found = F.regexp_extract_all(F.expr(PRICED), F.lit(r"[$€£]\s?([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
     return db.documents.select("doc_id", F.transform(found, lambda x: x.cast("double")).alias("amounts"))
 
 
-@query(r"""SELECT doc_id, list_distinct(regexp_extract_all(text, '([A-Z]{3})[0-9]+', 1)).list_sort() AS codes FROM documents""")
+@query(rf"""SELECT doc_id, list_distinct(regexp_extract_all({PRICED}, '([A-Z]{{3}})[0-9]+', 1)).list_sort() AS codes FROM documents""")
 def code_extract(db):
-    return db.documents.select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z]{3})[0-9]+"), F.lit(1)))).alias("codes"))
+    return db.documents.select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all(F.expr(PRICED), F.lit(r"([A-Z]{3})[0-9]+"), F.lit(1)))).alias("codes"))
 
 
 @query("""WITH c AS (SELECT event_id, event_id % 14 AS h, ['am', 'pm'][event_id % 2 + 1] AS half FROM events)
@@ -556,10 +575,14 @@ def expect_orphans(db):
     return quality.orphans(db.orders, "o_custkey", db.customer.where("c_acctbal > 0"), "c_custkey").select("o_orderkey")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE c_name IS NULL OR c_name = '' OR c_mktsegment IS NULL) AS missing_provenance FROM customer")
+#: Customers some of whom lack a name or a segment.
+PARTIAL = "CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE c_name END AS c_name, nullif(c_mktsegment, 'FURNITURE') AS c_mktsegment"
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE c_name IS NULL OR c_name = '' OR c_mktsegment IS NULL) AS missing_provenance FROM (SELECT {PARTIAL} FROM customer)")
 def smoke_totals(db):
     missing = F.col("c_name").isNull() | (F.col("c_name") == "") | F.col("c_mktsegment").isNull()
-    return db.customer.agg(F.count("*").alias("total"), F.sum(missing.cast("int")).cast("long").alias("missing_provenance"))
+    return db.customer.selectExpr(*PARTIAL.replace(", nullif", "; nullif").split("; ")).agg(F.count("*").alias("total"), F.sum(missing.cast("int")).cast("long").alias("missing_provenance"))
 
 
 @query("SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
