@@ -48,3 +48,28 @@ def precedence_merge(base: DataFrame, over: DataFrame, key: str, values: list[st
     b, o = base.alias("b"), over.alias("o")
     merged = [F.coalesce(F.col(f"o.{v}"), F.col(f"b.{v}")).alias(v) for v in values]
     return b.join(o, F.col(f"b.{key}") == F.col(f"o.{key}"), "full").select(F.coalesce(f"o.{key}", f"b.{key}").alias(key), *merged)
+
+
+def best_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name, brand: the brand of each name's best alias: an equal one (100), one whose last two characters the name holds (80), one that holds the name's first two (30), the longer by a hundredth for each character; ties, and names without any, go to the least `ord`.
+
+    `aliases` has alias, brand and ord. Names and aliases meet on these pieces, of which
+    each keeps its best alias only, so no name is held against all aliases.
+    """
+
+    def pieces(c: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(c.substr(i, F.lit(1)), c.substr(i, F.lit(2))))))
+
+    def keyed(tier: int, found: Column, score: Column | None = None) -> Column:
+        return F.transform(found, lambda k: F.struct(F.lit(tier).alias("tier"), k.alias("key"), *([] if score is None else [score.cast("double").alias("score")])))
+
+    name, alias = F.col("name"), F.col("alias")
+    more = F.length(alias) / 100
+    held = F.concat(keyed(1, F.array(alias), F.lit(100)), keyed(2, F.array(F.right(alias, F.lit(2))), 80 + more), keyed(3, pieces(alias), 30 + more))
+    rank = F.min(F.struct((-F.col("k.score")).alias("s"), F.col("ord").alias("o"), "brand"))
+    best = aliases.select("ord", "brand", F.explode(held).alias("k")).groupBy("k.tier", "k.key").agg(rank.alias("best"))
+    asked = F.concat(keyed(1, F.array(name)), keyed(2, pieces(name)), keyed(3, F.array(F.substring(name, 1, 2))))
+    hits = names.select("name", F.explode(asked).alias("k")).select("name", "k.*").join(best, ["tier", "key"]).groupBy("name").agg(F.min("best").alias("best"))
+    first = aliases.agg(F.min(F.struct("ord", "brand")).alias("f")).first()["f"]  # one row
+    return names.join(hits, "name", "left").select("name", F.coalesce("best.brand", F.lit(first and first["brand"])).alias("brand"))

@@ -315,15 +315,7 @@ SELECT name, arg_min(brand, (-score, ord)) AS brand FROM s GROUP BY name""")
 def argmax_alias_resolver(db):
     aliases = db.part.groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("ord")).withColumn("alias", F.lower("brand"))
     names = db.part.selectExpr("lower(p_type || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' ' || right(p_brand, 2) END) AS name").distinct()
-    # Aliases are a dimension of fixed size: one array that every name is held against, no pairs are formed.
-    table = aliases.agg(F.array_sort(F.collect_list(F.struct("ord", "brand", "alias"))).alias("aliases"))
-    size = F.length
-    score = lambda a: (
-        F.when(F.col("name") == a["alias"], 100.0).when(F.col("name").contains(F.right(a["alias"], F.lit(2))), 80 + size(a["alias"]) / 100)
-        .when(a["alias"].contains(F.substring("name", 1, 2)), 30 + size(a["alias"]) / 100).otherwise(-60.0)
-    )
-    best = F.array_min(F.transform("aliases", lambda a: F.struct((-score(a)).alias("s"), a["ord"].alias("o"), a["brand"].alias("brand"))))
-    return names.join(F.broadcast(table), F.lit(True)).select("name", best["brand"].alias("brand"))
+    return match.best_alias(names, aliases)
 
 
 PAIRS = """m AS (SELECT a.c_custkey AS r, b.c_custkey AS e FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment

@@ -9,10 +9,10 @@ from skyloom.plans.catalogue import query
 from skyloom.plans.identity import dealt
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderkey % 3 > 0 AS filled, o_orderdate, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3 > 0 DESC, o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
+@query("""WITH r AS (SELECT o_custkey, o_orderpriority = '1-URGENT' AS filled, o_orderdate, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
 SELECT o_custkey, filled, o_orderkey FROM r WHERE n = 1""")
 def last_good_snapshot(db):
-    return publish.last_good(db.orders, "o_custkey", F.col("o_orderkey") % 3 > 0, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+    return publish.last_good(db.orders, "o_custkey", F.col("o_orderpriority") == "1-URGENT", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 KIND = dealt("p_partkey", ("mention", "mention", "link", "mention", "title"))
