@@ -400,3 +400,13 @@ def test_line_runs_against_brute_force(spark):
     out = {r.doc_id: r for r in lines.dedup_lines(table).collect()}
     assert {d: r.text for d, r in out.items()} == wanted and len(gone) > 50
     assert sum(r.n_removed for r in out.values()) == len(gone)
+
+
+def test_copies_of_whole_texts(spark):
+    """The first document of a text stays; later ones lose all lines with words if they have enough of them, whatever their number."""
+    long, short = "a b c\n\nd e f", "a b\nc"
+    rows = [(None, long), (None, long), *[(i, long) for i in range(40)], (50, short), (51, short), (52, "x y\n" + long), (53, None), (54, None)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out)
+    wanted = Counter([(None, long, 3, 0)] * 2 + [(i, "", 3, 2) for i in range(40)] + [(50, short, 2, 0), (51, short, 2, 0), (52, "x y\n", 4, 2), (53, None, 0, 0), (54, None, 0, 0)])
+    assert found == wanted
