@@ -17,6 +17,7 @@ all pairs; linked groups are then joined over all shards.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ LEAF = 128
 CHUNK = 2_000_000
 #: Bits of a sketch, and pairs whose sketches are compared at once.
 SKETCH, PIECE = 1_024, 100_000
+#: Bits of the folded sketches that go with each shingle of a prefix; whole ones are compared after that, once for each pair.
+FOLDED = 512
 #: Texts aimed at for the sample that tells common shingles, and how many of these are kept.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 200_000
 
@@ -438,6 +441,17 @@ def sketch_words(sketch: Column) -> Column:
     return F.array(*[F.conv(F.hex(F.substring(sketch, 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH // 64)])
 
 
+def folded(words: Column) -> Column:
+    """A sketch of FOLDED bits from one of SKETCH as longs: parities of parities, so it differs in no more bits than the sets have different members either."""
+    size, parts = FOLDED // 64, SKETCH // FOLDED
+    return F.array(*[reduce(lambda x, y: x.bitwiseXOR(y), [words[k + p * size] for p in range(parts)]) for k in range(size)])
+
+
+def differing(a: Column, b: Column, bits: int) -> Column:
+    """Differing bits of two sketches as longs."""
+    return sum(F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(bits // 64))
+
+
 def beyond(texts: DataFrame, keys: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """ta, tb: all pairs of texts in different groups that may have this Jaccard similarity. `texts` (stored) has t (digest), sketch and shingles, `keys` t and keys (rows of equal texts may repeat), `groups` t and component.
 
@@ -445,7 +459,8 @@ def beyond(texts: DataFrame, keys: DataFrame, groups: DataFrame, similarity: flo
     shingles of several groups, if counts and sketches of their shingles don't
     prove them too different. Both bounds and the prefixes are exact. Under each
     shingle one side of a pair is outside the shingle's largest group, so members of
-    a large group never meet each other.
+    a large group never meet each other. What is stored for each shingle is narrow:
+    numbers, and folded sketches; whole sketches judge what these let through.
     """
     placed = texts.select("t", "sketch", "shingles").join(groups, "t", "left").withColumn("g", F.coalesce("component", "t"))
     placed = placed.select("t", F.xxhash64("t").alias("id"), F.xxhash64("g").alias("label"), sketch_words(F.col("sketch")).alias("sketch"), "shingles")
@@ -459,20 +474,24 @@ def beyond(texts: DataFrame, keys: DataFrame, groups: DataFrame, similarity: flo
     largest = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
     largest = store(largest, "largest")
     met = meeting.join(small(largest, largest.count()), "key").withColumn("in_top", F.col("label") == F.col("top")).drop("label", "top")
-    met = store(met.join(placed, "id"), "met")
-    a, b = (met.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("id", "t", "label", "sketch", "shingles", "in_top")]) for x in ("a", "b"))
-    differ = sum(F.bit_count(F.col("sketcha")[k].bitwiseXOR(F.col("sketchb")[k])) for k in range(SKETCH // 64))
+    met = store(met.join(placed.select("id", "label", folded(F.col("sketch")).alias("sketch"), "shingles"), "id"), "met")
+    a, b = (met.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("id", "label", "sketch", "shingles", "in_top")]) for x in ("a", "b"))
     sizes, apart = F.col("shinglesa") + F.col("shinglesb"), (1 - similarity) / (1 + similarity)
     fits = F.least("shinglesa", "shinglesb") >= similarity * F.greatest("shinglesa", "shinglesb") - 1e-9
     once = F.col("in_topb") | (F.col("ida") < F.col("idb"))
+    differ = differing(F.col("sketcha"), F.col("sketchb"), FOLDED)
     pairs = a.where("not in_topa").join(b, "key").where((F.col("labela") != F.col("labelb")) & once & fits & (differ <= sizes * apart + 1e-9))
-    return pairs.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct()
+    pairs = store(pairs.select("ida", "idb").distinct(), "folded")
+    a, b = (placed.select(*[F.col(c).alias(f"{c}{x}") for c in ("id", "t", "sketch", "shingles")]) for x in ("a", "b"))
+    differ = differing(F.col("sketcha"), F.col("sketchb"), SKETCH)
+    whole = pairs.join(a, "ida").join(b, "idb").where(differ <= sizes * apart + 1e-9)
+    return whole.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct()
 
 
 def similar(pairs: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
     """a, b: those of the pairs of text digests ta, tb (stored) whose texts' shingles have this Jaccard similarity. `plain` has t (digest) and text."""
-    wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct()
-    chosen = plain.join(wanted, "t").groupBy("t").agg(F.min("text").alias("text"))
+    wanted = store(pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct(), "wanted")
+    chosen = plain.join(small(wanted, wanted.count()), "t")  # a shuffle of whole texts only where many are wanted.groupBy("t").agg(F.min("text").alias("text"))
     sets = store(chosen.select("t", shingle_sets(F.col("text"), words).alias("s")), "shingles")
     sides = [sets.select(F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
     found = pairs.join(sides[0], "ta").join(sides[1], "tb").withColumn("j", jaccard(F.col("sa"), F.col("sb"))).where(F.col("j") >= similarity)
