@@ -491,7 +491,8 @@ def beyond(texts: DataFrame, keys: DataFrame, groups: DataFrame, similarity: flo
 def similar(pairs: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
     """a, b: those of the pairs of text digests ta, tb (stored) whose texts' shingles have this Jaccard similarity. `plain` has t (digest) and text."""
     wanted = store(pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct(), "wanted")
-    chosen = plain.join(small(wanted, wanted.count()), "t")  # a shuffle of whole texts only where many are wanted.groupBy("t").agg(F.min("text").alias("text"))
+    # Whole texts are shuffled only where they are wanted, and one text stands for its copies.
+    chosen = plain.join(small(wanted, wanted.count()), "t").groupBy("t").agg(F.min("text").alias("text"))
     sets = store(chosen.select("t", shingle_sets(F.col("text"), words).alias("s")), "shingles")
     sides = [sets.select(F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
     found = pairs.join(sides[0], "ta").join(sides[1], "tb").withColumn("j", jaccard(F.col("sa"), F.col("sb"))).where(F.col("j") >= similarity)
