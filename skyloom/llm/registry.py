@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import audio, collocations, language, lines, mixing, packing, quality, rules, simhash, substrings, warc
+from skyloom.llm import audio, collocations, jaccard, language, lines, mixing, packing, quality, rules, simhash, substrings, warc
 from skyloom.llm.common import bucket, table
 
 
@@ -65,6 +65,11 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its number of shingles and its group of similar ones."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -77,6 +82,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -85,4 +91,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": rules.ORACLE_SQL,
     "op10_line_dedup": lines.ORACLE_SQL,
     "op12_phrase_collocations": collocations.ORACLE_SQL,
+    "op13_ngram_jaccard_join": jaccard.ORACLE_SQL,
 }
