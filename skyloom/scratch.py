@@ -56,14 +56,11 @@ def ordered_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     count for each range.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = store(ranged.withColumn("_m", F.monotonically_increasing_id()), "ranged")
-    part = F.shiftright("_m", 33)
-    counts = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    each = sorted((r["_p"], r["_n"]) for r in counts.collect())  # one row for each range
-    before, total = {}, 0
-    for p, n in each:
-        before[p], total = total, total + n
-    if not before:
-        return rows.withColumn(name, F.lit(0).cast("long")).drop("_m")
-    offsets = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])
-    return rows.withColumn(name, offsets[part] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m")
+    rows = store(ranged.withColumn("__m", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("__m", 33)
+    counts = {r["__part"]: r["count"] for r in rows.groupBy(part.alias("__part")).count().collect()}  # one row for each range
+    before = [0]
+    for p in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(p, 0))
+    offsets = F.array(*[F.lit(n).cast("long") for n in before])  # folded once, indexed by the range's number
+    return rows.withColumn(name, F.get(offsets, part.cast("int")) + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
