@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import audio, collocations, jaccard, language, lines, mixing, packing, quality, rules, simhash, substrings, warc
+from skyloom.llm import audio, collocations, jaccard, language, lines, mixing, packing, quality, rules, simhash, substrings, tries, warc
 from skyloom.llm.common import bucket, table
 
 
@@ -60,6 +60,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table of all rebuilt conversations."""
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of each language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
@@ -90,6 +96,7 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": substrings.ORACLE_SQL,
     "op7_quality_rules": rules.ORACLE_SQL,
     "op10_line_dedup": lines.ORACLE_SQL,
+    "op11_conversation_trie": tries.ORACLE_SQL,
     "op12_phrase_collocations": collocations.ORACLE_SQL,
     "op13_ngram_jaccard_join": jaccard.ORACLE_SQL,
 }

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from skyloom.llm import collocations, jaccard
+from skyloom.llm import collocations, jaccard, tries
 
 
 def brute_groups(made, words=3, least=90, of=100):
@@ -133,3 +133,59 @@ def test_intervals_against_plain_counts():
         found = {(n, tuple(ids[i : i + n])): c for n, at, counts in collocations.intervals(ids, goes_on, 5) for i, c in zip(at.tolist(), counts.tolist())}
         wanted = Counter((n, tuple(ids[i : i + n])) for i in range(size) for n in range(1, min(5, size - i) + 1) if goes_on[i : i + n - 1].all())
         assert found == wanted
+
+
+def brute_trie(rows, rebuild=True):
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    made = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6 if rebuild else 0
+        made[c] = tuple(own.get(c - c % 100, [])[:h] + turns[h:])
+    members = {}
+    for c, turns in made.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    children, leaves, saved = Counter(k[:-1] for k in members if k), Counter(), Counter()
+    for k, m in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += k not in children
+            saved[k[:d]] += (len(m) - 1) * len(k[-1][1]) if k else 0
+    ends = lambda k: hashlib.sha256(",".join(str(c) for c in sorted(members[k]) if len(made[c]) == len(k)).encode()).hexdigest()
+    return Counter((min(m), len(k), min(members[k[:-1]]) if k else -1, len(m), children[k], leaves[k], saved[k], ends(k)) for k, m in members.items())
+
+
+@pytest.mark.parametrize(("span", "combined", "fan"), [(4_096, 200_000, 16), (3, 7, 2)])
+def test_prefix_trie(spark, monkeypatch, span, combined, fan):
+    """In one piece, and with paths over several spans, many partial tries and levels of merges."""
+    for name, value in (("SPAN", span), ("COMBINED", combined), ("FAN", fan)):
+        monkeypatch.setattr(tries, name, value)
+    rng, rows = np.random.default_rng(8), []
+    for c in [*range(0, 130), 205, 207, 1_000, 1_001, 12_345]:
+        kind = int(rng.integers(4))
+        for turn in range(int(rng.integers(1, 9)) if kind else 20 + c % 3):
+            said = f"é{turn}" if kind < 2 else f"t{rng.integers(3)}" if turn < 3 else f"own {c} {turn}"
+            rows.append((c, None if turn == 0 and c % 7 == 0 else turn, [None, "user", "bot"][turn % 3], None if rng.integers(9) == 0 else said))
+    rows += [(None, 1, "user", "nobody's"), (None, None, None, None)]
+    order = rng.permutation(len(rows))
+    table = spark.createDataFrame([(*rows[i], "x", 3) for i in order], "conv_id long, turn long, role string, text string, c string, d int")
+    for rebuild in (True, False):
+        out = tries.prefix_trie(table, rebuild).fillna(-1, ["parent_conv_id"]).collect()
+        assert Counter(map(tuple, out)) == brute_trie(rows, rebuild)
+
+
+def test_prefix_trie_of_snapshots_and_odd_tables(spark):
+    """Each conversation is the one before and a turn more, a long one is alone, repeated turns stay, and no rows give none."""
+    rows = [(c, t, "user", f"turn {t}") for c in range(40) for t in range(c + 1)] + [(77, t, "user", "again") for t in range(9_000)] + [(78, 1, None, None)] * 3
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = tries.prefix_trie(table, rebuild=False).fillna(-1, ["parent_conv_id"]).collect()
+    assert len(out) == 1 + 40 + 9_000 + 3 and max(r.depth for r in out) == 9_000
+    small_part = [r for r in rows if r[0] < 78]
+    wanted = brute_trie([r for r in small_part if r[0] != 77], rebuild=False)
+    assert {tuple(r)[:4] + tuple(r)[4:] for r in out if 0 < r.depth <= 40 and r.conv_id < 40} == {k for k in wanted if k[1] > 0}
+    root = next(r for r in out if r.depth == 0)
+    assert (root.conv_id, root.n_convs, root.n_children, root.n_leaves) == (0, 42, 3, 3)
+    assert tries.prefix_trie(table.limit(0)).count() == 0
