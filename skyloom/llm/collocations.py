@@ -27,7 +27,7 @@ from skyloom.scratch import store
 
 LEAST, LONGEST, TOP, INSIDE = 100, 5, 2_000, 100
 #: Bytes of text in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bits of a map of frequent keys: so many for each key, between these bounds (8 KB and 32 MB). Slices of it are built apart.
 BITS_A_KEY, FEWEST_BITS, MOST_BITS, SLICE = 16, 1 << 16, 1 << 28, 1 << 15
 BREAKS = b".,;:!?\n\x0b\x0c\r"
