@@ -44,14 +44,6 @@ def admitted(rows: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, Da
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
-def write_latest(rows: DataFrame, base: DataFrame, key: list[str], order: str, path: str) -> None:
-    """Upsert: what `base` and `rows` have of each key, the larger `order` winning, as new Parquet files at `path`."""
-    both = base.unionByName(rows)
-    others = [c for c in both.columns if c not in key]
-    best = both.groupBy(*key).agg(F.max(F.struct(order, *[c for c in others if c != order])).alias("b"))
-    best.select(*key, *[F.col(f"b.{c}").alias(c) for c in others]).write.mode("overwrite").parquet(path)
-
-
 def over_budget(rows: DataFrame, most_bytes: int) -> bool:
     """Whether the rows as JSON lines take more bytes."""
     size = rows.select(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))) + 1)).first()[0] or 0
