@@ -30,7 +30,7 @@ from skyloom.scratch import small, store
 
 LENGTH, ANCHOR = 35, 12
 #: Bytes of text that are hashed at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _rng = np.random.default_rng(11)
 #: Random words for the two hashes: one for each byte, and odd bases for bytes and words.
