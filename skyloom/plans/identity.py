@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from skyloom.functions import places as p
 from skyloom.functions import text as t
 from skyloom.operators import match, merge, search
-from skyloom.operators.enrich import enrich
 from skyloom.plans.catalogue import query
 
 TERMINALS = ("Terminal 1", "T2", "Terminal A", "International Terminal", "Domestic Terminal", "Terminal 2 Domestic", "Concourse B, C", "Main Terminal", "", "Unknown", "Terminal 1 International", "b", "Concourse D")
@@ -254,49 +253,6 @@ def columns():
 
 SQL_OF = {"name": SAME_NAME, "kin": KIN, "at": AT, "terminal": SAME_TERMINAL, "promotes": PROMOTES, "moves": f"NOT {clash(MOVES['r'], MOVES['e'])}"}
 
-#: Enrichers: evidence source, source that records must not have (or must share), predicates that must hold, and the field.
-ENRICHERS = {
-    "enrich_partner_booking": ("price", "other", ("terminal", "kin"), "price"),
-    "enrich_alliance_page": ("alliance", "other", ("terminal",), "hours"),
-    "enrich_airport_published_hours": ("club", "airport", ("kin",), "hours"),
-    "enrich_same_source_hours": ("airline", "any", ("kin",), "hours"),
-    "enrich_cross_airline_hours": ("airline", "other", ("name",), "hours"),
-    "enrich_cross_published_hours": ("airport", "other", ("terminal", "moves"), "hours"),
-    "enrich_official_price": ("club", "other", ("moves", "terminal"), "price"),
-    "enrich_price_page": ("price", "other", ("moves", "kin"), "price"),
-    "enrich_exact_position_price": ("price", "other", ("at",), "price"),
-    "enrich_single_offer_price": ("alliance", "other", ("name",), "price"),
-    "enrich_official_location": ("airport", "other", ("terminal", "promotes"), "gate"),
-    "enrich_exact_location": ("airline", "other", ("kin", "promotes"), "gate"),
-}
-
-
-def register(name: str, source: str, guard: str, needs: tuple[str, ...], field: str) -> None:
-    allowed = {"other": f"r.source <> '{source}'", "any": "true"}.get(guard, f"r.source = '{guard}'")
-    residual = f"e.source = '{source}' AND {allowed} AND " + " AND ".join(SQL_OF[n] for n in needs)
-    fills = PROMOTES if field == "gate" else f"NOT {known(f'r.{field}')}"
-    sql = f"""WITH {RECORDS}, m AS (SELECT r.id AS r, e.id AS e, e.{field} AS v, {fills} AND {known(f'e.{field}')} AS fills FROM rec r JOIN rec e ON r.airport = e.airport AND r.id <> e.id WHERE {residual}),
-u AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY r) = 1 AND count(*) OVER (PARTITION BY e) = 1)
-SELECT id, coalesce(v, {field}) AS value, CASE WHEN u.r IS NULL THEN '' ELSE '{name}' END AS notes, CASE WHEN u.r IS NULL THEN source ELSE source || ':lounge.name+hours+gate+price,{source}:lounge.name+{field}' END AS sources FROM rec LEFT JOIN u ON id = u.r AND fills"""
-    sql = sql.replace("THEN source ELSE", "THEN source || ':lounge.name+hours+gate+price' ELSE")
-
-    def run(db):
-        rows, c = records(db), columns()
-        guards = {"other": F.col("r.source") != source, "any": F.lit(True)}.get(guard, F.col("r.source") == guard)
-        condition = guards
-        for n in needs:
-            condition = condition & c[n]
-        out = enrich(rows, rows.where(F.col("source") == source), ["airport"], condition, field, name, c["promotes"] if field == "gate" else None, coverage=("lounge.name",))
-        listed = F.array_join(F.transform("sources", lambda s: F.concat(s["source"], F.lit(":"), F.array_join(s["fields"], "+"))), ",")
-        return out.select("id", F.col(field).alias("value"), F.array_join("notes", ",").alias("notes"), listed.alias("sources"))
-
-    run.__name__ = name
-    query(sql)(run)
-
-
-for _name, _parts in ENRICHERS.items():
-    register(_name, *_parts)
-
 
 # Search as a service
 

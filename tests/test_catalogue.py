@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from skyloom.plans import catalogue, identity, merging, publish, publishing, review, sources  # noqa: F401 (all but the first register their queries)
+from skyloom.plans import catalogue, enriching, identity, merging, publish, publishing, review, sources  # noqa: F401 (all but the first register their queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
