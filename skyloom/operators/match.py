@@ -25,6 +25,11 @@ def one_authority(pairs: DataFrame, evidence: str) -> DataFrame:
     return pairs.join(pairs.groupBy(evidence).agg(F.count("*").alias("_n")).where("_n = 1").select(evidence), evidence)
 
 
+def sole_authorities(records: DataFrame, block: list[str], authority: str) -> DataFrame:
+    """block and authority of the blocks that have one authority only: where a block's evidence fits all of its authorities, no other block can give a match, and no pairs need be made."""
+    return records.groupBy(*block).agg(F.count("*").alias("_n"), F.min(authority).alias(authority)).where("_n = 1").drop("_n")
+
+
 def first_tier(pairs: DataFrame, evidence: str, tier: str) -> DataFrame:
     """Pairs of each evidence's best tier alone: strict matches if there are any, else relaxed ones."""
     return pairs.withColumn("_best", F.min(tier).over(Window.partitionBy(evidence))).where(F.col(tier) == F.col("_best")).drop("_best")

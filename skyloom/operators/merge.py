@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +32,7 @@ def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFram
 def greedy_clusters(rows: DataFrame, block: list[str], order: str, fits: Callable[[dict, dict], float | None]) -> DataFrame:
     """rows and `cluster`, the `order` of the first member: within each block, in order, a row joins the cluster whose first member it fits best (lowest first on ties), else starts one.
 
-    The order of rows decides. A task streams its sorted blocks and holds only the first
+    The order of rows decides, so a block is one task's work, however large it is. A task streams its sorted blocks and holds only the first
     members of one block's clusters, never its rows.
     """
     schema = StructType([*rows.schema.fields, StructField("cluster", rows.schema[order].dataType)])
@@ -56,11 +57,17 @@ def greedy_clusters(rows: DataFrame, block: list[str], order: str, fits: Callabl
 
 
 def united_sources(rows: DataFrame, key: list[str], fields: str, confidence: str, seen: str, order: str, others: list[str]) -> DataFrame:
-    """One source for each key: its fields united in order, the most confidence, the latest time, and of `others` the value that comes last."""
-    items = F.transform(F.col(fields), lambda x, i: F.struct(F.col(order).alias("o"), i.alias("i"), x.alias("x")))
+    """One source for each key: its fields united in order, the most confidence, the latest time, and of `others` the value that comes last.
+
+    Fields are counted once before they are gathered: only a source's distinct ones meet in a list, never its rows.
+    """
     last = [F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"].alias(c) for c in others]
-    united = F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_set(items))), lambda s: s["x"])).alias(fields)
-    return rows.groupBy(*key).agg(united, F.max(confidence).alias(confidence), F.max(seen).alias(seen), *last)
+    first = rows.select(*key, order, F.posexplode(fields).alias("_i", "_x")).groupBy(*key, "_x").agg(F.min(F.struct(order, "_i")).alias("_at"))
+    listed = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_l")).select(*[F.col(k).alias(f"_{k}") for k in key], F.transform("_l", lambda s: s["_x"]).alias("_fields"))
+    per = rows.groupBy(*key).agg(F.max(confidence).alias(confidence), F.max(seen).alias(seen), *last)
+    joined = per.join(listed, reduce(lambda a, b: a & b, [per[k].eqNullSafe(listed[f"_{k}"]) for k in key]), "left")
+    none = F.array().cast(rows.schema[fields].dataType)
+    return joined.select(*key, F.coalesce("_fields", none).alias(fields), confidence, seen, *others)
 
 
 def united_offers(rows: DataFrame, parts: list[str], order: str) -> DataFrame:

@@ -342,8 +342,7 @@ SELECT c_custkey, s_suppkey FROM m WHERE c_custkey IN (SELECT c_custkey FROM m G
 def n_to_1_authority_match(db):
     records = db.supplier.select(F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 500).alias("band"), "s_suppkey")
     evidence = db.customer.select(F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 500).alias("band"), "c_custkey")
-    pairs = match.block_join(records, evidence, ["nation", "band"], F.lit(True)).select("c_custkey", "s_suppkey")
-    return match.one_authority(pairs, "c_custkey").select("c_custkey", "s_suppkey")
+    return evidence.join(match.sole_authorities(records, ["nation", "band"], "s_suppkey"), ["nation", "band"]).select("c_custkey", "s_suppkey")
 
 
 @query("""WITH m AS (SELECT c_custkey, s_suppkey, CASE WHEN floor(c_acctbal / 500) = floor(s_acctbal / 500) THEN 0 ELSE 1 END AS tier FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 2000) = floor(s_acctbal / 2000))
