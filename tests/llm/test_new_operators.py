@@ -189,3 +189,17 @@ def test_prefix_trie_of_snapshots_and_odd_tables(spark):
     root = next(r for r in out if r.depth == 0)
     assert (root.conv_id, root.n_convs, root.n_children, root.n_leaves) == (0, 42, 3, 3)
     assert tries.prefix_trie(table.limit(0)).count() == 0
+
+
+def test_copies_are_compared_once(spark):
+    """A pair of texts with many copies each is one row of the exact check."""
+    from pyspark.sql import functions as F
+
+    from skyloom.llm import simhash
+    from skyloom.scratch import store
+
+    base = [f"w{i}" for i in range(60)]
+    a, b = " ".join(base), " ".join([*base[:-1], "other"])
+    plain = spark.createDataFrame([(a,)] * 60 + [(b,)] * 50, "text string").withColumn("t", F.md5("text"))
+    pair = store(plain.agg(F.min("t").alias("ta"), F.max("t").alias("tb")), "pair")
+    assert simhash.similar(pair, plain, 5, 0.8).count() == 1
