@@ -51,14 +51,15 @@ def flag(code: Column) -> Column:
     return F.when(up.rlike("^[A-Z]{2}$"), F.translate(up, LETTERS, FLAG_LETTERS)).otherwise("")
 
 
-def expanded(template: str, values: dict[str, Column]) -> Column:
-    """A template with each `{name}` replaced; null as empty."""
-    return reduce(lambda out, v: F.replace(out, F.lit("{" + v[0] + "}"), F.coalesce(v[1].cast("string"), F.lit(""))), values.items(), F.lit(template))
+def expanded(template: str | Column, values: dict[str, Column]) -> Column:
+    """A template (of all rows, or of each) with each `{name}` replaced; null as empty. Names without a value stay."""
+    first = F.lit(template) if isinstance(template, str) else template
+    return reduce(lambda out, v: F.replace(out, F.lit("{" + v[0] + "}"), F.coalesce(v[1].cast("string"), F.lit(""))), values.items(), first)
 
 
 def url_state(url: Column, defaults: dict[str, str]) -> list[Column]:
-    """One column for each parameter of a query string, with its default where it is absent or empty."""
-    found = lambda k: F.regexp_extract(F.coalesce(url, F.lit("")), rf"[?&]{k}=([^&#]*)", 1)
+    """One column for each parameter of a query string, escapes and plus signs resolved, with its default where it is absent, empty or malformed."""
+    found = lambda k: F.try_url_decode(F.regexp_extract(F.coalesce(url, F.lit("")), rf"[?&]{k}=([^&#]*)", 1))
     return [F.when(found(k) != "", found(k)).otherwise(d).alias(k) for k, d in defaults.items()]
 
 
@@ -93,10 +94,5 @@ def burndown(rows: DataFrame, slice_: Column, open_: Column) -> DataFrame:
     return counts.select("slice", "n", (total - done).alias("remaining"))
 
 
-def redacted_json(c: Column, fields: list[str]) -> Column:
-    """JSON text whose string values of sensitive fields, at any depth, are replaced."""
-    return F.regexp_replace(c, rf'(?i)"({"|".join(fields)})"\s*:\s*"(?:[^"\\]|\\.)*"', '"$1":"[redacted]"')
-
-
 def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))

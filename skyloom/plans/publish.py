@@ -52,15 +52,25 @@ def country_labels(db):
     return db.nation.select("n_nationkey", F.concat_ws(" ", publish.flag(F.substring("n_name", 1, 2)), "n_name").alias("label"))
 
 
-@query("SELECT p_partkey, 'https://shop.test/' || lower(p_brand) || '?size=' || p_size::VARCHAR AS url FROM part")
+TEMPLATE = dealt("p_partkey", ("https://shop.test/{brand}?size={size}", "{size}/{size}/{none}{brand}", "plain", "{brand}{other}"))
+
+
+@query(f"SELECT p_partkey, replace(replace(replace({TEMPLATE}, '{{brand}}', lower(p_brand)), '{{size}}', p_size::VARCHAR), '{{none}}', '') AS url FROM part")
 def template_expansion(db):
-    return db.part.select("p_partkey", publish.expanded("https://shop.test/{brand}?size={size}", {"brand": F.lower("p_brand"), "size": F.col("p_size")}).alias("url"))
+    """Four templates: names that repeat, have no value or aren't known."""
+    return db.part.select("p_partkey", publish.expanded(F.expr(TEMPLATE), {"brand": F.lower("p_brand"), "size": F.col("p_size"), "none": F.lit(None)}).alias("url"))
+
 
+#: Query strings: a text with blanks, signs and letters beyond ASCII in escapes, a type that may be empty or absent, and one of the orders.
+SORTS = dealt("(p_partkey + p_size)", ("best_match", "airport_code", "type"))
 
-@query("""SELECT p_partkey, p_size::VARCHAR AS q, CASE WHEN p_partkey % 3 = 0 THEN 'type-' || (p_partkey % 5)::VARCHAR ELSE 'all' END AS type, 'best_match' AS sort FROM part""")
+
+@query(f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'size ' || p_size WHEN 1 THEN 'a+b & c' WHEN 2 THEN 'Zürich' ELSE '' END AS q, CASE WHEN p_partkey % 3 = 0 THEN 'type-' || (p_partkey % 5)::VARCHAR ELSE 'all' END AS type, CASE WHEN p_partkey % 5 = 4 THEN 'best_match' ELSE {SORTS} END AS sort FROM part""")
 def url_query_state(db):
+    q = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("size+"), F.col("p_size").cast("string"))).when(F.col("p_partkey") % 4 == 1, "a%2Bb%20%26%20c").when(F.col("p_partkey") % 4 == 2, "Z%C3%BCrich").otherwise("")
     kind = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("&type=type-"), (F.col("p_partkey") % 5).cast("string"))).when(F.col("p_partkey") % 3 == 1, "&type=").otherwise("")
-    url = F.concat(F.lit("https://shop.test/list?q="), F.col("p_size").cast("string"), kind, F.lit("#top"))
+    sort = F.when(F.col("p_partkey") % 5 == 4, "").otherwise(F.concat(F.lit("&sort="), F.expr(SORTS)))
+    url = F.concat(F.lit("https://shop.test/list?q="), q, kind, sort, F.lit("#top"))
     return db.part.select("p_partkey", *publish.url_state(url, {"q": "", "type": "all", "sort": "best_match"}))
 
 
@@ -80,13 +90,16 @@ def bijective_merge(db):
     return publish.one_to_one(keyed(db.customer, "c", "c_custkey"), keyed(db.supplier, "s", "s_suppkey"), ["k", "b"], "c_custkey", "s_suppkey")
 
 
-SAID = ("Gate twelve", "near gate five, level 2", "Gate 7", "no such place", "gate zone")
+WORD = "(p_partkey + p_size)"
+SPOKEN = dealt(WORD, (*publish.NUMBER_WORDS, "thirty", "zone"))
+SAID = f"CASE p_partkey % 5 WHEN 0 THEN 'Gate ' || {SPOKEN} WHEN 1 THEN 'near GATE  ' || upper({SPOKEN}) || ', level 2' WHEN 2 THEN 'gate ' || p_size || ' to the left' WHEN 3 THEN 'gates ' || {SPOKEN} ELSE 'level ' || p_size END"
 
 
-@query(f"SELECT p_partkey, {dealt('p_partkey', ('12', '5', '7', '', ''))} AS number FROM part")
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 5 < 2 AND {WORD} % 14 < 12 THEN (1 + {WORD} % 14)::VARCHAR WHEN p_partkey % 5 = 2 THEN p_size::VARCHAR ELSE '' END AS number FROM part""")
 def gate_number_words(db):
+    """Numbers in words and digits; others after `gate` are none."""
     number = publish.gate_number(F.col("said")).cast("string")
-    return db.part.selectExpr("p_partkey", f"{dealt('p_partkey', SAID)} AS said").select("p_partkey", F.coalesce(number, F.lit("")).alias("number"))
+    return db.part.selectExpr("p_partkey", f"{SAID} AS said").select("p_partkey", F.coalesce(number, F.lit("")).alias("number"))
 
 
 @query("""SELECT p_partkey, 0 AS place, p_size::BIGINT AS amount, 'USD' AS currency FROM part WHERE p_partkey % 5 > 0 UNION ALL SELECT p_partkey, 1, 2 * p_size::BIGINT, NULL FROM part WHERE p_partkey % 5 > 0 AND p_size % 2 = 0""")
@@ -102,12 +115,6 @@ def gap_burndown(db):
     return publish.burndown(db.part, F.col("p_brand"), F.col("p_size") < 10)
 
 
-@query("""SELECT p_partkey, '{"a":{"token":"[redacted]","b":[{"Password":"[redacted]"}]},"size":"' || p_size::VARCHAR || '"}' AS shown FROM part""")
-def recursive_redaction(db):
-    made = F.concat(F.lit('{"a":{"token": "t'), F.col("p_partkey").cast("string"), F.lit(r'","b":[{"Password":"x\"y"}]},"size":"'), F.col("p_size").cast("string"), F.lit('"}'))
-    return db.part.select("p_partkey", publish.redacted_json(made, ["token", "password"]).alias("shown"))
-
-
 @query("""SELECT l_orderkey, list_sort(list(DISTINCT l_partkey % 3)) = list_sort(list(DISTINCT l_suppkey % 3)) AS same FROM lineitem GROUP BY 1""")
 def set_equality(db):
     sets = db.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 3).alias("a"), F.collect_set(F.col("l_suppkey") % 3).alias("b"))

@@ -151,6 +151,15 @@ def redacted_leaves(db):
     return variants.leaves(back, "key", "tree").select(F.col("key").alias("p_partkey"), "path", "value")
 
 
+@query(f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '{{"a":{{"apiKey":"[REDACTED]","b":[{{"Pass-Word":"[REDACTED]","n":' || p_size || '}}]}},"size":"' || p_brand || '"}}'
+  WHEN 1 THEN '{{"link":"","list":["https://h.test/?token=1",{{"href":""}}],"next_url":"/rel' || p_size || '?a=' || p_partkey || '","other":"https://h.test/?b=1#x"}}' WHEN 2 THEN '[[{{"Session_ID":"[REDACTED]","x":"https://h.test/' || p_partkey || '"}}],' || p_size || ',true,null]'
+  ELSE '"' || p_brand || '"' END AS shown FROM part WHERE p_partkey % 5 < 4""")
+def recursive_redaction(db):
+    """Trees of four shapes put together again, redacted; broken ones are left out."""
+    rows = db.part.selectExpr("p_partkey", f"{SHAPES} AS j").withColumn("tree", F.try_parse_json("j"))
+    return redact.redacted(rows, "p_partkey", "tree").select(F.col("key").alias("p_partkey"), F.col("text").alias("shown"))
+
+
 # Slim catalogs
 
 HOISTED = ["publisher", "rights"]
