@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import places as p
+from skyloom.functions.families import same_numbered_name
 from skyloom.functions.text import clean_list, has_value
 from skyloom.operators.merge import STATUSES
 from skyloom.scratch import ordered_index, store
@@ -119,3 +120,46 @@ def merged_by_key(rows: DataFrame, key: Column, authority: Column, aggregate: Co
         "notes": clean_list(F.concat("notes", F.array(F.lit(note)))),
     })
     return rest.unionByName(out.select(*[c for c in rows.columns if c in out.columns]), allowMissingColumns=True)
+
+
+def low_detail(r: Column) -> Column:
+    """Whether a record may be merged with a like one at all: it isn't the baseline's, or lacks hours or its terminal."""
+    baseline = F.exists(r["sources"], lambda s: s["source"] == "baseline")
+    return ~baseline | ~has_value(r["hours"]) | ~has_value(r["terminal"])
+
+
+def can_merge(a: Column, b: Column) -> Column:
+    """Whether two records of one airport are one: the same key, name or number, nothing that is told of their gates, concourses and scopes contradicts, and terminals are the same, numbered alike, or unknown on one side."""
+    short = lambda x: F.regexp_replace(p.identity(x["terminal"]), r"^terminal\s+", "")
+    halls = [p.concourses(F.concat_ws(" ", x["concourse"], x["directions"])) for x in (a, b)]
+    both = has_value(a["terminal"]) & has_value(b["terminal"])
+    numbered = same_numbered_name(a["name"], b["name"])
+    alike = (p.dedupe_key(F.lit(""), F.lit(""), a["brand"], a["name"]) == p.dedupe_key(F.lit(""), F.lit(""), b["brand"], b["name"])) | p.same_name(a["name"], b["name"]) | p.same_physical_name(a["name"], b["name"]) | numbered
+    scopes = p.conflicting(p.scope_tokens(a["terminal"]), p.scope_tokens(b["gate"])) | p.conflicting(p.scope_tokens(b["terminal"]), p.scope_tokens(a["gate"]))
+    terminals = ~both | (short(a) == short(b)) | (numbered & p.terminals_compatible_for_price(a["terminal"], b["terminal"]))
+    return alike & p.gates_compatible(a["gate"], b["gate"]) & ~p.conflicting(*halls) & ~scopes & terminals
+
+
+def place_score(a: Column, b: Column) -> Column:
+    side = lambda x: (x["gate"], F.concat_ws(" ", x["gate"], x["concourse"], x["directions"]), x["terminal"], x["name"])
+    return p.location_score(*side(a), *side(b))
+
+
+def greedily_merged(rows: DataFrame, block: list[str], chunk: int | None = None) -> DataFrame:
+    """block and the columns of a record, with `ids`: within each block, in order of id, a record is merged into the one before that it can be merged with (one of both being of low detail) and whose place fits best, the earliest on ties; else it stays for itself.
+
+    What was merged counts as it is then. A block's records so far are the state of a fold (see `folded`), so its size is bounded
+    by the records that a block comes to.
+    """
+    start = F.array(F.struct(F.array("id").alias("ids"), F.struct(*RECORD).alias("r")))
+
+    def add(state: Column, row: Column) -> Column:
+        new = row["heads"][0]
+        fits = lambda h: can_merge(h["r"], new["r"]) & (low_detail(h["r"]) | low_detail(new["r"]))
+        scored = F.filter(F.transform(state["heads"], lambda h, i: F.struct(F.when(fits(h), place_score(h["r"], new["r"])).alias("s"), (-i).alias("i"))), lambda x: x["s"].isNotNull())
+        best = -F.array_max(scored)["i"]
+        merged = F.transform(state["heads"], lambda h, i: F.when(i == best, F.struct(F.concat(h["ids"], new["ids"]).alias("ids"), merged_record(h["r"], new["r"]).alias("r"))).otherwise(h))
+        return F.struct(row["id"].alias("id"), F.when(best.isNull(), F.concat(state["heads"], row["heads"])).otherwise(merged).alias("heads"))
+
+    whole = folded(rows.select(*block, "id", start.alias("heads")), block, [F.col("id")], add, chunk)
+    return whole.select(*block, F.explode("record.heads").alias("h")).select(*block, "h.ids", "h.r.*")

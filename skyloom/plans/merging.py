@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import families as fam
+from skyloom.functions import places as p
 from skyloom.operators import fold
 from skyloom.plans.catalogue import query
-from skyloom.plans.identity import GATES, TERMINALS, clash, dealt, halls, ident, known, over, rank_of, variants
+from skyloom.plans.identity import GATES, TERMINALS, clash, dealt, found, halls, ident, known, letters, over, rank_of, term, up, variants
 
 # Records of six neighbours by key at one airport; what the tables lack is dealt by key.
 
@@ -126,6 +127,95 @@ def group_key_merge(db):
     return flat(out.select("id", *fold.RECORD))
 
 
+# Greedy merges
+
+def numbers_sql(x: str) -> str:
+    parts = ", ".join(f"regexp_extract_all({ident(x)}, '{r}', 1)" for r in fam.NUMBERED)
+    return f"list_distinct(list_transform(list_concat({parts}), lambda v: v::INT))"
+
+
+def numbered_sql(x: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({ident(x)}, '{r}') THEN '{n}' END" for n, r in fam.NUMBERED_FAMILIES.items()) + "], lambda v: v IS NOT NULL)"
+
+
+def low_sql(x: str) -> str:
+    return f"(len(list_filter({x}.sources, lambda q: q.source = 'baseline')) = 0 OR NOT {known(f'{x}.hours')} OR NOT {known(f'{x}.terminal')})"
+
+
+def scope(x: str) -> str:
+    return found(ident(x), p.SCOPES)
+
+
+def short(x: str) -> str:
+    return f"regexp_replace({ident(f'{x}.terminal')}, '^terminal\\s+', '')"
+
+
+def generic(x: str) -> str:
+    t = term(f"{x}.terminal")
+    return f"({t} = '' OR regexp_matches({t}, '{p.GENERIC_PRICE}') OR (length({t}) < 4 AND len({found(t, r'\b([0-9]+)\b')}) = 0 AND len({letters(f'{x}.terminal', t)}) = 0))"
+
+
+def says(x: str, w: str) -> str:
+    return rf"regexp_matches({x}.terminal, '(?i)\b{w}\b')"
+
+
+def price_terminals(a: str, b: str) -> str:
+    ta, tb = term(f"{a}.terminal"), term(f"{b}.terminal")
+    na, nb = (found(t, r"\b([0-9]+)\b") for t in (ta, tb))
+    strict = f"({ta} <> '' AND {tb} <> '' AND {says(a, 'domestic')} = {says(b, 'domestic')} AND NOT {clash(halls(ta), halls(tb))} AND CASE WHEN len({na}) > 0 AND len({nb}) > 0 THEN list_has_any({na}, {nb}) ELSE contains({ta}, {tb}) OR contains({tb}, {ta}) END)"
+    contra = f"({clash(na, nb)} OR {clash(letters(f'{a}.terminal', ta), letters(f'{b}.terminal', tb))} OR {clash(halls(ta), halls(tb))})"
+    forbid = f"({says(a, 'domestic')} <> {says(b, 'domestic')} OR ({says(a, 'domestic')} AND {says(b, 'domestic')} AND {says(a, 'international')} <> {says(b, 'international')}))"
+    return f"({strict} OR (NOT {contra} AND ((list_has_any({na}, {nb}) AND NOT {says(a, 'international')} AND NOT {says(b, 'international')}) OR (NOT {forbid} AND ({generic(a)} OR {generic(b)})))))"
+
+
+def gates_sql(a: str, b: str) -> str:
+    general = lambda x: f"({x}.gate <> '' AND NOT regexp_matches({x}.gate, '{p.ONE_GATE_LIST}') AND regexp_matches({x}.gate, '{p.GENERAL_POSITION}'))"
+    parts = [(ident, p.SCOPES), (ident, p.DIRECTIONS), (ident, p.POSITION_TYPES), (up, r"\b([A-Z])\s+GATES?\b")]
+    clashes = " OR ".join(clash(found(of(f"{a}.gate"), r), found(of(f"{b}.gate"), r)) for of, r in parts)
+    listed = clash(found(up(f"{a}.gate"), r"\b([A-Z]?\d+[A-Z]?)\b"), found(up(f"{b}.gate"), r"\b([A-Z]?\d+[A-Z]?)\b"))
+    return f"(NOT {known(f'{a}.gate')} OR NOT {known(f'{b}.gate')} OR lower({a}.gate) = lower({b}.gate) OR (NOT ({clashes}) AND ({general(a)} OR {general(b)} OR NOT {listed})))"
+
+
+def mergeable(a: str, b: str) -> str:
+    named = f"(({ident(f'{a}.brand')} = {ident(f'{b}.brand')} AND {ident(f'{a}.name')} = {ident(f'{b}.name')}) OR (length({ident(f'{a}.name')}) >= 6 AND {ident(f'{a}.name')} = {ident(f'{b}.name')}) OR list_has_any({variants(f'{a}.name')}, {variants(f'{b}.name')}) OR {numbered_pair(a, b)})"
+    hall = lambda x: halls(f"{x}.concourse || ' ' || {x}.directions")
+    scopes = f"{clash(scope(f'{a}.terminal'), scope(f'{b}.gate'))} OR {clash(scope(f'{b}.terminal'), scope(f'{a}.gate'))}"
+    terminals = f"NOT ({known(f'{a}.terminal')} AND {known(f'{b}.terminal')}) OR {short(a)} = {short(b)} OR ({numbered_pair(a, b)} AND {price_terminals(a, b)})"
+    return f"({named} AND {gates_sql(a, b)} AND NOT {clash(hall(a), hall(b))} AND NOT ({scopes}) AND ({terminals}) AND ({low_sql(a)} OR {low_sql(b)}))"
+
+
+def numbered_pair(a: str, b: str) -> str:
+    return f"(list_has_any({numbers_sql(f'{a}.name')}, {numbers_sql(f'{b}.name')}) AND list_has_any({numbered_sql(f'{a}.name')}, {numbered_sql(f'{b}.name')}))"
+
+
+def place_sql(a: str, b: str) -> str:
+    ga, gb = ident(f"{a}.gate"), ident(f"{b}.gate")
+    pa, pb = (ident(f"{x}.gate || ' ' || {x}.concourse || ' ' || {x}.directions") for x in (a, b))
+    within = f"CASE WHEN {ga} <> '' AND {ga} = {gb} THEN 100 ELSE CASE WHEN {ga} <> '' AND contains({pb}, {ga}) THEN 80 ELSE 0 END + CASE WHEN {gb} <> '' AND contains({pa}, {gb}) THEN 80 ELSE 0 END END"
+    shared = " + ".join(f"CASE WHEN contains({pa}, '{w}') AND contains({pb}, '{w}') THEN 60 ELSE 0 END" for w in p.SHARED_POSITIONS)
+    return f"({within} + {shared} + CASE WHEN {short(a)} = {short(b)} THEN 20 ELSE 0 END + CASE WHEN length({ident(f'{a}.name')}) >= 6 AND {ident(f'{a}.name')} = {ident(f'{b}.name')} THEN 10 ELSE 0 END)"
+
+
+def greedy_sql() -> str:
+    """A recursion over records in order: the heads so far are unnested, judged against the record, and gathered again."""
+    pack = "struct_pack(" + ", ".join(f"{c} := {c}" for c in fold.RECORD) + ")"
+    return f"""q AS (SELECT airport AS k, id, row_number() OVER (PARTITION BY airport ORDER BY id) AS n, {pack} AS r FROM rec),
+g AS (SELECT k, n, [{{'ids': [id], 'r': r}}] AS heads FROM q WHERE n = 1 UNION ALL
+  SELECT k, n, CASE WHEN max(score) IS NULL THEN list_append(list(head ORDER BY i), any_value({{'ids': [id], 'r': r}})) ELSE list(CASE WHEN i = best THEN {{'ids': list_append(head.ids, id), 'r': merged}} ELSE head END ORDER BY i) END FROM (
+    SELECT k, n, id, r, i, head, score, max(CASE WHEN place = 1 AND score IS NOT NULL THEN i END) OVER (PARTITION BY k) AS best, {merged_sql()} AS merged FROM (
+      SELECT *, head.r AS s, {points('head.r')} >= {points('r')} AS l, row_number() OVER (PARTITION BY k ORDER BY score DESC NULLS LAST, i) AS place FROM (
+        SELECT *, CASE WHEN {mergeable('s0', 'r')} THEN {place_sql('s0', 'r')} END AS score FROM (SELECT *, head.r AS s0 FROM (SELECT g.k, q.n, q.id, q.r, unnest(g.heads) AS head, generate_subscripts(g.heads, 1) AS i FROM g JOIN q ON q.k = g.k AND q.n = g.n + 1)))))
+  GROUP BY k, n),
+z AS (SELECT k, unnest(heads) AS h FROM g QUALIFY n = max(n) OVER (PARTITION BY k))"""
+
+
+@query(f"WITH RECURSIVE {ROWS}, {greedy_sql()} SELECT k AS airport, array_to_string(h.ids, ',') AS ids, {', '.join(shown(c, 'h.r') for c in fold.RECORD)} FROM z")
+def greedy_record_merge(db):
+    """Records of an airport merged one after the other into the best that they can be merged with."""
+    out = fold.greedily_merged(records(db), ["airport"])
+    return flat(out.select("airport", F.array_join("ids", ",").alias("ids"), *fold.RECORD))
+
+
 # Families
 
 TIGHT = [f.replace(" ", "") for f in fam.FAMILIES]
@@ -141,15 +231,6 @@ def brand_families(db):
     return out.select("id", F.array_join("families", ",").alias("families"), F.array_join("all_families", ",").alias("all_families"))
 
 
-def numbers_sql(x: str) -> str:
-    parts = ", ".join(f"regexp_extract_all({ident(x)}, '{r}', 1)" for r in fam.NUMBERED)
-    return f"list_distinct(list_transform(list_concat({parts}), lambda v: v::INT))"
-
-
-def numbered_sql(x: str) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({ident(x)}, '{r}') THEN '{n}' END" for n, r in fam.NUMBERED_FAMILIES.items()) + "], lambda v: v IS NOT NULL)"
-
-
 SHORT = {x: f"regexp_replace({ident(f'{x}.terminal')}, '^terminal\\s+', '')" for x in "ab"}
 
 
@@ -158,8 +239,6 @@ SHORT = {x: f"regexp_replace({ident(f'{x}.terminal')}, '^terminal\\s+', '')" for
   FROM rec a JOIN rec b ON a.airport = b.airport AND a.id < b.id) SELECT a, b, numbered, halls_fit AND (NOT both_known OR same_terminal) AND (named OR numbered) AS alike FROM p""")
 def physical_names(db):
     """Pairs of an airport's records by numbered names, and by names, concourses and equal terminals."""
-    from skyloom.functions import places as p
-
     rows = records(db).select("id", "airport", "name", "terminal", "gate")
     a, b = (rows.alias(x) for x in "ab")
     r, e = (lambda c, x=x: F.col(f"{x}.{c}") for x in "ab")

@@ -86,3 +86,15 @@ def test_program_groups(spark):
     assert out[0] == [("oneworld", ["Sapphire+", "Ruby"], "Sapphire+")] and out[1] == [("skyteam", ["Elite Plus", "Elite+"], "Elite Plus")]
     assert out[2] == [("star-alliance", [], None)] and out[3] == []
     assert out[4] == [("cabin", ["Business+", "Premium"], "Business+"), ("oneworld", ["Emerald", "Zinc"], "Emerald")]
+
+
+def test_greedy_merges(spark):
+    """The best place wins, then the earliest; what was merged counts as it is then; two full records of the baseline stay apart; other chunks give the same."""
+    base = {"terminal": "T1", "hours": "24h", "sources": [("baseline", [])]}
+    rows = [record(1, "a", name="Sky Lounge", terminal="T1", gate="Gate A1"), record(2, "a", name="Sky Lounge", terminal="T1", gate="Gate B2"), record(3, "a", name="Sky Lounge", terminal="T1", gate="Gate B2", hours="24h"), record(4, "a", name="The Sky Lounge"),
+            record(1, "b", name="Full Lounge", **base), record(2, "b", name="Full Lounge", **base), record(3, "b", name="Full Lounge"), record(4, "b", name="Other Rooms")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for chunk in (1_000, 2):
+        out = {(r.k, tuple(r.ids)): r for r in fold.greedily_merged(df, ["k"], chunk).collect()}
+        assert set(out) == {("a", (1, 4)), ("a", (2, 3)), ("b", (1, 3)), ("b", (2,)), ("b", (4,))}
+        assert out["a", (2, 3)].hours == "24h" and out["a", (2, 3)].gate == "Gate B2"
