@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import bucket, sampled, utf8
+from skyloom.llm.common import bucket, fresh, sampled, utf8
 
 #: Bound of the labelled sample that the network is trained on: documents, and windows of each.
 TRAIN_DOCS, TRAIN_WINDOWS = 4_000, 3
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text: str = "text", to: str =
     """All columns of `docs` and a struct column of lang_pred and score: the class with the largest mean probability over all windows of the whole text.
 
     Null, empty or letterless texts, and all texts if nothing was learned, are
-    `und` with score 0. Equal texts get equal answers; rows that repeat stay.
+    `und` with score 0. Of equal means the class first in order of name counts. A column named `to` is replaced. Equal texts get equal answers; rows that repeat stay.
     No rows give no rows.
     """
     body = F.when(F.regexp_like(F.col(text), F.lit(r"\p{L}")), F.col(text).cast("binary"))
@@ -163,5 +163,6 @@ def learnable(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The columns of `docs` for documents whose language is told with a mean probability of `least` or more."""
-    named = identify(docs, train(learnable(docs)), to="_lang_id")
-    return named.where((F.col("_lang_id.lang_pred") != UNKNOWN) & (F.col("_lang_id.score") >= least)).select(*docs.columns)
+    told = fresh(docs, "_lang_id")
+    named = identify(docs, train(learnable(docs)), to=told)
+    return named.where((F.col(f"{told}.lang_pred") != UNKNOWN) & (F.col(f"{told}.score") >= least)).select(*docs.columns)
