@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from skyloom.plans import canonical, catalogue, enriching, identity, intake, merging, publish, publishing, review, sources  # noqa: F401 (all but the second register their queries)
+from skyloom.plans import canonical, catalogue, enriching, identity, intake, merging, publish, publishing, review, service, sources  # noqa: F401 (all but the second register their queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
