@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.components import connected
 from skyloom.llm.common import fresh, sampled, utf8
-from skyloom.llm.substrings import BASE, BYTE, SPACE, Sums, groups, mixed
+from skyloom.llm.substrings import BASE, BYTE, SPACE, Sums, groups, mixed, squeezed, unsqueezed
 from skyloom.scratch import small, store
 
 BITS, WORDS, SEED = 4, 4, 42
@@ -399,17 +399,26 @@ def shingle_sets(text: Column, words: int) -> Column:
     return F.pandas_udf(run, "binary").asNondeterministic()(utf8(text))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets of shingles; 1 for two empty ones."""
+#: Pairs of texts that are unpacked at once.
+PAIRS = 64
+
+
+def similarity_of(a: Column, b: Column, words: int) -> Column:
+    """Jaccard similarity of the shingles of two compressed texts; 1 for two without words. Whole sets are never shuffled: compressed texts take a quarter of their room."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def of(x: bytes, y: bytes) -> float:
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        def of(x: np.ndarray, y: np.ndarray) -> float:
             both = len(np.intersect1d(x, y, assume_unique=True))
             return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
-        for a, b in batches:
-            yield pd.Series([of(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+        for xs, ys in batches:
+            found = []
+            for at in range(0, len(xs), PAIRS):
+                texts = unsqueezed([bytes(t) for s in (xs, ys) for t in s.iloc[at : at + PAIRS]])
+                sets = [np.unique(codes) for codes in shingle_codes(texts, words)]
+                half = len(sets) // 2
+                found += map(of, sets[:half], sets[half:])
+            yield pd.Series(found, dtype="float64")
 
     return F.pandas_udf(run, "double").asNondeterministic()(a, b)
 
@@ -493,9 +502,9 @@ def similar(pairs: DataFrame, plain: DataFrame, words: int, similarity: float) -
     wanted = store(pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct(), "wanted")
     # Whole texts are shuffled only where they are wanted, and one text stands for its copies.
     chosen = plain.join(small(wanted, wanted.count()), "t").groupBy("t").agg(F.min("text").alias("text"))
-    sets = store(chosen.select("t", shingle_sets(F.col("text"), words).alias("s")), "shingles")
-    sides = [sets.select(F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
-    found = pairs.join(sides[0], "ta").join(sides[1], "tb").withColumn("j", jaccard(F.col("sa"), F.col("sb"))).where(F.col("j") >= similarity)
+    packed = store(chosen.select("t", squeezed(utf8(F.col("text"))).alias("s")), "packed")
+    sides = [packed.select(F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
+    found = pairs.join(sides[0], "ta").join(sides[1], "tb").withColumn("j", similarity_of(F.col("sa"), F.col("sb"), words)).where(F.col("j") >= similarity)
     return store(found.select(F.col("ta").alias("a"), F.col("tb").alias("b")), "near")
 
 
