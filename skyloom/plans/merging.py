@@ -250,6 +250,31 @@ def physical_names(db):
     return a.join(b, (F.col("a.airport") == F.col("b.airport")) & (F.col("a.id") < F.col("b.id"))).select(r("id").alias("a"), e("id").alias("b"), numbered.alias("numbered"), alike.alias("alike"))
 
 
+def strict_terminals(a: str, b: str) -> str:
+    ta, tb = term(f"{a}.terminal"), term(f"{b}.terminal")
+    na, nb = (found(t, r"\b([0-9]+)\b") for t in (ta, tb))
+    return f"({known(f'{a}.terminal')} AND {known(f'{b}.terminal')} AND {ta} <> '' AND {tb} <> '' AND {says(a, 'domestic')} = {says(b, 'domestic')} AND NOT {clash(halls(ta), halls(tb))} AND CASE WHEN len({na}) > 0 AND len({nb}) > 0 THEN list_has_any({na}, {nb}) ELSE contains({ta}, {tb}) OR contains({tb}, {ta}) END)"
+
+
+def gate_parts(x: str, pattern: str) -> str:
+    return found(up(f"{x}.gate"), pattern)
+
+
+PUBLISHED = f"(contains(replace({ident("a.name || ' ' || a.brand || ' ' || a.operator")}, ' ', ''), 'admiralsclub') AND contains(replace({ident("b.name || ' ' || b.brand || ' ' || b.operator")}, ' ', ''), 'admiralsclub') AND {strict_terminals('a', 'b')} AND list_has_any({gate_parts('a', r'\b[A-Z]?(\d+)[A-Z]?\b')}, {gate_parts('b', r'\b[A-Z]?(\d+)[A-Z]?\b')}) AND NOT {clash(gate_parts('a', r'\b([A-Z])\d+[A-Z]?\b'), gate_parts('b', r'\b([A-Z])\d+[A-Z]?\b'))})"
+
+
+@query(f"""WITH {ROWS}, near AS (SELECT * REPLACE (CASE WHEN id % 6 < 3 THEN {dealt(over(6, "id"), NAMES)} ELSE name END AS name) FROM rec)
+SELECT a.id AS a, b.id AS b, NOT {clash(halls("a.terminal || ' ' || a.gate"), halls("b.terminal || ' ' || b.gate"))} AND ({gates_sql('a', 'b')} OR {PUBLISHED}) AND (NOT ({known('a.terminal')} AND {known('b.terminal')}) OR {SHORT['a']} = {SHORT['b']} OR ({numbered_pair('a', 'b')} AND {price_terminals('a', 'b')}))
+  AND (list_has_any({variants('a.name')}, {variants('b.name')}) OR (length({ident('a.name')}) >= 6 AND {ident('a.name')} = {ident('b.name')}) OR {numbered_pair('a', 'b')} OR {PUBLISHED}) AS same FROM near a JOIN near b ON a.airport = b.airport AND a.id < b.id""")
+def physical_places(db):
+    """Whether two records of an airport are one place, by all that is told of them. Half of an airport's records share a name."""
+    rows = records(db).withColumn("name", F.when(F.col("id") % 6 < 3, F.expr(dealt(over(6, "id"), NAMES))).otherwise(F.col("name")))
+    rows = fam.with_families(rows.select("id", "airport", "name", "brand", "operator", "terminal", "gate"))
+    a, b = (lambda c, x=x: F.col(f"{x}.{c}") for x in "ab")
+    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.airport") == F.col("b.airport")) & (F.col("a.id") < F.col("b.id")))
+    return pairs.select(a("id").alias("a"), b("id").alias("b"), fam.same_physical_place(a, b).alias("same"))
+
+
 # Programs: lists dealt by key, of known and unknown, repeated and implied tiers.
 
 PROGRAMS = ("Oneworld Sapphire", "oneworldSapphireAndHigher", " Star Alliance Gold ", "StarAllianceGold", "SkyTeam Elite Plus", "skyteamElite", "Business Class and higher", "Priority Pass", "EmeraldAndHigher", "One World Ruby or higher", "", "Premium cabin", "Star Alliance", "PremiumEconomyAndHigher", "oneworld Diamond")
