@@ -49,6 +49,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by `keys` over all shuffle partitions, before columns or joins that cost much a row: a small file, or a shuffle of few bytes, is one task's work otherwise."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ordered_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Number the rows of `df` from 0 in the given order, without one task seeing all of them.
 

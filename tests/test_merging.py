@@ -1,5 +1,7 @@
 """Folds, merges by keys, families and programs on small fixtures."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,18 @@ def test_greedy_merges(spark):
         out = {(r.k, tuple(r.ids)): r for r in fold.greedily_merged(df, ["k"], chunk).collect()}
         assert set(out) == {("a", (1, 4)), ("a", (2, 3)), ("b", (1, 3)), ("b", (2,)), ("b", (4,))}
         assert out["a", (2, 3)].hours == "24h" and out["a", (2, 3)].gate == "Gate B2"
+
+
+def broadcast_parts(df):
+    """What is below each broadcast of the first physical plan, a text each."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-*(0123456789)")) for x in lines]
+    return ["\n".join(itertools.takewhile(bool, (x if d > depth[i] else "" for x, d in zip(lines[i + 1 :], depth[i + 1 :], strict=True)))) for i, line in enumerate(lines) if "BroadcastExchange" in line]
+
+
+def test_exploded_texts_are_not_broadcast(spark, tmp_path):
+    """A stored table's bytes tell nothing of the pieces that its texts explode to: only phrases may go through the driver."""
+    spark.range(50).selectExpr("id", "'Qantas Club ' || id AS name", "'' AS brand", "'' AS operator").write.parquet(str(tmp_path / "rows"))
+    out = fam.with_families(spark.read.parquet(str(tmp_path / "rows")))
+    assert not [x for x in broadcast_parts(out) if "Generate" in x or "FileScan" in x]
+    assert {tuple(r.families) for r in out.collect()} == {("qantas",)}
