@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 BLANK = r"[\s   -     　﻿]"
 
 
+def once(value: Column, of) -> Column:
+    """`of` a value that it uses several times, worked out once a row."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 

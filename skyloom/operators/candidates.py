@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.text import collapsed, decoded
+from skyloom.functions.text import collapsed, decoded, once
 from skyloom.operators import graph, variants
 
 #: A payload: a script of JSON.
@@ -46,14 +46,18 @@ def extracted(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: st
     """
     names = list(dict.fromkeys(f for r in rules for f in r.fields))
     read = pages.select(F.col(key).alias("page"), dispatched(F.col(url), rules).alias("rule"), F.col(html).alias("html"))
+    # Each step's value is bound by name and worked out once a page; explode takes the result, so that no filter repeats the steps below it.
     payload = by_rule(F.col("rule"), rules, lambda r: F.regexp_extract(F.coalesce("html", F.lit("")), r.payload, 1))
-    parsed = read.withColumn("payload", payload).withColumn("tree", F.try_parse_json(F.nullif("payload", F.lit(""))))
-    listed = parsed.withColumn("records", by_rule(F.col("rule"), rules, lambda r: F.try_variant_get("tree", r.records, "array<variant>")))
-    reason = F.when(F.col("rule").isNull(), "no_rule").when(F.col("payload") == "", "no_payload").when(F.col("tree").isNull(), "malformed").when(F.coalesce(F.size("records"), F.lit(0)) < 1, "no_records")
-    judged = listed.select("page", "rule", "records", reason.alias("reason"))
-    rows = judged.where("reason is null").select("page", "rule", F.posexplode("records").alias("place", "r"))
+    records = lambda tree: by_rule(F.col("rule"), rules, lambda r: F.try_variant_get(tree, r.records, "array<variant>"))
+    judged = lambda tree, listed: F.struct(F.when(tree.isNull(), "malformed").when(F.coalesce(F.size(listed), F.lit(0)) < 1, "no_records").alias("reason"), listed.alias("records"))
+    of_tree = lambda tree: once(records(tree), lambda listed: judged(tree, listed))
+    none = F.struct(F.lit("no_payload").alias("reason"), F.lit(None).cast("array<variant>").alias("records"))
+    of_page = once(payload, lambda x: F.when(x == "", none).otherwise(once(F.try_parse_json(x), of_tree)))
+    candidates = once(of_page, lambda j: F.when(j["reason"].isNull(), j["records"]))
+    rejected = F.when(F.col("rule").isNull(), "no_rule").otherwise(of_page["reason"])
+    rows = read.where("rule is not null").select("page", "rule", F.posexplode(candidates).alias("place", "r"))
     text = lambda n: by_rule(F.col("rule"), rules, lambda r: F.try_variant_get("r", r.fields[n], "string") if n in r.fields else F.lit(None).cast("string"))
-    return rows.select("page", "rule", "place", *[collapsed(decoded(text(n))).alias(n) for n in names]), judged.where("reason is not null").select("page", "reason")
+    return rows.select("page", "rule", "place", *[collapsed(decoded(text(n))).alias(n) for n in names]), read.select("page", F.explode(F.array_compact(F.array(rejected))).alias("reason"))
 
 
 def flight_records(pages: DataFrame, kind: str, fields: dict[str, str], key: str = "page_id", html: str = "html") -> DataFrame:

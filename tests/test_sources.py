@@ -1,5 +1,6 @@
 """References, trees, crawls and payloads on small fixtures."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from skyloom.operators import candidates, crawl, graph, variants
@@ -72,3 +73,16 @@ def test_payload_rejects(spark):
     good, bad = candidates.extracted(spark.createDataFrame(rows, "page_id int, url string, html string"), rules)
     assert sorted(map(tuple, good.collect())) == [(1, "one", 0, "A & B", ""), (1, "one", 1, "", ""), (2, "any", 0, "", "5")]
     assert {r.page: r.reason for r in bad.collect()} == {3: "no_rule", 4: "no_payload", 5: "malformed", 6: "no_records", 7: "no_rule"}
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_payloads_are_parsed_once(spark, tmp_path, which):
+    """Neither candidates nor rejects work out a page's payload and tree again for each use."""
+    rule = candidates.Rule("r", (".test",), "$.items", {"name": "$.name"})
+    rows = [(1, "https://x.test", '<script type="application/json">{"items":[{"name":"a"},{"name":"b"}]}</script>'), (2, "https://x.test", None), (3, None, "x"), (4, "https://x.test", '<script type="application/json">{"items":[]}</script>')]
+    spark.createDataFrame(rows, "page_id int, url string, html string").write.parquet(str(tmp_path / "pages"))
+    out = candidates.extracted(spark.read.parquet(str(tmp_path / "pages")), [rule])[which]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") + plan.count("RegExpExtract") == 1
+    wanted = [(1, "r", 0, "a"), (1, "r", 1, "b")] if which == 0 else [(2, "no_payload"), (3, "no_rule"), (4, "no_records")]
+    assert sorted(map(tuple, out.collect())) == wanted
