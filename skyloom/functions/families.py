@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import places as p
+from skyloom.functions.text import once
 from skyloom.scratch import small, spread
 
 # The phrases that name a family of places.
@@ -124,7 +125,10 @@ def shown_tier(tier: Column) -> Column:
 def tier_of(program: Column) -> Column:
     """Struct of a program's `family` and `tier` as written (empty: the family alone); null for a program of none of the families."""
     text = F.trim(program)
-    tight = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
+    return once(F.struct(text.alias("text"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "").alias("tight")), lambda x: _tier_of(x["text"], x["tight"]))
+
+
+def _tier_of(text: Column, tight: Column) -> Column:
     out = F
     for family, tiers in TIERS.items():
         made = lambda tier, f=family: F.struct(F.lit(f).alias("family"), tier.alias("tier"))
@@ -152,16 +156,16 @@ def program_groups(programs: Column) -> Column:
     `X+` stands for X and all above it, and takes the place of X. Tiers that aren't known come last, in the order in which they come.
     """
     distinct = F.array_distinct(F.filter(F.transform(F.coalesce(programs, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
-    parsed = F.filter(F.transform(distinct, tier_of), lambda x: x.isNotNull())
     base = lambda s: F.trim(F.regexp_replace(F.lower(F.regexp_replace(s, r"\+$", "")), "[^a-z0-9]+", " "))
     rank = F.create_map(*[x for f, ts in TIERS.items() for i, t in enumerate(ts) for x in (F.lit(f"{f}/{t}"), F.lit(i))])
+    # A program's family, tier as shown and base, worked out once each: what follows only compares them.
+    shown = lambda x: once(shown_tier(x["tier"]), lambda t: F.struct(x["family"].alias("family"), t.alias("t"), base(t).alias("b")))
+    told = F.transform(F.filter(F.transform(distinct, tier_of), lambda x: x.isNotNull()), shown)
 
-    def group(family: Column) -> Column:
-        shown = F.filter(F.transform(F.filter(parsed, lambda x: x["family"] == family), lambda x: shown_tier(x["tier"])), lambda t: t != "")
-        bases = F.array_distinct(F.transform(shown, base))
-        pick = lambda b: F.coalesce(F.get(F.filter(shown, lambda t: (base(t) == b) & t.endswith("+")), 0), F.get(F.filter(shown, lambda t: base(t) == b), 0))
-        placed = F.transform(bases, lambda b, i: F.struct(F.coalesce(F.try_element_at(rank, F.concat(family, F.lit("/"), b)), F.lit(99)).alias("r"), i.alias("i"), pick(b).alias("t")))
-        tiers = F.transform(F.array_sort(placed), lambda x: x["t"])
-        return F.struct(family.alias("family"), tiers.alias("tiers"), F.get(tiers, 0).alias("top"))
+    def group(family: Column, parsed: Column) -> Column:
+        own = F.filter(parsed, lambda x: (x["family"] == family) & (x["t"] != ""))
+        pick = lambda mine, b: F.coalesce(F.get(F.filter(mine, lambda x: (x["b"] == b) & x["t"].endswith("+")), 0), F.get(F.filter(mine, lambda x: x["b"] == b), 0))["t"]
+        place = lambda mine: F.transform(F.array_distinct(F.transform(mine, lambda x: x["b"])), lambda b, i: F.struct(F.coalesce(F.try_element_at(rank, F.concat(family, F.lit("/"), b)), F.lit(99)).alias("r"), i.alias("i"), pick(mine, b).alias("t")))
+        return once(once(own, lambda mine: F.transform(F.array_sort(place(mine)), lambda x: x["t"])), lambda tiers: F.struct(family.alias("family"), tiers.alias("tiers"), F.get(tiers, 0).alias("top")))
 
-    return F.transform(F.array_distinct(F.transform(parsed, lambda x: x["family"])), group)
+    return once(told, lambda parsed: F.transform(F.array_distinct(F.transform(parsed, lambda x: x["family"])), lambda f: group(f, parsed)))

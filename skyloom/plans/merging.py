@@ -9,6 +9,7 @@ from skyloom.functions import places as p
 from skyloom.operators import fold
 from skyloom.plans.catalogue import query
 from skyloom.plans.identity import GATES, TERMINALS, clash, dealt, found, halls, ident, known, letters, over, rank_of, term, up, variants
+from skyloom.scratch import spread
 
 # Records of six neighbours by key at one airport; what the tables lack is dealt by key.
 
@@ -294,5 +295,5 @@ t AS (SELECT c_custkey, k.family, k.base, min(i) AS i, coalesce(max(CASE WHEN en
 SELECT c_custkey, family, coalesce(string_agg(tier, ',' ORDER BY coalesce(r.r, 99), i) FILTER (WHERE tier <> ''), '') AS tiers, arg_min(tier, (coalesce(r.r, 99), i)) FILTER (WHERE tier <> '') AS top FROM t LEFT JOIN r USING (family, base) GROUP BY ALL""")
 def program_tiers(db):
     """Families of the programs that a record lists, their tiers from the highest down, and the highest."""
-    rows = db.customer.select("c_custkey", F.explode(fam.program_groups(F.array(*map(F.expr, ASKED)))).alias("g"))
+    rows = spread(db.customer, "c_custkey").select("c_custkey", F.explode(fam.program_groups(F.array(*map(F.expr, ASKED)))).alias("g"))
     return rows.select("c_custkey", "g.family", F.array_join("g.tiers", ",").alias("tiers"), "g.top")

@@ -115,3 +115,11 @@ def test_exploded_texts_are_not_broadcast(spark, tmp_path):
     out = fam.with_families(spark.read.parquet(str(tmp_path / "rows")))
     assert not [x for x in broadcast_parts(out) if "Generate" in x or "FileScan" in x]
     assert {tuple(r.families) for r in out.collect()} == {("qantas",)}
+
+
+def test_programs_are_parsed_once(spark):
+    """What a program's text is, is told once: the expression doesn't repeat the parser for each use of its result."""
+    df = spark.createDataFrame([(["oneworldSapphireAndHigher", "Oneworld Sapphire", "SkyTeam Elite", "x", ""],)], "p array<string>").select(fam.program_groups(F.col("p")).alias("g"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("transform(") < 40 and plan.count("andhigher") < 60
+    assert [(g.family, g.tiers, g.top) for g in df.first().g] == [("oneworld", ["Sapphire+"], "Sapphire+"), ("skyteam", ["Elite"], "Elite")]
