@@ -349,11 +349,9 @@ def n_to_1_authority_match(db):
 @query("""WITH m AS (SELECT c_custkey, s_suppkey, CASE WHEN floor(c_acctbal / 500) = floor(s_acctbal / 500) THEN 0 ELSE 1 END AS tier FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 2000) = floor(s_acctbal / 2000))
 SELECT c_custkey, s_suppkey, tier FROM m QUALIFY tier = min(tier) OVER (PARTITION BY c_custkey)""")
 def strict_then_relaxed(db):
-    records = db.supplier.select(F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 2000).alias("band"), F.col("s_acctbal").alias("balance"), "s_suppkey")
-    evidence = db.customer.select(F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 2000).alias("band"), F.col("c_acctbal").alias("balance"), "c_custkey")
-    pairs = match.block_join(records, evidence, ["nation", "band"], F.lit(True))
-    tier = F.when(F.floor(F.col("r.balance") / 500) == F.floor(F.col("e.balance") / 500), 0).otherwise(1)
-    return match.first_tier(pairs.select("c_custkey", "s_suppkey", tier.alias("tier")), "c_custkey", "tier")
+    side = lambda df, nation, balance, key: df.select(F.col(nation).alias("nation"), F.floor(F.col(balance) / 500).alias("band"), F.floor(F.col(balance) / 2000).alias("wide"), key)
+    records, evidence = side(db.supplier, "s_nationkey", "s_acctbal", "s_suppkey"), side(db.customer, "c_nationkey", "c_acctbal", "c_custkey")
+    return match.strict_else_relaxed(records, evidence, ["nation", "band"], ["nation", "wide"], "c_custkey").select("c_custkey", "s_suppkey", "tier")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 OR p_size BETWEEN 21 AND 30 THEN true ELSE false END AS inside FROM part")

@@ -92,3 +92,15 @@ def test_readers(spark, tmp_path):
     rows = spark.createDataFrame([("AAA",), ("a1",), (None,)], "code string")
     good, bad = readers.admitted(rows, {"invalid_code": ~F.col("code").rlike("^[A-Z0-9]{3}$")})
     assert good.count() == 1 and [r.reason for r in bad.collect()] == ["invalid_code"] * 2
+
+
+def test_large_blocks_are_dealt(spark):
+    """One block's pairs are the work of many tasks, and all of them are there."""
+    many, few = spark.range(640).selectExpr("id AS a", "id % 1 AS k"), spark.range(5).selectExpr("id AS b", "id % 1 AS k")
+    out = match.dealt_blocks(many, few, ["k"], "a", 16)
+    assert {(r.a, r.b) for r in out.collect()} == {(a, b) for a in range(640) for b in range(5)} and out.count() == 3200
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    records = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "r int, s int, w int")
+    evidence = spark.createDataFrame([(7, 0, 0), (8, 3, 0), (9, 9, 9)], "e int, s int, w int")
+    tiers = match.strict_else_relaxed(records, evidence, ["s"], ["w"], "e").select("e", "r", "tier")
+    assert sorted(map(tuple, tiers.collect())) == [(7, 1, 0), (8, 1, 1), (8, 2, 1)]
