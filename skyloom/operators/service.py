@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.operators.canonical import ui_score
+from skyloom.operators.match import dealt_blocks
 
 ORDERS = ("best_match", "airport_code", "type", "country_city")
 
@@ -39,7 +40,8 @@ def same_spot(features: DataFrame, chosen: DataFrame) -> DataFrame:
     own = chosen.select("id").distinct().join(features, "id").select(F.col("id").alias("chosen"), "airport_code", spot(F.col("lat"), F.col("lon")).alias("spot"))
     several = features.groupBy("airport_code").count().where("count > 1").select("airport_code")
     near = own.join(several, "airport_code", "left_semi").join(features.select("airport_code", "id", "name"), "airport_code").select("chosen", "id", "name")
-    alone = own.join(several, "airport_code", "left_anti").join(features.select(spot(F.col("lat"), F.col("lon")).alias("spot"), "id", "name"), "spot").select("chosen", "id", "name")
+    # Places may be few and full: the pairs are the result, and no task has all of a place's.
+    alone = dealt_blocks(own.join(several, "airport_code", "left_anti").select("chosen", "spot"), features.select(spot(F.col("lat"), F.col("lon")).alias("spot"), "id", "name"), ["spot"], "chosen").select("chosen", "id", "name")
     return near.unionByName(alone)
 
 
