@@ -12,6 +12,7 @@ from skyloom.functions import places as p
 from skyloom.functions import text as t
 from skyloom.operators import match, merge, search
 from skyloom.plans.catalogue import query
+from skyloom.scratch import spread
 
 TERMINALS = ("Terminal 1", "T2", "Terminal A", "International Terminal", "Domestic Terminal", "Terminal 2 Domestic", "Concourse B, C", "Main Terminal", "", "Unknown", "Terminal 1 International", "b", "Concourse D")
 GATES = ("Gate A12", "Gates A10 - A14", "B Gates", "Level 2 mezzanine", "East Wing near Gate 5", "Ground floor", "Gate 12", "", "North Pier domestic", "A12", "Level 3", "Gates Area", "Departures Hall", "West Concourse international", "Arrivals area")
@@ -36,7 +37,7 @@ PAIRS = "i AS (SELECT p_partkey, " + ", ".join(f"{e} AS {c}" for c, e in PAIR.it
 
 
 def pairs(db):
-    return db.part.selectExpr("p_partkey", *[f"{e} AS {c}" for c, e in PAIR.items()])
+    return spread(db.part.select("p_partkey"), "p_partkey").selectExpr("p_partkey", *[f"{e} AS {c}" for c, e in PAIR.items()])
 
 
 # DuckDB's side of the predicates.
