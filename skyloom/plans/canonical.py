@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import canonical as c
 from skyloom.plans.catalogue import query
 from skyloom.plans.identity import dealt
+from skyloom.scratch import spread
 
 KEY = "c_custkey"
 NAMES = ("Plaza Premium Lounge", "The Sky Club", "Emerald Room", "qantas first", "Aspire & Escape", " United Polaris ", "Blue Lounge")
@@ -32,7 +33,7 @@ AT, NOW = "2026-01-01 00:00:00", "2026-01-10 12:00:00"
 
 
 def features(db):
-    rows = db.customer.join(db.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(db.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = spread(db.customer, "c_custkey").join(db.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(db.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.selectExpr("CAST(c_custkey AS STRING) AS id", *[f"{x} AS {n}" for n, x in TEXTS.items()], *[f"{listed(n, True)} AS {n}" for n in ARRAYS], f"{LAT} AS lat", f"CAST({LON} AS DOUBLE) AS lon")
 
 
