@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import places as p
 from skyloom.functions.text import once
-from skyloom.scratch import small, spread
+from skyloom.scratch import spread
 
 # The phrases that name a family of places.
 FAMILIES = (
@@ -28,29 +28,15 @@ def compact(c: Column) -> Column:
     return F.replace(p.identity(c), F.lit(" "))
 
 
-def phrases_in(rows: DataFrame, key: str, text: Column, phrases: DataFrame, to: str) -> DataFrame:
-    """`rows` and an array `to` of the phrases (phrase) that each text holds with or without its spaces, sorted; `key` is unique.
-
-    A text that holds a phrase holds it without spaces as well, so only that is looked for. Texts and phrases meet on pieces as long as
-    the shortest phrase: a phrase is only compared with texts that have its beginning, however many phrases there are. The side that
-    explodes is never broadcast: its size can't be told from the rows it comes from, so phrases are (if few), else both are sorted.
-    """
-    named = phrases.select(F.col("phrase").alias("_phrase"), F.replace("phrase", F.lit(" ")).alias("_tight")).where("_tight <> ''").distinct()
-    size, n = named.agg(F.min(F.length("_tight")), F.count("*")).first()
-    size = size or 1
-    tight = rows.select(key, compact(text).alias("_text"))
-    at = F.sequence(F.lit(1), F.greatest(F.length("_text") - size + 1, F.lit(1)))
-    pieces = tight.select(key, "_text", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("_text", i, F.lit(size))))).alias("_piece"))
-    met = pieces.hint("merge").join(small(named.withColumn("_piece", F.substring("_tight", 1, size)), n), "_piece").where(F.col("_text").contains(F.col("_tight")))
-    found = met.groupBy(key).agg(F.array_sort(F.collect_set("_phrase")).alias(to))
-    return rows.hint("merge").join(found, key, "left").withColumn(to, F.coalesce(to, F.array().cast("array<string>")))
+def families_in(text: Column) -> Column:
+    """Sorted families whose phrase a text holds. A text that holds a phrase holds it without spaces as well, so only that is looked for, in a text made compact once."""
+    return once(compact(text), lambda x: F.array_compact(F.array(*[F.when(x.contains(f.replace(" ", "")), f) for f in sorted(FAMILIES)])))
 
 
 def with_families(rows: DataFrame, key: str = "id", name: str = "name", brand: str = "brand", operator: str = "operator", asset: str | None = None) -> DataFrame:
-    """`rows` with `families` of name and brand (and the brand asset's id) and `all_families`, of the operator too but not the asset."""
-    phrases = rows.sparkSession.createDataFrame([(f,) for f in FAMILIES], "phrase string")
-    own = phrases_in(spread(rows, key), key, F.concat_ws(" ", name, brand, *([asset] if asset else [])), phrases, "families")
-    return phrases_in(own, key, F.concat_ws(" ", name, brand, operator), phrases, "all_families")
+    """`rows` with `families` of name and brand (and the brand asset's id) and `all_families`, of the operator too but not the asset. Phrases are few and fixed, so that no join is needed: a row's families are told from the row alone."""
+    own = families_in(F.concat_ws(" ", name, brand, *([asset] if asset else [])))
+    return spread(rows, key).withColumns({"families": own, "all_families": families_in(F.concat_ws(" ", name, brand, operator))})
 
 
 def numbers_in_name(name: Column) -> Column:
@@ -92,7 +78,12 @@ ASPIRE_PRODUCTS = (
 
 def aspire_product(text: Column) -> Column:
     """The network's product that a text (name, brand and operator) names; empty if none."""
-    return reduce(lambda out, x: out.when(p.identity(text).rlike(x[0]), x[1]), ASPIRE_PRODUCTS, F).otherwise("")
+    return once(p.identity(text), product_in)
+
+
+def product_in(plain: Column) -> Column:
+    """As `aspire_product`, of an identity."""
+    return reduce(lambda out, x: out.when(plain.rlike(x[0]), x[1]), ASPIRE_PRODUCTS, F).otherwise("")
 
 
 def same_physical_place(a, b) -> Column:

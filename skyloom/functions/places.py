@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skyloom.functions.text import collapsed, conflicting, has_value, trimmed
+from skyloom.functions.text import collapsed, conflicting, has_value, once, trimmed
 
 # Phrases that identity ignores or unifies, and words that tell a position.
 IDENTITY_STEPS = (
@@ -63,8 +63,9 @@ def numbers(c: Column) -> Column:
     return every(text_of(c), r"\b([0-9]+)\b")
 
 
-def terminal_letters(c: Column) -> Column:
-    own = F.upper(terminal(c))
+def terminal_letters(c: Column, short: Column | None = None) -> Column:
+    """Letters of a terminal, whose short name may be given."""
+    own = F.upper(terminal(c) if short is None else short)
     named = F.transform(every(text_of(c), r"(?i)\bTerminal\s+([A-Z])\b"), F.upper)
     return F.array_distinct(F.concat(named, F.when(own.rlike("^[A-Z]$"), F.array(own)).otherwise(F.array().cast("array<string>"))))
 
@@ -106,12 +107,16 @@ def gate_zones(c: Column) -> Column:
 def movements(*parts: Column) -> Column:
     """`arrival` and `departure` if the texts speak of them."""
     text = F.regexp_replace(identity(F.concat_ws(" ", *parts)), r"\binternational airport\b", "airport")
-    return F.array_compact(F.array(F.when(text.rlike(ARRIVAL), "arrival"), F.when(text.rlike(DEPARTURE), "departure")))
+    return once(text, lambda x: F.array_compact(F.array(F.when(x.rlike(ARRIVAL), "arrival"), F.when(x.rlike(DEPARTURE), "departure"))))
 
 
 def vertical(c: Column) -> Column:
     """`ground`, `mezzanine` or `level:n`; empty if none is told."""
-    text = identity(c)
+    return once(identity(c), vertical_in)
+
+
+def vertical_in(text: Column) -> Column:
+    """As `vertical`, of an identity."""
     level = F.regexp_extract(text, r"\blevel ([0-9]+)\b", 1)
     out = F.when(text.rlike(r"\bground (?:level|floor)\b"), "ground").when(text.rlike(r"\bmezzanine (?:level|floor)?\b"), "mezzanine")
     return out.when(level != "", F.concat(F.lit("level:"), level)).otherwise("")
@@ -150,13 +155,13 @@ def tokens_conflict(a: Column, b: Column) -> Column:
     return conflicting(numbers(x), numbers(y)) | conflicting(terminal_letters(a), terminal_letters(b)) | conflicting(concourses(x), concourses(y))
 
 
-def generic_for_alliance(c: Column) -> Column:
-    return terminal(c).isin("", "terminal") | text_of(c).rlike(GENERIC_ALLIANCE)
+def generic_for_alliance(c: Column, short: Column | None = None) -> Column:
+    return (terminal(c) if short is None else short).isin("", "terminal") | text_of(c).rlike(GENERIC_ALLIANCE)
 
 
-def generic_for_price(c: Column) -> Column:
-    x = terminal(c)
-    return (x == "") | x.rlike(GENERIC_PRICE) | ((F.length(x) < 4) & (F.size(numbers(x)) == 0) & (F.size(terminal_letters(c)) == 0))
+def generic_for_price(c: Column, short: Column | None = None) -> Column:
+    x = terminal(c) if short is None else short
+    return (x == "") | x.rlike(GENERIC_PRICE) | ((F.length(x) < 4) & (F.size(numbers(x)) == 0) & (F.size(terminal_letters(c, x)) == 0))
 
 
 def scope_forbids(a: Column, b: Column) -> Column:
@@ -223,7 +228,11 @@ def same_name(a: Column, b: Column) -> Column:
 
 def name_variants(c: Column) -> Column:
     """A name as it is, without its terminal, its article and a final `lounge`, of six characters or more."""
-    base = identity(c)
+    return once(identity(c), variants_of)
+
+
+def variants_of(base: Column) -> Column:
+    """As `name_variants`, of an identity."""
     bare = F.trim(F.regexp_replace(base, r"\bterminal\s+[a-z0-9].*$", ""))
     plain = F.trim(F.regexp_replace(bare, r"^the\s+", ""))
     short = F.trim(F.regexp_replace(plain, r"\blounges?\b$", ""))

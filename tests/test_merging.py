@@ -117,6 +117,15 @@ def test_exploded_texts_are_not_broadcast(spark, tmp_path):
     assert {tuple(r.families) for r in out.collect()} == {("qantas",)}
 
 
+def test_families_need_no_join(spark):
+    """A row's families are told from the row alone, and what its product is, from a text that is cleaned once."""
+    rows = spark.createDataFrame([(1, "Luxe by Aspire", "", "")], "id int, name string, brand string, operator string")
+    plan = fam.with_families(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    told = rows.select(fam.aspire_product(F.concat_ws(" ", "name", "brand", "operator")).alias("p"))
+    assert told._jdf.queryExecution().analyzed().toString().count("airport dimensions") == 1 and told.first().p == "luxe-by-aspire"
+
+
 def test_programs_are_parsed_once(spark):
     """What a program's text is, is told once: the expression doesn't repeat the parser for each use of its result."""
     df = spark.createDataFrame([(["oneworldSapphireAndHigher", "Oneworld Sapphire", "SkyTeam Elite", "x", ""],)], "p array<string>").select(fam.program_groups(F.col("p")).alias("g"))
