@@ -41,13 +41,21 @@ def with_families(rows: DataFrame, key: str = "id", name: str = "name", brand: s
 
 def numbers_in_name(name: Column) -> Column:
     """Numbers that tell one of several like-named places, without leading zeros."""
-    text = p.identity(name)
+    return once(p.identity(name), numbers_of)
+
+
+def numbers_of(text: Column) -> Column:
+    """As `numbers_in_name`, of an identity."""
     found = F.concat(*[F.regexp_extract_all(text, F.lit(r), F.lit(1)) for r in NUMBERED])
     return F.array_distinct(F.transform(found, lambda x: x.cast("int").cast("string")))
 
 
 def numbered_families(name: Column) -> Column:
-    text = p.identity(name)
+    return once(p.identity(name), numbered_of)
+
+
+def numbered_of(text: Column) -> Column:
+    """As `numbered_families`, of an identity."""
     return F.array_compact(F.array(*[F.when(text.rlike(r), n) for n, r in NUMBERED_FAMILIES.items()]))
 
 
@@ -86,18 +94,6 @@ def product_in(plain: Column) -> Column:
     return reduce(lambda out, x: out.when(plain.rlike(x[0]), x[1]), ASPIRE_PRODUCTS, F).otherwise("")
 
 
-def same_physical_place(a, b) -> Column:
-    """Whether two records (functions from a column's name) of one airport are one place: nothing that is told of their concourses, gates and terminals contradicts, and their names, numbers or published gates agree. They have name, terminal, gate and all_families."""
-    concourses = [p.concourses(F.concat_ws(" ", x("terminal"), x("gate"))) for x in (a, b)]
-    published = F.array_contains(a("all_families"), "admirals club") & F.array_contains(b("all_families"), "admirals club") & p.gate_numbers_compatible(a("terminal"), a("gate"), b("terminal"), b("gate"))
-    numbered = same_numbered_name(a("name"), b("name"))
-    short = lambda x: F.regexp_replace(p.identity(x("terminal")), r"^terminal\s+", "")
-    both = p.has_value(a("terminal")) & p.has_value(b("terminal"))
-    terminals = ~both | (short(a) == short(b)) | (numbered & p.terminals_compatible_for_price(a("terminal"), b("terminal")))
-    named = p.same_name(a("name"), b("name")) | p.same_physical_name(a("name"), b("name")) | numbered | published
-    return ~p.conflicting(*concourses) & (p.gates_compatible(a("gate"), b("gate")) | published) & terminals & named
-
-
 # Programs
 
 # The tiers of program families, the highest first.

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import families as fam
 from skyloom.functions import places as p
-from skyloom.operators import fold
+from skyloom.operators import enriching, fold
+from skyloom.operators.match import block_join
 from skyloom.plans.catalogue import query
 from skyloom.plans.identity import GATES, TERMINALS, clash, dealt, found, halls, ident, known, letters, over, rank_of, term, up, variants
 from skyloom.scratch import spread
@@ -270,10 +271,10 @@ SELECT a.id AS a, b.id AS b, NOT {clash(halls("a.terminal || ' ' || a.gate"), ha
 def physical_places(db):
     """Whether two records of an airport are one place, by all that is told of them. Half of an airport's records share a name."""
     rows = records(db).withColumn("name", F.when(F.col("id") % 6 < 3, F.expr(dealt(over(6, "id"), NAMES))).otherwise(F.col("name")))
-    rows = fam.with_families(rows.select("id", "airport", "name", "brand", "operator", "terminal", "gate"))
-    a, b = (lambda c, x=x: F.col(f"{x}.{c}") for x in "ab")
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.airport") == F.col("b.airport")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(a("id").alias("a"), b("id").alias("b"), fam.same_physical_place(a, b).alias("same"))
+    rows = enriching.with_tokens(rows.select("id", "airport", "name", "brand", "operator", "terminal", "concourse", "gate", "directions"), physical=True)
+    a, b = (lambda c, x=x: F.col(f"{x}.{c}") for x in "re")
+    pairs = block_join(rows, rows, ["airport"], F.col("r.id") < F.col("e.id"))
+    return pairs.select(a("id").alias("a"), b("id").alias("b"), enriching.same_physical_place(a, b).alias("same"))
 
 
 # Programs: lists dealt by key, of known and unknown, repeated and implied tiers.

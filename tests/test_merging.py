@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import families as fam
 from skyloom.operators import fold
+from skyloom.plans import catalogue, merging  # noqa: F401 (registers its queries)
 
 TEXTS = ("name", "brand", "operator", "status", "icao", "terminal", "concourse", "gate", "security", "directions", "hours", "verified")
 SCHEMA = "id long, k string, " + ", ".join(f"{c} string" for c in TEXTS) + ", lat double, lon double, completeness int, programs array<string>, amenities array<string>, restrictions array<string>, notes array<string>, sources array<struct<source: string, fields: array<string>>>"
@@ -126,6 +127,13 @@ def test_families_need_no_join(spark):
     assert told._jdf.queryExecution().analyzed().toString().count("airport dimensions") == 1 and told.first().p == "luxe-by-aspire"
 
 
+def test_places_are_told_once_a_record(spark):
+    """Pairs only compare tokens: no text is cleaned once more for each pair of records."""
+    out = catalogue.QUERIES["physical_places"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "rlike" not in plan.lower() and out.where("same").count() > 0
+
+
 def test_programs_are_parsed_once(spark):
     """What a program's text is, is told once: the expression doesn't repeat the parser for each use of its result."""
     df = spark.createDataFrame([(["oneworldSapphireAndHigher", "Oneworld Sapphire", "SkyTeam Elite", "x", ""],)], "p array<string>").select(fam.program_groups(F.col("p")).alias("g"))
