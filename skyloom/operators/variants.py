@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.scratch import store
+from skyloom.scratch import spread, store
 
 
 def kind_of(v: Column) -> Column:
@@ -19,9 +19,10 @@ def kind_of(v: Column) -> Column:
 def nodes(rows: DataFrame, key: str, tree: str) -> list[DataFrame]:
     """The nodes of each row's tree (a variant), a stored table for each level: key, path (steps from the top), name (of a field, else null), kind and v.
 
-    Levels are as many as the deepest tree has. Rows without a tree have no nodes.
+    Levels are as many as the deepest tree has. Rows without a tree have no nodes. Rows are dealt over all tasks first: trees cost much
+    more than their bytes tell.
     """
-    level = rows.where(F.col(tree).isNotNull()).select(F.col(key).alias("key"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("name"), F.col(tree).alias("v"))
+    level = spread(rows, key).where(F.col(tree).isNotNull()).select(F.col(key).alias("key"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("name"), F.col(tree).alias("v"))
     level = store(level.withColumn("kind", kind_of(F.col("v"))), "tree")
     levels = []
     while not level.isEmpty():
@@ -63,10 +64,11 @@ def rewritten(rows: DataFrame, key: str, tree: str, replaced: Column) -> DataFra
             texts = here.select("key", "path", "name", own.alias("text"))
         else:
             # A container's parts are gathered: as many as one of a document's nodes has.
-            inner = below.groupBy("key", F.slice("path", 1, F.size("path") - 1).alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.element_at("path", -1).alias("s"), "text"))).alias("parts"))
+            parts = spread(below.select("key", F.slice("path", 1, F.size("path") - 1).alias("path"), F.element_at("path", -1).alias("s"), "text"), "key", "path")
+            inner = parts.groupBy("key", "path").agg(F.array_sort(F.collect_list(F.struct("s", "text"))).alias("parts"))
             joined = F.array_join(F.transform("parts", lambda p: p["text"]), ",")
             full = F.when(F.col("kind") == "object", F.concat(F.lit("{"), joined, F.lit("}"))).otherwise(F.concat(F.lit("["), joined, F.lit("]")))
-            texts = here.join(inner, ["key", "path"], "left").select("key", "path", "name", F.coalesce("_by", F.when(F.col("parts").isNotNull(), full), own).alias("text"))
+            texts = spread(here, "key", "path").hint("merge").join(inner, ["key", "path"], "left").select("key", "path", "name", F.coalesce("_by", F.when(F.col("parts").isNotNull(), full), own).alias("text"))
         named = F.when(F.col("name").isNotNull(), F.concat(F.regexp_replace(F.to_json(F.array("name")), r"^\[|\]$", ""), F.lit(":"), "text")).otherwise(F.col("text"))
         below = store(texts.select("key", "path", named.alias("text")), "texts")
     return below.select("key", "text")
