@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.scratch import store
+from skyloom.scratch import BROADCAST_ROWS, small, store
 
 #: How many references in a row are followed.
 DEPTH = 12
@@ -41,6 +41,12 @@ def joined_path(a: Column, b: Column) -> Column:
     return F.concat(a, F.when(b.startswith("[") | (a == ""), "").otherwise("."), b)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A stored table as a side of a join: broadcast if it has few rows, else never, since its bytes say little of its rows' size."""
+    n = df.count()
+    return small(df, n) if n <= BROADCAST_ROWS else df.hint("merge")
+
+
 def dereferenced(fields: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc, root, path, value, status: all leaves of the records that start at `roots` (doc, id), references replaced by what they name, level by level.
 
@@ -48,25 +54,28 @@ def dereferenced(fields: DataFrame, roots: DataFrame, depth: int = DEPTH) -> Dat
     reference, whose value is null then: `missing`, `cycle` (the node is on the way there already) or `deep` (beyond `depth`).
     """
     fields = store(fields.select("doc", "id", "path", "value", "ref"), "fields")
-    here = roots.select("doc", F.col("id").alias("root")).distinct()
-    level = here.join(fields, (here["doc"] == fields["doc"]) & (here["root"] == fields["id"])).select(here["doc"], "root", "path", "value", "ref", F.array("id").alias("seen"))
-    out, known = [], fields.select("doc", "id").distinct()
+    here, none = roots.select("doc", F.col("id").alias("root")).distinct(), F.lit(None).cast("string")
+    first = fields.hint("merge").join(here.withColumn("id", F.col("root")), ["doc", "id"])
+    level, out = first.select("doc", "root", "path", "value", "ref", F.array("id").alias("seen"), F.lit("value").alias("status")), []
     for k in range(depth + 1):
         level = store(level, "level")
-        out.append(level.where("ref is null").select("doc", "root", "path", "value", F.lit("value").alias("status")))
+        out.append(level.where("ref is null").select("doc", "root", "path", "value", "status"))
         onward = level.where("ref is not null")
         if onward.isEmpty():
             break
         cycle = F.array_contains("seen", F.col("ref"))
-        out.append(onward.where(cycle).select("doc", "root", "path", F.lit(None).cast("string").alias("value"), F.lit("cycle").alias("status")))
+        out.append(onward.where(cycle).select("doc", "root", "path", none.alias("value"), F.lit("cycle").alias("status")))
         onward = onward.where(~cycle)
-        absent = onward.join(known.withColumnRenamed("id", "ref"), ["doc", "ref"], "left_anti")
-        out.append(absent.select("doc", "root", "path", F.lit(None).cast("string").alias("value"), F.lit("missing").alias("status")))
+        # Nodes that are referred to, each once: a few that all records come to go to the tasks whole, and no one task gets all of their records.
+        wanted = store(onward.select("doc", F.col("ref").alias("id")).distinct(), "wanted")
+        named = store(fields.join(bounded(wanted), ["doc", "id"], "left_semi"), "named")
         if k == depth:
-            deep = onward.join(known.withColumnRenamed("id", "ref"), ["doc", "ref"], "left_semi")
-            out.append(deep.select("doc", "root", "path", F.lit(None).cast("string").alias("value"), F.lit("deep").alias("status")))
-            break
-        p, q = onward.alias("p"), fields.alias("q")
-        met = p.join(q, (F.col("p.doc") == F.col("q.doc")) & (F.col("p.ref") == F.col("q.id")))
-        level = met.select("p.doc", "p.root", joined_path(F.col("p.path"), F.col("q.path")).alias("path"), "q.value", "q.ref", F.array_append("p.seen", F.col("p.ref")).alias("seen"))
+            named = named.select("doc", "id").distinct().select("doc", "id", F.lit("").alias("path"), none.alias("value"), none.alias("ref"))
+        p, q = onward.alias("p"), bounded(named).alias("q")
+        met = p.join(q, (F.col("p.doc") == F.col("q.doc")) & (F.col("p.ref") == F.col("q.id")), "left")
+        missing = F.col("q.id").isNull()
+        path = F.when(missing | F.lit(k == depth), F.col("p.path")).otherwise(joined_path(F.col("p.path"), F.col("q.path")))
+        level = met.select("p.doc", "p.root", path.alias("path"), "q.value", "q.ref", F.array_append("p.seen", F.col("p.ref")).alias("seen"), F.when(missing, "missing").otherwise("deep" if k == depth else "value").alias("status"))
+        if k == depth:
+            out.append(level.select("doc", "root", "path", "value", "status"))
     return reduce(DataFrame.unionByName, out)

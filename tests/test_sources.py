@@ -39,6 +39,28 @@ def test_trees(spark):
     assert variants.leaves(rows.limit(0), "k", "t").count() == variants.rewritten(rows.limit(0), "k", "t", F.lit(None)).count() == 0
 
 
+def test_trees_of_one_file_are_dealt(spark):
+    """Rows that one task reads become nodes in several: what a tree costs isn't told by its bytes."""
+    rows = spark.range(40).coalesce(1).selectExpr("id AS k", "try_parse_json('{\"a\":[1,{\"b\":' || id || '}]}') AS t")
+    top, *_, last = variants.nodes(rows, "k", "t")
+    assert all(x.select(F.input_file_name()).distinct().count() > 1 for x in (top, last))
+    assert {r.text for r in variants.rewritten(rows, "k", "t", F.lit(None)).collect()} == {'{"a":[1,{"b":%d}]}' % i for i in range(40)}
+
+
+def test_references_are_not_broadcast_by_bytes(spark, monkeypatch):
+    """Only sides of few counted rows go through the driver; results are the same without any."""
+    table = spark.createDataFrame([("d", f"o{i}", "to", None, f"c{i % 7}") for i in range(30)] + [("d", f"c{i}", "name", f"n{i}", None) for i in range(5)], "doc string, id string, path string, value string, ref string")
+    roots = spark.createDataFrame([("d", f"o{i}") for i in range(30)], "doc string, id string")
+    few = sorted(graph.dereferenced(table, roots).collect(), key=str)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 3)
+    joins = []
+    real = graph.bounded
+    monkeypatch.setattr(graph, "bounded", lambda df: joins.append(real(df)) or joins[-1])
+    assert sorted(graph.dereferenced(table, roots).collect(), key=str) == few and len(few) == 30
+    assert sum(r.status == "missing" for r in few) == 8
+    assert joins and all("strategy=merge" in x._jdf.queryExecution().analyzed().toString() for x in joins)
+
+
 def test_robots_of_agents(spark):
     texts = {
         "a": "User-agent: *\nDisallow: /\n\nUser-agent: Catalog\nAllow: /open # yes\nDisallow: /open/not\r\nDisallow:",
