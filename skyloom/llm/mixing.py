@@ -24,6 +24,8 @@ MOST_COPIES = 2
 BLOCK_WORDS = 64
 SHARD_WORDS = 65_536
 SHARD_DOCS = 4_096
+#: Rows that one task may rank instead of being told apart digit by digit, each of which takes jobs of its own.
+RANKED = 256
 SEED = 17
 
 
@@ -32,10 +34,13 @@ def highest(rows: DataFrame, group: list[str], digits: list[Column], n_groups: i
 
     One digit after the other tells up to where a group's rows are surely in and which
     of them the next digit must tell apart. Windows run over counts by digit; only rows
-    that are equal in all digits are ranked themselves.
+    that are equal in all digits, or RANKED rows or fewer that are still to be told apart, are
+    ranked themselves, in the same order.
     """
     won, left = [], rows
     for digit in digits:
+        if left.count() <= RANKED:
+            break
         counts = left.groupBy(*group, digit.alias("_d")).agg(F.count("*").alias("_n"), F.first("_rest").alias("_rest"))
         running = F.sum("_n").over(Window.partitionBy(*group).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0))
         reached = counts.withColumn("_c", running).where("_c >= _rest")
@@ -44,7 +49,8 @@ def highest(rows: DataFrame, group: list[str], digits: list[Column], n_groups: i
         inside = F.col("_b").isNull() | (F.col("_d") < F.col("_b._d"))
         won.append(told.where(inside).select(*rows.columns))
         left = told.where(F.col("_d") == F.col("_b._d")).withColumn("_rest", F.col("_rest") - F.col("_b.before")).select(*rows.columns)
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*rows.columns))
+        left = store(left, "left")  # else each part of the result joins all bounds before it again
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*digits, *rows.columns))
     out = left.withColumn("_rank", rank).where("_rank <= _rest").select(*rows.columns)
     for part in won:
         out = out.unionByName(part)

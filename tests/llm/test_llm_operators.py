@@ -310,6 +310,22 @@ def test_audio_stores_pcm_of_all_codecs(spark, monkeypatch):
         assert out[int(r.doc_id)].feature.endswith(f"pcm_crc32={zlib.crc32(bytes(r.pcm))}")
 
 
+def test_highest_is_a_small_plan(spark, monkeypatch):
+    """Few rows are ranked without joins; many go digit by digit without each digit joining again what those before it joined; both give the same rows."""
+    rows = store(spark.range(600).selectExpr("cast(id % 3 as int) g", "id k", "7 * (id % 3) _rest", "cast(id * 37 % 101 as int) q"), "rows")
+    digits = [F.shiftright("q", 5), F.shiftright("q", 2).bitwiseAND(F.lit(7)), F.col("q").bitwiseAND(F.lit(3)), F.pmod(F.xxhash64("k"), F.lit(4))]
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    few = rows.where("k < 60")
+    assert joins(mixing.highest(few, ["g"], digits, 3)) == 0
+    told = {}
+    for bound in (0, 10_000):
+        monkeypatch.setattr(mixing, "RANKED", bound)
+        out = mixing.highest(rows, ["g"], digits, 3)
+        assert joins(out) <= len(digits)
+        told[bound] = {(r.g, r.k) for r in out.collect()}
+    assert told[0] == told[10_000] and len(told[0]) == 21
+
+
 def test_apportionment_against_the_plain_rule(spark):
     """Seats one by one to the highest quotient: the same quotas but for ties, with caps, many equal votes and several groups."""
     rng, rows, seats = np.random.default_rng(2), [], []
