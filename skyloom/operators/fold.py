@@ -8,43 +8,46 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.functions import families as fam
 from skyloom.functions import places as p
-from skyloom.functions.families import same_numbered_name
-from skyloom.functions.text import clean_list, has_value
+from skyloom.functions.text import clean_list, conflicting, has_value, once
+from skyloom.operators import enriching
 from skyloom.operators.merge import STATUSES
-from skyloom.scratch import ordered_index, store
+from skyloom.scratch import ordered_index, spread, store
 
 #: Records of one key that are folded at once.
 CHUNK = 1_000
 MERGED = "Merged duplicate source evidence."
 
 
-def folded(rows: DataFrame, key: list[str], order: list[Column], merge: Callable[[Column, Column], Column], chunk: int | None = None) -> DataFrame:
+def folded(rows: DataFrame, key: list[str], order: list[Column], merge: Callable[[Column, Column], Column], chunk: int | None = None, lift: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, record, n: the rows of each key (as structs of the other columns) folded from the left in the given order, which must be total.
 
     At most `chunk` rows of a key are ever gathered: a larger group goes on from the record that it came to, chunk by chunk, so a task holds a
-    chunk whatever a group's size. Groups within a chunk take one pass.
+    chunk whatever a group's size. Groups within a chunk take one pass. `lift` makes of a row what is folded, once a row, after rows have been dealt
+    over all tasks by key: merges cost far more than the few bytes of a row tell.
     """
     chunk = chunk or CHUNK
     fields = [c for c in rows.columns if c not in key]
     numbered = store(ordered_index(rows, [*map(F.col, key), *order], "__n"), "numbered")
     first = numbered.groupBy(*key).agg(F.min("__n").alias("__first"), F.count("*").alias("n"))
     sized = store(first, "sizes")
-    placed = numbered.join(sized, key).withColumn("__k", F.floor((F.col("__n") - F.col("__first")) / chunk))
+    placed = spread(numbered, *key).join(sized, key).withColumn("__k", F.floor((F.col("__n") - F.col("__first")) / chunk))
     most = sized.agg(F.max("n")).first()[0] or 0
     states = None
     for k in range(-(-most // chunk)):
         parts = placed.where(F.col("__k") == k).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__n", F.struct(*fields).alias("r")))).alias("__rows"))
-        listed = F.transform("__rows", lambda x: x["r"])
+        listed = F.transform("__rows", lambda x: lift(x["r"]) if lift else x["r"])
         if states is None:
-            now = parts.select(*key, F.aggregate(F.slice(listed, 2, chunk), listed[0], merge).alias("record"))
+            now = parts.select(*key, once(listed, lambda rows: F.aggregate(F.slice(rows, 2, chunk), rows[0], merge)).alias("record"))
             states = store(now, "states") if most > chunk else now
             continue
         joined = states.join(parts, key, "left")
         onward = F.when(F.col("__rows").isNull(), F.col("record")).otherwise(F.aggregate(listed, F.col("record"), merge))
         states = store(joined.select(*key, onward.alias("record")), "states")
     if states is None:
-        return rows.select(*key, F.struct(*fields).alias("record"), F.lit(0).cast("long").alias("n"))
+        record = F.struct(*fields)
+        return rows.select(*key, (lift(record) if lift else record).alias("record"), F.lit(0).cast("long").alias("n"))
     return states.join(sized.select(*key, "n"), key)
 
 
@@ -65,31 +68,35 @@ def sources_by_id(a: Column, b: Column) -> Column:
     return F.concat(kept, F.filter(b, lambda s: ~F.exists(a, lambda x: x["source"] == s["source"])))
 
 
-def merged_record(first: Column, second: Column) -> Column:
-    """Two records as one: that which tells more is the base (the first on ties), the other fills what it lacks.
+def merged_record(first: Column, second: Column, left: Column | None = None) -> Column:
+    """Two records as one: that which tells more is the base (the first on ties, or if `left`), the other fills what it lacks.
 
     Records are structs of name, brand, operator, status, icao, lat, lon, terminal, concourse, gate, security, directions, hours,
     verified, completeness, programs, amenities, restrictions, notes and sources (structs of source and fields).
     """
-    left = detail(first) >= detail(second)
-    base = lambda c: F.when(left, first[c]).otherwise(second[c])
-    over = lambda c: F.when(left, second[c]).otherwise(first[c])
-    filled = lambda c: F.when(has_value(base(c)), base(c)).otherwise(over(c))
+    left = detail(first) >= detail(second) if left is None else left
+    # Which is the base is told once, not for each column that depends on it.
+    pair = once(left, lambda x: F.struct(F.when(x, first).otherwise(second).alias("base"), F.when(x, second).otherwise(first).alias("over")))
+    return once(pair, lambda x: filled_record(x["base"], x["over"]))
+
+
+def filled_record(base: Column, over: Column) -> Column:
+    """The base with what it lacks from the other."""
+    filled = lambda c: F.when(has_value(base[c]), base[c]).otherwise(over[c])
     # The brand comes from the first that a source beside the baseline names.
     named = lambda c: F.exists(c, lambda s: ~s["source"].isin("baseline", "airports"))
-    brand = F.when(named(base("sources")) | ~named(over("sources")), base("brand")).otherwise(over("brand"))
-    status = reduce(lambda out, s: out.when((first["status"] == s) | (second["status"] == s), s), STATUSES, F).otherwise(base("status"))
-    known = base("lat").isNotNull() & ~F.isnan(base("lat"))
+    brand = F.when(named(base["sources"]) | ~named(over["sources"]), base["brand"]).otherwise(over["brand"])
+    status = reduce(lambda out, s: out.when((base["status"] == s) | (over["status"] == s), s), STATUSES, F).otherwise(base["status"])
+    known = base["lat"].isNotNull() & ~F.isnan(base["lat"])
     values = {
-        "name": base("name"), "brand": brand, "operator": filled("operator"), "status": status, "icao": filled("icao"),
-        "lat": F.when(known, base("lat")).otherwise(over("lat")), "lon": F.when(known, base("lon")).otherwise(over("lon")),
-        **{c: filled(c) for c in ("terminal", "concourse", "security", "directions", "hours")}, "gate": p.more_specific(base("gate"), over("gate")),
-        "verified": F.greatest(first["verified"], second["verified"]), "completeness": base("completeness"),
-        **{c: united_lists(base(c), over(c)) for c in ("programs", "amenities", "restrictions")},
-        "notes": clean_list(F.concat(base("notes"), over("notes"), F.array(F.lit(MERGED)))), "sources": sources_by_id(base("sources"), over("sources")),
+        "name": base["name"], "brand": brand, "operator": filled("operator"), "status": status, "icao": filled("icao"),
+        "lat": F.when(known, base["lat"]).otherwise(over["lat"]), "lon": F.when(known, base["lon"]).otherwise(over["lon"]),
+        **{c: filled(c) for c in ("terminal", "concourse", "security", "directions", "hours")}, "gate": p.more_specific(base["gate"], over["gate"]),
+        "verified": F.greatest(base["verified"], over["verified"]), "completeness": base["completeness"],
+        **{c: united_lists(base[c], over[c]) for c in ("programs", "amenities", "restrictions")},
+        "notes": clean_list(F.concat(base["notes"], over["notes"], F.array(F.lit(MERGED)))), "sources": sources_by_id(base["sources"], over["sources"]),
     }
-    order = ("name", "brand", "operator", "status", "icao", "lat", "lon", "terminal", "concourse", "gate", "security", "directions", "hours", "verified", "completeness", "programs", "amenities", "restrictions", "notes", "sources")
-    return F.struct(*[values[c].alias(c) for c in order])
+    return F.struct(*[values[c].alias(c) for c in RECORD])
 
 
 #: The columns of a record, in order.
@@ -128,38 +135,63 @@ def low_detail(r: Column) -> Column:
     return ~baseline | ~has_value(r["hours"]) | ~has_value(r["terminal"])
 
 
+def told(r: Column) -> Column:
+    """All that merges look at in a record; the names are those of `enriching.with_tokens`."""
+    plain = F.struct(p.identity(r["name"]).alias("name"), p.identity(r["terminal"]).alias("terminal"), p.terminal(r["terminal"]).alias("short"), p.identity(r["gate"]).alias("gate"), p.text_of(r["gate"]).alias("text"))
+
+    def tokens(x: Column) -> Column:
+        terminal, short, gate, text = r["terminal"], x["short"], x["gate"], x["text"]
+        found = {
+            "detail": detail(r), "low": low_detail(r), "brand": p.identity(r["brand"]), "name": x["name"], "variants": p.variants_of(x["name"]), "name_numbers": fam.numbers_of(x["name"]), "name_families": fam.numbered_of(x["name"]),
+            "known_terminal": has_value(terminal), "bare": F.regexp_replace(x["terminal"], r"^terminal\s+", ""), "scopes": p.every(x["terminal"], p.SCOPES), "short": short, "numbers": p.numbers(short), "letters": p.terminal_letters(terminal, short), "halls": p.concourses(short),
+            "domestic": p.says(terminal, "domestic"), "international": p.says(terminal, "international"), "any_price_terminal": p.generic_for_price(terminal, short),
+            "known_gate": has_value(r["gate"]), "gate_text": F.lower(text), "gate_plain": gate, "general": p.general_position(text), "gate_scopes": p.every(gate, p.SCOPES), "gate_directions": p.every(gate, p.DIRECTIONS), "gate_kinds": p.every(gate, p.POSITION_TYPES),
+            "gate_zones": p.gate_zones(text), "gates": p.gate_tokens(text), "place_halls": p.concourses(F.concat_ws(" ", r["concourse"], r["directions"])), "place": p.identity(F.concat_ws(" ", r["gate"], r["concourse"], r["directions"])),
+        }
+        return F.struct(*[c.alias(n) for n, c in found.items()])
+
+    return once(plain, tokens)
+
+
 def can_merge(a: Column, b: Column) -> Column:
-    """Whether two records of one airport are one: the same key, name or number, nothing that is told of their gates, concourses and scopes contradicts, and terminals are the same, numbered alike, or unknown on one side."""
-    short = lambda x: F.regexp_replace(p.identity(x["terminal"]), r"^terminal\s+", "")
-    halls = [p.concourses(F.concat_ws(" ", x["concourse"], x["directions"])) for x in (a, b)]
-    both = has_value(a["terminal"]) & has_value(b["terminal"])
-    numbered = same_numbered_name(a["name"], b["name"])
-    alike = (p.dedupe_key(F.lit(""), F.lit(""), a["brand"], a["name"]) == p.dedupe_key(F.lit(""), F.lit(""), b["brand"], b["name"])) | p.same_name(a["name"], b["name"]) | p.same_physical_name(a["name"], b["name"]) | numbered
-    scopes = p.conflicting(p.scope_tokens(a["terminal"]), p.scope_tokens(b["gate"])) | p.conflicting(p.scope_tokens(b["terminal"]), p.scope_tokens(a["gate"]))
-    terminals = ~both | (short(a) == short(b)) | (numbered & p.terminals_compatible_for_price(a["terminal"], b["terminal"]))
-    return alike & p.gates_compatible(a["gate"], b["gate"]) & ~p.conflicting(*halls) & ~scopes & terminals
+    """Whether two records of one airport are one, by what is `told` of them: the same key, name or number, nothing that is told of their gates, concourses and scopes contradicts, and terminals are the same, numbered alike, or unknown on one side."""
+    x, y = (lambda c, t=t: t[c.removeprefix("k.")] for t in (a, b))
+    numbered = F.arrays_overlap(a["name_numbers"], b["name_numbers"]) & F.arrays_overlap(a["name_families"], b["name_families"])
+    alike = ((a["brand"] == b["brand"]) & (a["name"] == b["name"])) | enriching.same_name(x, y) | enriching.like_named(x, y) | numbered
+    scopes = conflicting(a["scopes"], b["gate_scopes"]) | conflicting(b["scopes"], a["gate_scopes"])
+    terminals = ~(a["known_terminal"] & b["known_terminal"]) | (a["bare"] == b["bare"]) | (numbered & enriching.price_terminals(x, y))
+    return alike & enriching.gates_fit(x, y) & ~conflicting(a["place_halls"], b["place_halls"]) & ~scopes & terminals
 
 
 def place_score(a: Column, b: Column) -> Column:
-    side = lambda x: (x["gate"], F.concat_ws(" ", x["gate"], x["concourse"], x["directions"]), x["terminal"], x["name"])
-    return p.location_score(*side(a), *side(b))
+    """As `places.location_score`, by what is told."""
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    ga, gb, pa, pb = a["gate_plain"], b["gate_plain"], a["place"], b["place"]
+    within = points((ga != "") & pb.contains(ga), 80) + points((gb != "") & pa.contains(gb), 80)
+    shared = reduce(lambda out, w: out + points(pa.contains(w) & pb.contains(w), 60), p.SHARED_POSITIONS, F.lit(0))
+    named = (F.length(a["name"]) >= 6) & (a["name"] == b["name"])
+    return F.when((ga != "") & (ga == gb), 100).otherwise(within) + shared + points(a["bare"] == b["bare"], 20) + points(named, 10)
 
 
 def greedily_merged(rows: DataFrame, block: list[str], chunk: int | None = None) -> DataFrame:
     """block and the columns of a record, with `ids`: within each block, in order of id, a record is merged into the one before that it can be merged with (one of both being of low detail) and whose place fits best, the earliest on ties; else it stays for itself.
 
     What was merged counts as it is then. A block's records so far are the state of a fold (see `folded`), so its size is bounded
-    by the records that a block comes to.
+    by the records that a block comes to. What merges look at is told once a record and once a merge, never for a pair of records.
     """
-    start = F.array(F.struct(F.array("id").alias("ids"), F.struct(*RECORD).alias("r")))
+    def head(ids: Column, r: Column) -> Column:
+        return once(F.struct(ids.alias("ids"), r.alias("r")), lambda h: F.struct(h["ids"].alias("ids"), h["r"].alias("r"), told(h["r"]).alias("t")))
+
+    def start(row: Column) -> Column:
+        return F.struct(row["id"].alias("id"), F.array(head(F.array(row["id"]), row["r"])).alias("heads"))
 
     def add(state: Column, row: Column) -> Column:
-        new = row["heads"][0]
-        fits = lambda h: can_merge(h["r"], new["r"]) & (low_detail(h["r"]) | low_detail(new["r"]))
-        scored = F.filter(F.transform(state["heads"], lambda h, i: F.struct(F.when(fits(h), place_score(h["r"], new["r"])).alias("s"), (-i).alias("i"))), lambda x: x["s"].isNotNull())
-        best = -F.array_max(scored)["i"]
-        merged = F.transform(state["heads"], lambda h, i: F.when(i == best, F.struct(F.concat(h["ids"], new["ids"]).alias("ids"), merged_record(h["r"], new["r"]).alias("r"))).otherwise(h))
-        return F.struct(row["id"].alias("id"), F.when(best.isNull(), F.concat(state["heads"], row["heads"])).otherwise(merged).alias("heads"))
-
-    whole = folded(rows.select(*block, "id", start.alias("heads")), block, [F.col("id")], add, chunk)
+        heads, new = state["heads"], row["heads"][0]
+        fits = lambda h: (h["t"]["low"] | new["t"]["low"]) & can_merge(h["t"], new["t"])
+        scored = F.filter(F.transform(heads, lambda h, i: F.struct(F.when(fits(h), place_score(h["t"], new["t"])).alias("s"), (-i).alias("i"))), lambda x: x["s"].isNotNull())
+        joined = lambda h: head(F.concat(h["ids"], new["ids"]), merged_record(h["r"], new["r"], h["t"]["detail"] >= new["t"]["detail"]))
+        placed = lambda best: F.when(best.isNull(), F.concat(heads, row["heads"])).otherwise(F.transform(heads, lambda h, i: F.when(i == best, joined(h)).otherwise(h)))
+        return F.struct(row["id"].alias("id"), once(-F.array_max(scored)["i"], placed).alias("heads"))
+
+    whole = folded(rows.select(*block, "id", F.struct(*RECORD).alias("r")), block, [F.col("id")], add, chunk, start)
     return whole.select(*block, F.explode("record.heads").alias("h")).select(*block, "h.ids", "h.r.*")

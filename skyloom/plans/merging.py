@@ -35,7 +35,7 @@ def records(db):
     none, one, two = F.array().cast("array<string>"), F.expr(ONE), F.expr(TWO)
     k = F.col(KEY)
     source = lambda s, *fields: F.struct(s.alias("source"), F.array(*map(F.lit, fields)).alias("fields"))
-    rows = db.customer.select(k.alias("id"), F.expr(over(6, KEY)).alias("airport"), *[F.expr(e).alias(c) for c, e in TEXTS.items()], *[F.when(k % 3 > 0, v).alias(n) for n, v in (("lat", F.col("c_acctbal")), ("lon", -F.col("c_acctbal")))],
+    rows = spread(db.customer, KEY).select(k.alias("id"), F.expr(over(6, KEY)).alias("airport"), *[F.expr(e).alias(c) for c, e in TEXTS.items()], *[F.when(k % 3 > 0, v).alias(n) for n, v in (("lat", F.col("c_acctbal")), ("lon", -F.col("c_acctbal")))],
         (F.col("c_nationkey") % 7).alias("completeness"), F.when(k % 4 == 0, F.array(F.lit("One"), F.lit(" Two "))).when(k % 4 == 1, F.array(F.lit("Two"), F.lit(""))).when(k % 4 == 2, F.array("c_mktsegment")).otherwise(none).alias("programs"),
         F.when(k % 3 == 0, F.array(F.lit("wifi"))).otherwise(none).alias("amenities"), F.when(k % 5 == 0, F.array(F.lit("adults"))).otherwise(none).alias("restrictions"), F.when(k % 2 == 0, F.array(F.concat(F.lit("n"), k.cast("string")))).otherwise(none).alias("notes"),
         F.when(one == two, F.array(source(one, "name"))).otherwise(F.array(source(one, "name"), source(two, "hours", "name"))).alias("sources"))

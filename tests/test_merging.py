@@ -103,6 +103,14 @@ def test_greedy_merges(spark):
         assert out["a", (2, 3)].hours == "24h" and out["a", (2, 3)].gate == "Gate B2"
 
 
+def test_greedy_merges_tell_a_record_once(spark):
+    """Names and places are cleaned once a record and once a merge, not for each pair of records and each use of the best one."""
+    rows = spark.createDataFrame([record(1, "a", name="Sky Lounge"), record(2, "a", name="The Sky Lounge")], SCHEMA)
+    out = fold.greedily_merged(rows, ["k"])
+    assert 0 < out._jdf.queryExecution().analyzed().toString().count("gameway") < 40
+    assert [r.ids for r in out.collect()] == [[1, 2]]
+
+
 def broadcast_parts(df):
     """What is below each broadcast of the first physical plan, a text each."""
     lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
