@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.components import connected
 from skyloom.llm.common import fresh, sampled, utf8
 from skyloom.llm.substrings import BASE, BYTE, SPACE, Sums, groups, mixed, squeezed, unsqueezed
-from skyloom.scratch import small, store
+from skyloom.scratch import BROADCAST_ROWS, small, store
 
 BITS, WORDS, SEED = 4, 4, 42
 #: Differing bits of the first candidates for shingle similarity. They only save work: pairs farther apart are found by their prefixes.
@@ -497,15 +497,29 @@ def beyond(texts: DataFrame, keys: DataFrame, groups: DataFrame, similarity: flo
     return whole.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct()
 
 
-def similar(pairs: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
-    """a, b: those of the pairs of text digests ta, tb (stored) whose texts' shingles have this Jaccard similarity. `plain` has t (digest) and text."""
+#: Texts of the table for each pair whose texts are shuffled at once. Pairs may grow faster than the table; the room that their texts take at once doesn't.
+TEXTS_PER_PAIR = 4
+
+
+def parted(pairs: DataFrame, texts: int) -> list[DataFrame]:
+    """Pairs of text digests ta, tb (stored) in as many parts as keep each under a share of the number of texts, or under BROADCAST_ROWS."""
+    parts = -(-pairs.count() // max(texts // TEXTS_PER_PAIR, BROADCAST_ROWS))
+    return [pairs.where(F.pmod(F.xxhash64("ta", "tb", F.lit(SEED)), F.lit(parts)) == p) for p in range(parts)] if parts > 1 else [pairs]
+
+
+def similar(pairs: DataFrame, plain: DataFrame, words: int, similarity: float, texts: int = 0) -> DataFrame:
+    """a, b: those of the pairs of text digests ta, tb (stored) whose texts' shingles have this Jaccard similarity. `plain` has t (digest) and text; the larger the number of `texts`, the more pairs are checked at once."""
     wanted = store(pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct(), "wanted")
     # Whole texts are shuffled only where they are wanted, and one text stands for its copies.
     chosen = plain.join(small(wanted, wanted.count()), "t").groupBy("t").agg(F.min("text").alias("text"))
     packed = store(chosen.select("t", squeezed(utf8(F.col("text"))).alias("s")), "packed")
     sides = [packed.select(F.col("t").alias(f"t{x}"), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
-    found = pairs.join(sides[0], "ta").join(sides[1], "tb").withColumn("j", similarity_of(F.col("sa"), F.col("sb"), words)).where(F.col("j") >= similarity)
-    return store(found.select(F.col("ta").alias("a"), F.col("tb").alias("b")), "near")
+
+    def near(some: DataFrame) -> DataFrame:
+        found = some.join(sides[0], "ta").join(sides[1], "tb").withColumn("j", similarity_of(F.col("sa"), F.col("sb"), words)).where(F.col("j") >= similarity)
+        return store(found.select(F.col("ta").alias("a"), F.col("tb").alias("b")), "near")
+
+    return reduce(DataFrame.unionByName, map(near, parted(pairs, texts)))
 
 
 def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -532,21 +546,32 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, doc_id: str = "d
     between = pairs.join(a, "a").join(b, "b").select("ta", "tb")
     inside = texts.join(least, "fp").where("t <> rep").select(F.col("rep").alias("ta"), F.col("t").alias("tb"))
     tied = store(between.unionByName(inside), "tied")
-    near = similar(tied, plain, words, similarity)
+    n = texts.count()
+    near = similar(tied, plain, words, similarity, n)
     low, high = F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")
 
     # All other similar texts share a shingle of their prefixes, however far apart their fingerprints are.
     groups = connected(near).withColumnRenamed("node", "t")
     more = store(beyond(texts, printed.select("t", "keys"), groups, similarity).join(tied.select(low, high), ["ta", "tb"], "left_anti"), "more")
-    near = near.unionByName(similar(more, plain, words, similarity))
+    near = near.unionByName(similar(more, plain, words, similarity, n))
 
     groups = connected(near)
     grouped = texts.join(groups.withColumnRenamed("node", "t"), "t", "left").withColumn("g", F.coalesce("component", "t"))
-    kept = grouped.groupBy("g").agg(F.min(F.struct("first", "t")).alias("k")).select(F.col("k.t").alias(fresh(docs, "_t")), F.col("k.first.doc_id").alias(fresh(docs, "_id")))
-    named = fresh(docs, "_text_md5")
+    kept = grouped.groupBy("g").agg(F.min(F.struct("first", "t")).alias("k")).select(F.col("k.t").alias("kept_t"), F.col("k.first.doc_id").alias("kept_id"))
+    # Whole rows pass without a shuffle unless they are listed: those that go, and those that repeat both the id and the text.
+    rows = printed.groupBy("t", "doc_id").agg(F.count("*").alias("n"))
+    stays = F.col("kept_t").isNotNull()
+    judged = rows.join(kept, (F.col("t") == F.col("kept_t")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left").where(~stays | (F.col("n") > 1))
+    named, of, id_of, again = (fresh(docs, c) for c in ("_text_md5", "_t", "_id", "_again"))
+    listed = store(judged.select(F.col("t").alias(of), F.col("doc_id").alias(id_of), stays.alias(again)), "listed")
+    repeated = listed.where(F.col(again))
     keyed = docs.withColumn(named, F.md5(utf8(F.col(text))))
-    out = keyed.join(kept, (F.col(named) == kept[kept.columns[0]]) & keyed[doc_id].eqNullSafe(kept[kept.columns[1]]), "left_semi")
+
+    def joined(some: DataFrame, how: str) -> DataFrame:
+        return keyed.join(small(some, some.count()), (keyed[named] == some[of]) & keyed[doc_id].eqNullSafe(some[id_of]), how)
+
     # Of rows that are equal in both, that of the least hash of all columns.
     all_columns = [F.col(f"`{c}`") for c in docs.columns]
-    one = out.groupBy(doc_id, named).agg(F.min_by(F.struct(*all_columns), F.xxhash64(*all_columns)).alias("k"))
-    return one.select("k.*")
+    one = joined(repeated, "left_semi").groupBy(doc_id, named).agg(F.min_by(F.struct(*all_columns), F.xxhash64(*all_columns)).alias("k"))
+    out = joined(listed, "left_anti").select(*all_columns)
+    return out.unionByName(one.select("k.*")) if repeated.count() else out

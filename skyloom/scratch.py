@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after a count proves that it has no more rows than this.
 BROADCAST_ROWS = 50_000
+#: Shuffle files go when the query that wrote them ends. They stay until the driver happens to collect its garbage otherwise, which is the rarer the larger the tables are.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own: dict[str, str] = {}
 
@@ -37,10 +39,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def store(df: DataFrame, name: str, level: int = 3) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder, compressed by zstd at `level`, and return the table read back."""
+    """Write `df` once as Parquet in the shared folder, compressed by zstd at `level`, and return the table read back. Nothing reads the query's shuffle files again, so they go."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

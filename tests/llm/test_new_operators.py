@@ -203,3 +203,45 @@ def test_copies_are_compared_once(spark):
     plain = spark.createDataFrame([(a,)] * 60 + [(b,)] * 50, "text string").withColumn("t", F.md5("text"))
     pair = store(plain.agg(F.min("t").alias("ta"), F.max("t").alias("tb")), "pair")
     assert simhash.similar(pair, plain, 5, 0.8).count() == 1
+
+
+def test_near_dedup_shuffles_no_whole_rows(spark, monkeypatch):
+    """Kept rows pass unshuffled where few are listed; rows that repeat id and text are one row; it's the same where many are listed and pairs are checked in parts."""
+    import skyloom.scratch as scratch
+    from skyloom.llm import simhash
+
+    base = [[f"w{k}_{i}" for i in range(60)] for k in range(8)]
+    rows = [(k, " ".join(w), "a") for k, w in enumerate(base)] + [(100 + k, " ".join([*w[:-1], "x"]), "b") for k, w in enumerate(base[:5])]
+    rows += [(None, " ".join(base[0]), "c"), (None, "only null", "d"), (7, " ".join(base[7]), "a"), (6, " ".join(base[6]), "other"), (50, None, "e"), (51, "", "f")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    plain = simhash.one_of_each(table.where("doc_id is null or doc_id < 6 or doc_id > 7"), 5, 0.8)
+    assert "Exchange hashpartitioning" not in plain._jdf.queryExecution().sparkPlan().toString() + plain._jdf.queryExecution().executedPlan().toString()
+    found = simhash.one_of_each(table, 5, 0.8).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.more) for r in found if r.doc_id != 6) == [(-1, "d"), *[(k, "a") for k in (0, 1, 2, 3, 4, 5, 7)], (50, "e")]
+    assert len([r for r in found if r.doc_id == 6]) == 1
+    for m in (simhash, scratch):
+        monkeypatch.setattr(m, "BROADCAST_ROWS", 2)
+    made = []
+    real = simhash.parted
+    monkeypatch.setattr(simhash, "parted", lambda pairs, texts: made.append((pairs.count(), [p.count() for p in real(pairs, texts)])) or real(pairs, texts))
+    again = simhash.one_of_each(table, 5, 0.8)
+    assert sorted(again.collect(), key=str) == sorted(found, key=str)
+    assert all(n == sum(parts) for n, parts in made) and max(len(parts) for _, parts in made) > 1
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from skyloom.scratch import CLEANUP, store
+
+    def files():
+        return {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    held, before, left = spark.conf.get(CLEANUP), files(), {""}
+    grouped = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    stored = store(grouped, "grouped")
+    for _ in range(50):  # files go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP) == held and stored.count() == 7
