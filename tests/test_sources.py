@@ -108,3 +108,28 @@ def test_payloads_are_parsed_once(spark, tmp_path, which):
     assert plan.count("regexp_extract(") + plan.count("RegExpExtract") == 1
     wanted = [(1, "r", 0, "a"), (1, "r", 1, "b")] if which == 0 else [(2, "no_payload"), (3, "no_rule"), (4, "no_records")]
     assert sorted(map(tuple, out.collect())) == wanted
+
+
+def test_shared_ends_of_pages(spark, monkeypatch):
+    """A shared text is judged once for each rule, however many pages have it, with the rows of whole texts; wherever a payload begins in a page's own html, that counts."""
+    rules = [candidates.Rule("a", (".test/a",), "$.items", {"name": "$.name"}), candidates.Rule("b", (".test/b",), "$", {"code": "$.c"}), candidates.Rule("c", (".test/c",), "$.items", {"name": "$.name"}, r"(?s)<x>(.*?)</x>")]
+    script = '<Script type="application/json">%s</script>'
+    texts = {
+        "some": script % '{"items":[{"name":" A &amp; B "},{"n":1}]}', "list": script % '[{"c":5}]', "none": script % '{"items":[]}', "bad": script % "{", "empty": "", "null": None,
+        "rest": 'ipt type="application/json">{"items":[{"name":"rest"}]}</script>', "tag": '"application/json">{"items":[{"name":"tag"}]}</script><x>{"items":[{"name":"x"}]}</x>', "end": '[{"name":"later"}]}</script>',
+    }
+    own = ["plain", None, "<p>text</p><script>x</script>", script % '{"items":[{"name":"own"}]}', "<scr", "a <SCRIPT id='1'\n type=", '<script type="application/json">{"items":', "<x>", "<script>let a</script"]
+    rows = [(f"https://h.test/{u}" if u else None, h, k) for u in ("a", "b", "c", None) for h in own for k in (*texts, "absent", None)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows * 2)], "page_id long, url string, html string, tail string")
+    tails = spark.createDataFrame(list(texts.items()), "tail string, text string")
+    stored = []
+    real = candidates.store
+    monkeypatch.setattr(candidates, "store", lambda df, name: stored.append(real(df, name)) or stored[-1])
+    got = candidates.extracted(pages, rules, tails=tails)
+    assert len(stored) == 1 and stored[0].count() == 2 * (len(texts) + 1)  # the rule of another payload reads whole pages
+    whole = pages.join(tails, "tail", "left").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.coalesce("text", F.lit(""))))
+    wanted = candidates.extracted(whole, rules)
+    for g, w in zip(got, wanted, strict=True):
+        assert g.columns == w.columns and g.dtypes == w.dtypes
+        assert sorted(map(tuple, g.collect())) == sorted(map(tuple, w.collect()))
+    assert {r.name for r in got[0].collect()} >= {"A & B", "own", "rest", "tag", "later", "x", ""}
