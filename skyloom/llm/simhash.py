@@ -40,6 +40,8 @@ CHUNK = 2_000_000
 SKETCH, PIECE = 1_024, 100_000
 #: Bits of the folded sketches that go with each shingle of a prefix; whole ones are compared after that, once for each pair.
 FOLDED = 512
+#: Texts whose shingles a task holds at once.
+SLICE = 256
 #: Texts aimed at for the sample that tells common shingles, and how many of these are kept.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 200_000
 
@@ -130,7 +132,8 @@ def facts(text: Column, words: int, similarity: float, common: tuple[np.ndarray,
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(map(of, shingle_codes([bytes(t) for t in batch], words)), columns=["fp", "sketch", "shingles", "keys"])
+            for at in range(0, len(batch), SLICE):  # a text's hashes take more room than the text
+                yield pd.DataFrame(map(of, shingle_codes([bytes(t) for t in batch.iloc[at : at + SLICE]], words)), columns=["fp", "sketch", "shingles", "keys"])
 
     return F.pandas_udf(run, "fp long, sketch binary, shingles long, keys array<long>").asNondeterministic()(utf8(text))
 
@@ -433,8 +436,8 @@ def common_shingles(plain: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                found = shingle_codes([bytes(t) for t in batch["text"].iloc[at : at + 256]], words)
+            for at in range(0, len(batch), SLICE):
+                found = shingle_codes([bytes(t) for t in batch["text"].iloc[at : at + SLICE]], words)
                 yield pd.DataFrame({"h": np.concatenate([np.unique(x) for x in found]).view("<i8")})
 
     some = sampled(plain, plain.count(), ORDER_TEXTS, F.col("t")).groupBy("t").agg(F.min("text").alias("text")).select(utf8(F.col("text")).alias("text"))
