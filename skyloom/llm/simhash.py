@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.components import connected
 from skyloom.llm.common import fresh, sampled, utf8
 from skyloom.llm.substrings import BASE, BYTE, SPACE, Sums, groups, mixed, squeezed, unsqueezed
-from skyloom.scratch import BROADCAST_ROWS, small, store
+from skyloom.scratch import BROADCAST_ROWS, small, spread, store
 
 BITS, WORDS, SEED = 4, 4, 42
 #: Differing bits of the first candidates for shingle similarity. They only save work: pairs farther apart are found by their prefixes.
@@ -440,7 +440,8 @@ def common_shingles(plain: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
                 found = shingle_codes([bytes(t) for t in batch["text"].iloc[at : at + SLICE]], words)
                 yield pd.DataFrame({"h": np.concatenate([np.unique(x) for x in found]).view("<i8")})
 
-    some = sampled(plain, plain.count(), ORDER_TEXTS, F.col("t")).groupBy("t").agg(F.min("text").alias("text")).select(utf8(F.col("text")).alias("text"))
+    # A limit leaves all in one partition, so the sampled texts are dealt out again.
+    some = spread(sampled(plain, plain.count(), ORDER_TEXTS, F.col("t")), "t").groupBy("t").agg(F.min("text").alias("text")).select(utf8(F.col("text")).alias("text"))
     counts = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
     found = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toPandas()
     hashes = found["h"].to_numpy("<i8").view("<u8")
