@@ -245,3 +245,15 @@ def test_stored_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and spark.conf.get(CLEANUP) == held and stored.count() == 7
+
+
+def test_sampled_texts_are_dealt(spark, monkeypatch):
+    """The sample that tells common shingles isn't one task's work, though a limit bounds it."""
+    from skyloom.llm import simhash
+
+    plain = spark.range(40).selectExpr("md5(string(id)) AS t", "concat('one two three four five six ', id) AS text")
+    parts = []
+    real = simhash.spread
+    monkeypatch.setattr(simhash, "spread", lambda df, *keys: parts.append(real(df, *keys)) or parts[-1])
+    known, counts = simhash.common_shingles(plain, 5)
+    assert len(known) == 2 and set(counts.tolist()) == {40} and parts[0].rdd.getNumPartitions() > 1
